@@ -68,3 +68,32 @@ def timing_fx(t: Tables) -> DataFrame:
         F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"),
         F.col("event_type").alias("stage"), F.col("value").alias("seconds"),
     )
+
+
+def cleaned_html(t: Tables, profile: str = "default") -> DataFrame:
+    """Pages with their ordinary-page element list removed (links are read from this)."""
+    from quarry.functions import html as H
+
+    tags, _ = H.PROFILES[profile]
+    p = t.pages
+    return p.select("page_id", "url", H.strip_inputs(H.strip_elements(F.col("html"), tags)).alias("html"),
+                    H.extract_title(F.col("html")).alias("title"))
+
+
+def edges_fx(t: Tables) -> DataFrame:
+    """Link graph of the fixture: the pages' own links point off-site, so link
+    ordinal ``ord`` of page ``p`` leads to page ``(p*3 + ord*17 + 1) % count(pages)``."""
+    from quarry.operators.links import extract_links
+
+    n_pages = t.pages.select(F.count(F.lit(1))).scalar()
+    links = extract_links(cleaned_html(t).filter(F.col("title").isNotNull()))
+    return links.select(F.col("page_id").alias("src"),
+                        ((F.col("page_id") * 3 + F.col("ord") * 17 + 1) % n_pages).alias("dst"))
+
+
+def frontier_fx(t: Tables, max_depth: int = 8) -> DataFrame:
+    """Crawl depth of every page reachable from page 0."""
+    from quarry.operators.links import crawl_frontier
+
+    seeds = t.pages.filter(F.col("page_id") == 0).select("page_id")
+    return crawl_frontier(edges_fx(t), seeds, max_depth)

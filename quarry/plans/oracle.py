@@ -58,3 +58,79 @@ where near <= 60000 and pass qualify rank <= 25"""
 ORACLE["knn_with_fallback"] = SEARCH_CTES + "select conv_id, turn, chunk_id, score, rank from fb where rank <= 20"
 ORACLE["search"] = SEARCH_CTES + """select conv_id, turn, chunk_id, score, rank, false as fallback from fr where rank <= 25
 union all select conv_id, turn, chunk_id, score, rank, true as fallback from fb where rank <= 20"""
+
+
+# --- HTML → page record -------------------------------------------------------------------
+
+from quarry.functions import html as H  # noqa: E402
+from quarry.functions.urls import DOT_SEGMENT, ORIGIN, SCHEME  # noqa: E402
+from quarry.operators.links import EXCLUDED_HREF, HREF  # noqa: E402
+
+TAGS, SEED_TAGS = H.PROFILES["default"]
+CLEAN = S.strip_inputs(S.strip_elements("html", TAGS))
+
+LINK_CTES = [
+    f"cl as (select page_id, url, {CLEAN} as html, {S.extract_title('html')} as title from pages)",
+    f"""lk0 as (select page_id, url, regexp_extract_all(regexp_replace(html, {S.lit(H.COMMENT)}, ' ', 'g'), {S.lit(HREF)}, 1) as l
+        from cl where title is not null)""",
+    """lk1 as (select page_id, url, unnest(l) as v, cast(generate_subscripts(l, 1) - 1 as integer) as ord from lk0)""",
+    f"""lk as (select page_id, url, ord, {S.unescape("case when v like '\"%' or v like '''%' then substr(v, 2, length(v) - 2) else v end")} as href from lk1)""",
+    "edges as (select page_id as src, (page_id * 3 + ord * 17 + 1) % (select count(*) from pages) as dst from lk)",
+    """fr(page_id, depth) as (select cast(0 as bigint), 0 union
+        select e.dst, fr.depth + 1 from fr join edges e on e.src = fr.page_id where fr.depth < 8)""",
+    "frontier as (select page_id, cast(min(depth) as integer) as depth from fr group by page_id)",
+]
+LINKS = "with recursive " + ",\n".join(LINK_CTES) + "\n"
+
+
+def resolve_sql(base: str, href: str) -> str:
+    no_q = f"regexp_replace({base}, '[?#].*$', '')"
+    directory = (f"case when regexp_matches({no_q}, {S.lit(ORIGIN + '$')}) then {no_q} || '/' "
+                 f"else regexp_replace({no_q}, '[^/]*$', '') end")
+    return f"""case when regexp_matches({href}, {S.lit(SCHEME)}) then {href}
+        when starts_with({href}, '//') then regexp_extract({base}, {S.lit(SCHEME)}, 1) || ':' || {href}
+        when starts_with({href}, '/') then regexp_extract({base}, {S.lit(ORIGIN)}, 1) || {href}
+        when starts_with({href}, '?') then {no_q} || {href}
+        when starts_with({href}, '#') then regexp_replace({base}, '#.*$', '') || {href}
+        when {href} = '' then {base}
+        else ({directory}) || {href} end"""
+
+
+def canonical_sql(u: str) -> str:
+    nf = f"regexp_replace({u}, '#.*$', '')"
+    args = f"list_filter(string_split(regexp_extract({nf}, '\\?(.*)$', 1), '&'), lambda a: a <> '')"
+    path = f"regexp_extract({nf}, '^([^?]*)', 1)"
+    return f"case when len({args}) > 0 then {path} || '?' || array_to_string(list_sort({args}), '&') else {path} end"
+
+
+RESOLVED = f"rl as (select page_id, url, ord, href, {resolve_sql('url', 'href')} as abs_url from lk)"
+SITE = (f"sl as (select * from rl where starts_with(abs_url, regexp_extract(url, {S.lit(ORIGIN)}, 1) || '/') "
+        f"and href <> {S.lit(EXCLUDED_HREF)})")
+LINKS_R = "with recursive " + ",\n".join(LINK_CTES + [RESOLVED, SITE]) + "\n"
+
+PAGE_TEXT = S.page_text("html", TAGS)
+ORACLE["strip_elements"] = f"select page_id, {S.strip_elements('html', TAGS)} as html from pages"
+ORACLE["strip_elements_seed"] = LINKS + f"""select page_id, depth,
+  case when depth = 0 then {S.strip_elements('html', SEED_TAGS)} else {S.strip_elements('html', TAGS)} end as html
+from pages join frontier using (page_id)"""
+ORACLE["strip_inputs"] = f"select page_id, {S.strip_inputs('html')} as html from pages"
+ORACLE["html_to_text"] = f"select page_id, {S.html_to_text(CLEAN)} as text from pages"
+ORACLE["collapse_whitespace"] = f"select page_id, {S.collapse(S.html_to_text(CLEAN))} as text from pages"
+ORACLE["drop_boilerplate"] = f"select page_id, {PAGE_TEXT} as text from pages"
+ORACLE["extract_title"] = f"select page_id, {S.extract_title('html')} as title from pages"
+ORACLE["drop_untitled"] = f"select * from (select page_id, url, {S.extract_title('html')} as title from pages) where title is not null"
+ORACLE["title_model_num"] = f"""select page_id, title, {S.title_model('title')} as model_num
+from (select page_id, {S.extract_title('html')} as title from pages) where title is not null"""
+ORACLE["url_part_num"] = f"select page_id, url, {S.part_num('url')} as ps_num from pages"
+
+RECORDS_CTE = f"""rec as (select * from (select page_id, {S.page_text('html', TAGS, SEED_TAGS, 'depth')} as text, url, depth,
+    {S.extract_title('html')} as title from pages join frontier using (page_id)) where title is not null),
+records as (select page_id, text, url, depth, title, {S.title_model('title')} as model_num, {S.part_num('url')} as ps_num from rec)"""
+ORACLE["page_records"] = LINKS + "," + RECORDS_CTE + "\nselect * from records"
+
+ORACLE["extract_links"] = LINKS + "select page_id, ord, href from lk"
+ORACLE["resolve_links"] = LINKS_R + "select page_id, ord, href, abs_url from rl"
+ORACLE["filter_links"] = LINKS_R + "select page_id, ord, abs_url from sl"
+ORACLE["dedupe_urls"] = LINKS_R + f"""select distinct {canonical_sql('abs_url')} as url from sl
+where {canonical_sql('abs_url')} not in (select {canonical_sql('url')} from pages)"""
+ORACLE["crawl_frontier"] = LINKS + "select page_id, depth from frontier"

@@ -99,3 +99,134 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     h = knn.search(fx.chunk_index_fx(t), routed_questions(t), 25, 20, qkey=QKEY)
     return h.select(*QKEY, "chunk_id", "score", F.col("rank").cast("int").alias("rank"), "fallback")
+
+
+# --- HTML → page record (pages table) ------------------------------------------------------
+
+from quarry.functions import html as H  # noqa: E402
+from quarry.functions import text as TX  # noqa: E402
+from quarry.operators import extract as EX  # noqa: E402
+from quarry.operators import links as LK  # noqa: E402
+from quarry.functions import urls as U  # noqa: E402
+from quarry.session import spread  # noqa: E402
+
+DEFAULT_TAGS, DEFAULT_SEED_TAGS = H.PROFILES["default"]
+
+
+def _pages(t: Tables) -> DataFrame:
+    return spread(t.pages)
+
+
+def _cleaned(html):
+    return H.strip_inputs(H.strip_elements(html, DEFAULT_TAGS))
+
+
+@register
+def strip_elements(spark, sf_dir):
+    p = _pages(Tables(spark, sf_dir))
+    return p.select("page_id", H.strip_elements(F.col("html"), DEFAULT_TAGS).alias("html"))
+
+
+@register
+def strip_elements_seed(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    p = _pages(t).join(fx.frontier_fx(t), "page_id")
+    html = H.strip_elements_seed(F.col("html"), F.col("depth"), DEFAULT_TAGS, DEFAULT_SEED_TAGS)
+    return p.select("page_id", "depth", html.alias("html"))
+
+
+@register
+def strip_inputs(spark, sf_dir):
+    p = _pages(Tables(spark, sf_dir))
+    return p.select("page_id", H.strip_inputs(F.col("html")).alias("html"))
+
+
+@register
+def html_to_text(spark, sf_dir):
+    p = _pages(Tables(spark, sf_dir))
+    return p.select("page_id", H.html_to_text(_cleaned(F.col("html"))).alias("text"))
+
+
+@register
+def collapse_whitespace(spark, sf_dir):
+    p = _pages(Tables(spark, sf_dir))
+    return p.select("page_id", TX.collapse_whitespace(H.html_to_text(_cleaned(F.col("html")))).alias("text"))
+
+
+@register
+def drop_boilerplate(spark, sf_dir):
+    p = _pages(Tables(spark, sf_dir))
+    return p.select("page_id", H.page_text(F.col("html"), DEFAULT_TAGS).alias("text"))
+
+
+@register
+def extract_title(spark, sf_dir):
+    p = _pages(Tables(spark, sf_dir))
+    return p.select("page_id", H.extract_title(F.col("html")).alias("title"))
+
+
+@register
+def drop_untitled(spark, sf_dir):
+    p = _pages(Tables(spark, sf_dir))
+    return EX.drop_untitled(p.select("page_id", "url", H.extract_title(F.col("html")).alias("title")))
+
+
+@register
+def title_model_num(spark, sf_dir):
+    p = _pages(Tables(spark, sf_dir))
+    t = p.select("page_id", H.extract_title(F.col("html")).alias("title")).filter(F.col("title").isNotNull())
+    return t.select("page_id", "title", H.title_model_num(F.col("title")).alias("model_num"))
+
+
+@register
+def url_part_num(spark, sf_dir):
+    p = Tables(spark, sf_dir).pages
+    return p.select("page_id", "url", H.url_part_num(F.col("url")).alias("ps_num"))
+
+
+def crawled_records(t: Tables) -> DataFrame:
+    """Page records of every page the crawl from page 0 reaches, with its depth."""
+    return EX.page_records(t.pages.join(fx.frontier_fx(t), "page_id"))
+
+
+@register
+def page_records(spark, sf_dir):
+    return crawled_records(Tables(spark, sf_dir))
+
+
+# --- link graph ----------------------------------------------------------------------------
+
+def _links(t: Tables) -> DataFrame:
+    c = fx.cleaned_html(t).filter(F.col("title").isNotNull())
+    return LK.extract_links(spread(c))
+
+
+@register
+def extract_links(spark, sf_dir):
+    return _links(Tables(spark, sf_dir)).select("page_id", "ord", "href")
+
+
+@register
+def resolve_links(spark, sf_dir):
+    return LK.resolve_links(_links(Tables(spark, sf_dir))).select("page_id", "ord", "href", "abs_url")
+
+
+def _site_links(t: Tables) -> DataFrame:
+    r = LK.resolve_links(_links(t))
+    return LK.filter_links(r, prefix=F.concat(U.origin(F.col("url")), F.lit("/")))
+
+
+@register
+def filter_links(spark, sf_dir):
+    return _site_links(Tables(spark, sf_dir)).select("page_id", "ord", "abs_url")
+
+
+@register
+def dedupe_urls(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return LK.dedupe_urls(_site_links(t).select(F.col("abs_url").alias("url")), t.pages.select("url"))
+
+
+@register
+def crawl_frontier(spark, sf_dir):
+    return fx.frontier_fx(Tables(spark, sf_dir))
