@@ -11,6 +11,10 @@ def with_ctes(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 
 
+def with_rec(*ctes: str) -> str:
+    return "with recursive " + ",\n".join(ctes) + "\n"
+
+
 # --- fixture views (FIXTURES.md) --------------------------------------------------------
 
 CHUNK_INDEX = """ci as (select vec_id as chunk_id, concat('M', lpad(cast(label as varchar), 3, '0')) as model_num,
@@ -134,3 +138,110 @@ ORACLE["filter_links"] = LINKS_R + "select page_id, ord, abs_url from sl"
 ORACLE["dedupe_urls"] = LINKS_R + f"""select distinct {canonical_sql('abs_url')} as url from sl
 where {canonical_sql('abs_url')} not in (select {canonical_sql('url')} from pages)"""
 ORACLE["crawl_frontier"] = LINKS + "select page_id, depth from frontier"
+
+
+# --- chunking, embedding, index -------------------------------------------------------------
+
+from quarry.functions.text import WS  # noqa: E402
+
+
+def chunk_ctes(p: str, src: str, key: str, text: str, size: int, overlap: int, sep: str) -> list[str]:
+    """Chunk rule as a recursive CTE: ``{p}out(doc_id, chunk_idx, text)``.
+
+    ``Q[i]`` are prefix sums of (word length + separator length); the two
+    binary searches of the rule are ASOF joins over ``Q``.
+    """
+    d = len(sep)
+    sep_sql = "' '" if sep == " " else "chr(10) || chr(10)"
+    return [
+        f"{p}w1 as (select {key} as doc_id, list_filter(string_split({text}, {sep_sql}), lambda x: x <> '') as ws from {src})",
+        f"{p}n as (select doc_id, len(ws) as n from {p}w1 where len(ws) > 0)",
+        f"{p}w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as i from {p}w1)",
+        f"""{p}qq as (select doc_id, i + 1 as i, sum(length(word) + {d}) over (partition by doc_id order by i
+                 rows between unbounded preceding and current row) as q from {p}w
+            union all select doc_id, 0, 0 from {p}n)""",
+        # emax(s) = (number of Q ≤ Q[s] + size + d) − 1: points sort before equal thresholds
+        f"""{p}em as (select doc_id, s, emax from (
+              select doc_id, s, kind, sum(1 - kind) over (partition by doc_id order by v, kind
+                     rows between unbounded preceding and current row) - 1 as emax
+              from (select doc_id, q as v, 0 as kind, null as s from {p}qq
+                    union all select doc_id, q + {size + d}, 1, i from {p}qq)) where kind = 1)""",
+        f"""{p}nd as (select qq.doc_id, qq.i as e, greatest(qq.q - {d} - {overlap}, qq.q + length(w.word) - {size}) as need
+            from {p}qq qq join {p}w w on w.doc_id = qq.doc_id and w.i = qq.i)""",
+        # nxt(e) = number of Q < need: thresholds sort before equal points
+        f"""{p}nx as (select doc_id, e, nxt from (
+              select doc_id, e, kind, sum(kind) over (partition by doc_id order by v, kind
+                     rows between unbounded preceding and current row) as nxt
+              from (select doc_id, q as v, 1 as kind, null as e from {p}qq
+                    union all select doc_id, need, 0, e from {p}nd)) where kind = 0)""",
+        f"""{p}ch(doc_id, s, e, n) as (
+            select n.doc_id, 0, greatest(1, em.emax), n.n from {p}n n join {p}em em on em.doc_id = n.doc_id and em.s = 0
+            union all
+            select c.doc_id, c.s2, greatest(c.e + 1, em.emax), c.n
+            from (select ch.doc_id, ch.e, ch.n, greatest(ch.s, least(coalesce(nx.nxt, ch.e), ch.e)) as s2
+                  from {p}ch ch join {p}nx nx on nx.doc_id = ch.doc_id and nx.e = ch.e where ch.e < ch.n) c
+            join {p}em em on em.doc_id = c.doc_id and em.s = c.s2)""",
+        f"""{p}ct as (select ch.doc_id, ch.s, {S.py_strip(f"array_to_string(w1.ws[ch.s + 1 : ch.e], {sep_sql})")} as text
+            from {p}ch ch join {p}w1 w1 using (doc_id))""",
+        f"""{p}out as (select doc_id, cast(row_number() over (partition by doc_id order by s) - 1 as integer) as chunk_idx, text
+            from {p}ct where text <> '')""",
+    ]
+
+
+def embed_ctes(p: str, src: str, keys: list[str], text: str, dim: int = 64) -> list[str]:
+    """Hash embedding as sparse rows ``{p}vals(keys…, bucket, value)`` (value rounded through float32)."""
+    k = ", ".join(keys)
+    words = f"list_filter(regexp_split_to_array(lower(replace({text}, chr(10), ' ')), {S.lit(WS + '+')}), lambda w: w <> '')"
+    return [
+        f"{p}ew as (select {k}, unnest({words}) as w from {src})",
+        f"{p}ec as (select {k}, cast('0x' || substr(md5(w), 1, 8) as bigint) % {dim} as bucket, count(*) as c from {p}ew group by all)",
+        f"{p}en as (select {k}, sqrt(sum(c * c)) as nrm from {p}ec group by all)",
+        f"""{p}vals as (select {k}, cast(bucket as integer) as bucket, cast(cast(c / nrm as float) as double) as value
+            from {p}ec join {p}en using ({k}))""",
+    ]
+
+
+def fingerprint_ctes(p: str, vals: str, keys: list[str]) -> list[str]:
+    k = ", ".join(keys)
+    return [f"""{p}fp as (select {k}, cast(count(*) as integer) as emb_nnz, round(sum(value * (bucket + 1)), 6) as emb_sig
+               from {vals} group by all)"""]
+
+
+def _docs_chunks(sep=" ", size=1000, overlap=200):
+    return chunk_ctes("c_", "documents", "doc_id", "text", size, overlap, sep)
+
+
+ORACLE["chunk_words"] = with_rec(*_docs_chunks()) + "select doc_id, chunk_idx, text from c_out"
+ORACLE["chunk_paragraphs"] = with_rec(*_docs_chunks("\n\n")) + "select doc_id, chunk_idx, text from c_out"
+ORACLE["chunk_paragraphs_no_overlap"] = with_rec(*_docs_chunks("\n\n", 1000, 0)) + "select doc_id, chunk_idx, text from c_out"
+ORACLE["embed_documents"] = with_ctes(*embed_ctes("e_", "documents", ["doc_id"], "text")) + "select doc_id, bucket, value from e_vals"
+ORACLE["embed_queries"] = with_ctes(QUESTIONS, *embed_ctes("e_", "q0", ["conv_id", "turn"], "query")) + \
+    "select conv_id, turn, bucket, value from e_vals"
+
+DOCS_CTE = f"""docs as (select page_id as doc_id, 'text: ' || {S.py_strip('coalesce(text, \'\')')} || chr(10) || 'url: ' ||
+    {S.py_strip('coalesce(url, \'\')')} as page_content, url, depth, title, model_num, ps_num from records)"""
+
+
+def index_ctes(p: str, size=1000, overlap=200) -> list[str]:
+    return chunk_ctes(p, "docs", "doc_id", "page_content", size, overlap, " ") + [
+        f"""{p}ix as (select (o.doc_id << 20) + o.chunk_idx as chunk_id, o.doc_id, d.url, o.chunk_idx, o.text, d.depth,
+               d.title, d.model_num, d.ps_num from {p}out o join docs d using (doc_id))""",
+    ] + embed_ctes(p + "e", f"{p}ix", ["chunk_id"], "text") + fingerprint_ctes(p, f"{p}evals", ["chunk_id"]) + [
+        f"""{p}view as (select i.*, coalesce(f.emb_nnz, 0) as emb_nnz, coalesce(f.emb_sig, 0.0) as emb_sig
+               from {p}ix i left join {p}fp f using (chunk_id))"""]
+
+
+PAGE_DOCS = LINKS + "," + RECORDS_CTE + ",\n" + DOCS_CTE + ",\n"
+ORACLE["compose_document"] = PAGE_DOCS.rstrip().rstrip(",") + "\nselect * from docs"
+ORACLE["build_index"] = PAGE_DOCS + ",\n".join(index_ctes("x_")) + "\nselect * from x_view"
+ORACLE["append_index"] = ORACLE["build_index"]
+ORACLE["load_index"] = PAGE_DOCS + ",\n".join(index_ctes("x_")[:-5]) + \
+    "\nselect (doc_id << 20) + chunk_idx as chunk_id, url, chunk_idx, 64 as dim from x_ix"
+ORACLE["upsert_index"] = PAGE_DOCS + ",\n".join(index_ctes("n_") + index_ctes("o_", 500, 100)) + """
+select * from n_view union all
+select * from o_view o where not exists (select 1 from n_view n where n.url = o.url and n.chunk_idx = o.chunk_idx)"""
+
+ORACLE["append_page_csv"] = LINKS + "," + RECORDS_CTE + "\nselect text, url, depth, title, model_num, ps_num from records"
+ORACLE["scan_page_csv"] = ORACLE["append_page_csv"]
+ORACLE["scan_text_url_csv"] = LINKS + "," + RECORDS_CTE + "\nselect text, url, true as from_file from records"
+ORACLE["map_crawl_items"] = LINKS + "," + RECORDS_CTE + "\nselect text as page_content, url as source from records"

@@ -230,3 +230,150 @@ def dedupe_urls(spark, sf_dir):
 @register
 def crawl_frontier(spark, sf_dir):
     return fx.frontier_fx(Tables(spark, sf_dir))
+
+
+# --- chunking, embedding, index (documents and crawled pages) -----------------------------
+
+from quarry.operators import chunk as CH  # noqa: E402
+from quarry.operators import embed as EM  # noqa: E402
+from quarry.operators import index as IX  # noqa: E402
+from quarry.session import work_path  # noqa: E402
+from quarry.sources import files as FS  # noqa: E402
+
+
+def _chunks_of_documents(t: Tables, size, overlap, sep) -> DataFrame:
+    d = t.documents.select("doc_id", "text")
+    return CH.chunk_documents(d, "text", size, overlap, sep).select("doc_id", "chunk_idx", "text")
+
+
+@register
+def chunk_words(spark, sf_dir):
+    return _chunks_of_documents(Tables(spark, sf_dir), 1000, 200, CH.WORD_SEP)
+
+
+@register
+def chunk_paragraphs(spark, sf_dir):
+    return _chunks_of_documents(Tables(spark, sf_dir), 1000, 200, CH.PARAGRAPH_SEP)
+
+
+@register
+def chunk_paragraphs_no_overlap(spark, sf_dir):
+    return _chunks_of_documents(Tables(spark, sf_dir), 1000, 0, CH.PARAGRAPH_SEP)
+
+
+def _sparse(df: DataFrame, keys, vec: str = "embedding") -> DataFrame:
+    x = df.select(*keys, F.posexplode(vec).alias("bucket", "value"))
+    return x.filter(F.col("value") != 0).select(*keys, F.col("bucket").cast("int").alias("bucket"),
+                                                F.col("value").cast("double").alias("value"))
+
+
+@register
+def embed_documents(spark, sf_dir):
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
+    return _sparse(EM.embed_documents(d, "text"), ["doc_id"])
+
+
+@register
+def embed_queries(spark, sf_dir):
+    q = fx.question_fx(Tables(spark, sf_dir))
+    return _sparse(EM.embed_queries(q, "query", out="qvec"), list(QKEY), "qvec")
+
+
+def _fingerprint(vec: str = "embedding"):
+    v = F.col(vec)
+    return [
+        F.size(F.filter(v, lambda x: x != 0)).alias("emb_nnz"),
+        F.round(F.aggregate(F.transform(v, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0),
+                            lambda a, b: a + b), 6).alias("emb_sig"),
+    ]
+
+
+def _index_view(df: DataFrame) -> DataFrame:
+    return df.select("chunk_id", "doc_id", "url", "chunk_idx", "text", "depth", "title", "model_num", "ps_num",
+                     *_fingerprint())
+
+
+def page_documents(t: Tables) -> DataFrame:
+    return IX.compose_document(crawled_records(t))
+
+
+@register
+def compose_document(spark, sf_dir):
+    return page_documents(Tables(spark, sf_dir))
+
+
+@register
+def build_index(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    idx = IX.build_index(page_documents(t), work_path(spark, "index"))
+    return _index_view(idx)
+
+
+@register
+def load_index(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    path = work_path(spark, "index")
+    IX.build_index(page_documents(t), path)
+    idx = IX.load_index(spark, path)
+    return idx.select("chunk_id", "url", "chunk_idx", F.size("embedding").alias("dim"))
+
+
+@register
+def append_index(spark, sf_dir):
+    """Two appends: a capped first run (cap 300 → one batch edge past it), then a resume."""
+    t = Tables(spark, sf_dir)
+    path = work_path(spark, "index")
+    chunks = IX.chunk_rows(page_documents(t))
+    nxt = IX.append_index(chunks, path, resume=0, cap=300)
+    IX.append_index(chunks, path, resume=nxt)
+    return _index_view(IX.load_index(spark, path))
+
+
+@register
+def upsert_index(spark, sf_dir):
+    """Index of 500/100 chunks upserted with the 1000/200 one, keyed by (url, chunk_idx)."""
+    t = Tables(spark, sf_dir)
+    docs = page_documents(t)
+    old = IX.build_index(docs, work_path(spark, "index-old"), size=500, overlap=100)
+    new = IX.build_index(docs, work_path(spark, "index-new"))
+    path = work_path(spark, "index-merged")
+    IX.upsert_index(old, new).write.parquet(path)
+    return _index_view(spark.read.parquet(path))
+
+
+# --- file sources and sinks ----------------------------------------------------------------
+
+@register
+def append_page_csv(spark, sf_dir):
+    """Records appended in two runs (seed page, then the rest) and read back."""
+    rec = crawled_records(Tables(spark, sf_dir))
+    path = work_path(spark, "pages-csv")
+    FS.append_page_csv(rec.filter(F.col("depth") == 0), path)
+    FS.append_page_csv(rec.filter(F.col("depth") != 0), path)
+    return FS.scan_page_csv(spark, path)
+
+
+@register
+def scan_page_csv(spark, sf_dir):
+    rec = crawled_records(Tables(spark, sf_dir))
+    path = work_path(spark, "pages-csv")
+    FS.append_page_csv(rec, path)
+    return FS.scan_page_csv(spark, path)
+
+
+@register
+def scan_text_url_csv(spark, sf_dir):
+    rec = crawled_records(Tables(spark, sf_dir))
+    path = work_path(spark, "text-url-csv")
+    FS.write_text_url_csv(rec, path)
+    df = FS.scan_text_url_csv(spark, path)
+    return df.select("text", "url", F.col("source").endswith(".csv").alias("from_file"))
+
+
+@register
+def map_crawl_items(spark, sf_dir):
+    """Page text as crawled items (empty text stored as null), mapped back to documents."""
+    rec = crawled_records(Tables(spark, sf_dir))
+    path = work_path(spark, "crawl-items")
+    FS.write_crawl_items(rec.select(F.nullif(F.col("text"), F.lit("")).alias("text"), "url"), path)
+    return FS.map_crawl_items(spark, path)
