@@ -245,3 +245,113 @@ ORACLE["append_page_csv"] = LINKS + "," + RECORDS_CTE + "\nselect text, url, dep
 ORACLE["scan_page_csv"] = ORACLE["append_page_csv"]
 ORACLE["scan_text_url_csv"] = LINKS + "," + RECORDS_CTE + "\nselect text, url, true as from_file from records"
 ORACLE["map_crawl_items"] = LINKS + "," + RECORDS_CTE + "\nselect text as page_content, url as source from records"
+
+
+# --- retrieval over the page index and context packing -------------------------------------
+
+from quarry.operators import context as CX  # noqa: E402
+
+
+def tokens_sql(x: str) -> str:
+    return f"cast(len({S.split_ws(x)}) as integer)"
+
+
+def fmt4_sql(x: str) -> str:
+    n = f"cast(round({x} * 10000) as bigint)"
+    return f"(cast({n} // 10000 as varchar) || '.' || lpad(cast({n} % 10000 as varchar), 4, '0'))"
+
+
+PIPE_CTES = [
+    f"""pq0 as (select q0.*, {S.part_num('query')} as ps_num, {S.query_model('query')} as raw_model from q0)""",
+    """pq1 as (select conv_id, turn, query, ps_num, case when raw_model = ps_num then 'N/A' else raw_model end as model_num from pq0)""",
+    """pq as (select *, case when model_num <> 'N/A' and ps_num <> 'N/A' then 'both' when model_num <> 'N/A' then 'model'
+                        when ps_num <> 'N/A' then 'part' else 'none' end as route from pq1)""",
+    *embed_ctes("qe_", "q0", ["conv_id", "turn"], "query"),
+    "qn as (select conv_id, turn, sum(value * value) as n2 from qe_vals group by all)",
+    "xn as (select chunk_id, sum(value * value) as n2 from x_evals group by all)",
+    """dots as (select q.conv_id, q.turn, x.chunk_id, sum(q.value * x.value) as dot
+             from qe_vals q join x_evals x using (bucket) group by all)""",
+    """pp as (select q.conv_id, q.turn, c.chunk_id,
+             round(greatest(coalesce(qn.n2, 0) + coalesce(xn.n2, 0) - 2 * coalesce(d.dot, 0), 0), 9) as score,
+             (q.model_num = 'N/A' or c.model_num = q.model_num) and (q.ps_num = 'N/A' or c.ps_num = q.ps_num) as pass
+           from pq q cross join x_ix c
+           left join qn on qn.conv_id = q.conv_id and qn.turn = q.turn
+           left join xn on xn.chunk_id = c.chunk_id
+           left join dots d on d.conv_id = q.conv_id and d.turn = q.turn and d.chunk_id = c.chunk_id)""",
+    """pfr as (select *, cast(row_number() over (partition by conv_id, turn order by score, chunk_id) as integer) as rank
+            from pp where pass)""",
+    """pun as (select conv_id, turn from pq q where not exists (select 1 from pfr where pfr.conv_id = q.conv_id and pfr.turn = q.turn))""",
+    """pfb as (select p.*, cast(row_number() over (partition by p.conv_id, p.turn order by score, chunk_id) as integer) as rank
+            from pp p join pun u using (conv_id, turn))""",
+    """hits as (select conv_id, turn, rank, chunk_id, score, false as fallback from pfr where rank <= 25
+             union all select conv_id, turn, rank, chunk_id, score, true from pfb where rank <= 20)""",
+]
+
+
+def packing_ctes(intro: str, p: str = "") -> list[str]:
+    art = (f"""'\n\nWebpage:\n\"\"\"\n' || x.text || '\nSource: ' || x.url || '\nScore: ' || {fmt4_sql('h.score')} || '\n\"\"\"'""")
+    prior = """'\n\nEarlier webpage:\n\"\"\"\n' || x.text || '\nSource: ' || x.url || '\n\"\"\"'"""
+    return [
+        f"{p}art as (select h.conv_id, h.turn, h.rank, h.chunk_id, {art} as piece from hits h join x_ix x using (chunk_id))",
+        f"{p}arts as (select *, {tokens_sql('piece')} as tokens from {p}art)",
+        f"""{p}base as (select conv_id, turn, {tokens_sql(S.lit(intro) + " || chr(10) || chr(10) || 'Question: ' || query")} as b from pq)""",
+        f"""{p}docs as (select a.conv_id, a.turn, a.rank, a.chunk_id, a.tokens, a.piece from (
+              select a.*, coalesce(sum(tokens) over (partition by conv_id, turn order by rank
+                     rows between unbounded preceding and 1 preceding), 0) as before from {p}arts a) a
+              join {p}base b using (conv_id, turn)
+            where a.rank = 1 or b.b + a.before <= {CX.TOKEN_BUDGET - 2048})""",
+        f"""{p}ph0 as (select h.conv_id, h.turn, h.rank, h.chunk_id, {prior} as piece from hits h join x_ix x using (chunk_id) where h.rank <= 2)""",
+        f"{p}ph as (select *, {tokens_sql('piece')} as tokens from {p}ph0)",
+        f"""{p}pt as (select q.conv_id, q.turn, coalesce(sum(ph.tokens), 0) as t from pq q left join {p}ph ph using (conv_id, turn) group by all)""",
+        f"{p}pa as (select *, sum(t) over (partition by conv_id order by turn) as a from {p}pt)",
+        f"""{p}prior as (select h.conv_id, q.turn as turn, h.turn as src_turn, h.rank, h.chunk_id, h.tokens, h.piece from (
+              select ph.*, coalesce(sum(tokens) over (partition by conv_id, turn order by rank
+                     rows between unbounded preceding and 1 preceding), 0) as r, pa.a
+              from {p}ph ph join {p}pa pa using (conv_id, turn)) h
+            join {p}pa q on q.conv_id = h.conv_id and h.turn < q.turn
+            where h.rank = 1 or (q.a - q.t) - h.a + h.r <= {CX.PRIOR_HITS_BUDGET})""",
+        f"""{p}qa as (select conv_id, turn, concat('Question: ', text, chr(10), chr(10), 'Answer: ', nxt) as qa
+             from (select *, lead(text) over (partition by conv_id order by turn) as nxt,
+                          lead(role) over (partition by conv_id order by turn) as nr from conversations) z
+             where role = 'user' and nr = 'assistant')""",
+        f"""{p}an as (select qa.conv_id, qa.turn, {tokens_sql('qa.qa')} as tokens,
+               '\n\nEarlier question and answer:\n\"\"\"\n' || qa.qa || '\n\"\"\"' as piece
+             from {p}qa qa where exists (select 1 from hits h where h.conv_id = qa.conv_id and h.turn = qa.turn))""",
+        f"""{p}atot as (select q.conv_id, q.turn, coalesce(sum(an.tokens), 0) as t from pq q left join {p}an an using (conv_id, turn) group by all)""",
+        f"{p}ac as (select *, sum(t) over (partition by conv_id order by turn) as c from {p}atot)",
+        f"""{p}answers as (select an.conv_id, q.turn as turn, an.turn as src_turn, an.tokens, an.piece
+             from {p}an an join {p}ac h using (conv_id, turn) join {p}ac q on q.conv_id = an.conv_id and an.turn < q.turn
+             where (q.c - q.t) - h.c <= {CX.PRIOR_ANSWERS_BUDGET})""",
+        f"""{p}pieces as (select conv_id, turn, 0 as s, 0 as a, 0 as b, {S.lit(intro)} as p from pq
+                   where exists (select 1 from {p}docs d where d.conv_id = pq.conv_id and d.turn = pq.turn)
+             union all select conv_id, turn, 1, rank, 0, piece from {p}docs
+             union all select conv_id, turn, 2, -src_turn, rank, piece from {p}prior
+             union all select conv_id, turn, 3, -src_turn, 0, piece from {p}answers
+             union all select conv_id, turn, 4, 0, 0, chr(10) || chr(10) || 'Question: ' || query from pq
+                   where exists (select 1 from {p}docs d where d.conv_id = pq.conv_id and d.turn = pq.turn))""",
+        f"""{p}prompts as (select q.conv_id, q.turn, q.query, x.prompt, {tokens_sql('x.prompt')} as tokens_used from pq q
+             join (select conv_id, turn, string_agg(p, '' order by s, a, b) as prompt from {p}pieces group by all) x
+             using (conv_id, turn))""",
+    ]
+
+
+PIPE = PAGE_DOCS + ",\n".join(index_ctes("x_")) + ",\n" + QUESTIONS + ",\n" + ",\n".join(PIPE_CTES) + ",\n"
+PACK = PIPE + ",\n".join(packing_ctes(CX.INTRO_TEXT, "k_")) + "\n"
+
+ORACLE["append_search_history"] = PIPE.rstrip().rstrip(",") + "\nselect * from hits"
+ORACLE["count_tokens"] = f"select conv_id, turn, {tokens_sql('text')} as tokens from conversations"
+ORACLE["pack_documents"] = PACK + "select conv_id, turn, rank, chunk_id, tokens from k_docs"
+ORACLE["pack_prior_hits"] = PACK + "select conv_id, turn, src_turn, rank, chunk_id, tokens from k_prior"
+ORACLE["pack_prior_answers"] = PACK + "select conv_id, turn, src_turn, tokens from k_answers"
+ORACLE["build_prompt"] = PACK + "select * from k_prompts"
+ORACLE["no_hit_answer"] = PIPE.rstrip().rstrip(",") + """
+select q.conv_id, q.turn, h.conv_id is not null as has_hits,
+       case when h.conv_id is null then 'I could not find a direct answer.' end as answer
+from pq q left join (select distinct conv_id, turn from hits) h using (conv_id, turn)"""
+ORACLE["style_variant"] = (PIPE + ",\n".join(packing_ctes(CX.INTRO_TEXT, "t_") + packing_ctes(CX.INTRO_VOICE, "v_"))
+                           + "\n" + f"""select conv_id, turn, 'text' as channel, {S.lit(CX.SYSTEM_TEXT)} as system, prompt as "user" from t_prompts
+union all select conv_id, turn, 'voice', {S.lit(CX.SYSTEM_VOICE)}, prompt from v_prompts""")
+ORACLE["append_answer_history"] = """select conv_id, turn, concat('Question: ', text, chr(10), chr(10), 'Answer: ', nxt) as qa
+from (select *, lead(text) over (partition by conv_id order by turn) as nxt,
+             lead(role) over (partition by conv_id order by turn) as nr from conversations) z
+where role = 'user' and nr = 'assistant'"""

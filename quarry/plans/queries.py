@@ -17,7 +17,7 @@ from quarry.plans import fixtures as fx
 from quarry.session import ship_package
 from quarry.sources.tables import Tables
 
-QKEY = ("conv_id", "turn")
+QKEY = ["conv_id", "turn"]
 REGISTRY: dict = {}
 
 
@@ -377,3 +377,104 @@ def map_crawl_items(spark, sf_dir):
     path = work_path(spark, "crawl-items")
     FS.write_crawl_items(rec.select(F.nullif(F.col("text"), F.lit("")).alias("text"), "url"), path)
     return FS.map_crawl_items(spark, path)
+
+
+# --- retrieval over the page index and context packing -------------------------------------
+
+from quarry.operators import context as CX  # noqa: E402
+
+
+def page_index(spark: SparkSession, t: Tables) -> DataFrame:
+    """Index of the crawled pages (written once, read back)."""
+    return IX.build_index(page_documents(t), work_path(spark, "index"))
+
+
+def page_questions(t: Tables) -> DataFrame:
+    """User turns as questions with hash-embedded vectors and routed ids."""
+    q = EM.embed_queries(fx.question_fx(t), "query", out="qvec")
+    q = q.withColumn("ps_num", ids.query_part_num(F.col("query"))).withColumn(
+        "model_num", ids.resolve_id_clash(ids.query_model_num(F.col("query")), F.col("ps_num")))
+    return q.withColumn("route", ids.route(F.col("model_num"), F.col("ps_num")))
+
+
+def append_hits(spark: SparkSession, hits: DataFrame, path: str) -> DataFrame:
+    """Append one search's hit lists to the history table and read the table back."""
+    hits.select(*QKEY, F.col("rank").cast("int").alias("rank"), "chunk_id", "score", "fallback") \
+        .write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+class Session:
+    """Index, questions and search history of one run (each written once)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.t = Tables(spark, sf_dir)
+        self.index = page_index(spark, self.t)
+        self.questions = page_questions(self.t)
+        hits = knn.search(self.index, self.questions, 25, 20, qkey=QKEY)
+        self.hits = append_hits(spark, hits, work_path(spark, "search-history"))
+        answered = self.hits.select(*QKEY).distinct()
+        self.answers = CX.answer_history(self.t.conversations).join(answered, QKEY, "left_semi")
+
+    def docs(self, intro=CX.INTRO_TEXT):
+        return CX.pack_documents(self.questions, CX.hit_articles(self.hits, self.index), intro)
+
+    def prior(self):
+        return CX.pack_prior_hits(self.questions, self.hits, self.index)
+
+    def prior_answers(self):
+        return CX.pack_prior_answers(self.questions, self.answers)
+
+    def prompts(self, intro=CX.INTRO_TEXT):
+        return CX.build_prompt(self.questions, self.docs(intro), self.prior(), self.prior_answers(), intro)
+
+
+@register
+def append_search_history(spark, sf_dir):
+    s = Session(spark, sf_dir)
+    return s.hits.select(*QKEY, "rank", "chunk_id", "score", "fallback")
+
+
+@register
+def count_tokens(spark, sf_dir):
+    c = Tables(spark, sf_dir).conversations
+    return c.select(*QKEY, CX.count_tokens(F.col("text")).alias("tokens"))
+
+
+@register
+def pack_documents(spark, sf_dir):
+    return Session(spark, sf_dir).docs().select(*QKEY, "rank", "chunk_id", "tokens")
+
+
+@register
+def pack_prior_hits(spark, sf_dir):
+    return Session(spark, sf_dir).prior().select(*QKEY, "src_turn", "rank", "chunk_id", "tokens")
+
+
+@register
+def pack_prior_answers(spark, sf_dir):
+    return Session(spark, sf_dir).prior_answers().select(*QKEY, "src_turn", "tokens")
+
+
+@register
+def build_prompt(spark, sf_dir):
+    return Session(spark, sf_dir).prompts()
+
+
+@register
+def no_hit_answer(spark, sf_dir):
+    s = Session(spark, sf_dir)
+    return CX.no_hit_answer(s.questions, s.hits)
+
+
+@register
+def style_variant(spark, sf_dir):
+    s = Session(spark, sf_dir)
+    text = CX.style_variant(s.prompts(CX.INTRO_TEXT), "text")
+    voice = CX.style_variant(s.prompts(CX.INTRO_VOICE), "voice")
+    return text.unionByName(voice)
+
+
+@register
+def append_answer_history(spark, sf_dir):
+    return CX.answer_history(Tables(spark, sf_dir).conversations)
