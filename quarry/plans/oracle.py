@@ -355,3 +355,23 @@ ORACLE["append_answer_history"] = """select conv_id, turn, concat('Question: ',
 from (select *, lead(text) over (partition by conv_id order by turn) as nxt,
              lead(role) over (partition by conv_id order by turn) as nr from conversations) z
 where role = 'user' and nr = 'assistant'"""
+
+
+# --- stage timings ---------------------------------------------------------------------------
+
+TIMING = """tm as (select user_id as conv_id, event_id as turn, event_type as stage, value as seconds
+        from events where value is not null)"""
+ORACLE["stage_totals"] = with_ctes(TIMING) + """select stage, round(sum(seconds), 6) as seconds,
+  (select count(*) from (select distinct conv_id, turn from tm)) as runs from tm group by stage"""
+ORACLE["stage_averages"] = with_ctes(TIMING) + """select stage, round(seconds / runs, 6) as avg_seconds from (
+  select stage, round(sum(seconds), 6) as seconds, (select count(*) from (select distinct conv_id, turn from tm)) as runs
+  from tm group by stage) where runs > 0"""
+ORACLE["last_run_stats"] = with_ctes(TIMING) + """select conv_id, stage, arg_max(seconds, turn) as seconds, max(turn) as turn
+from tm group by conv_id, stage"""
+
+
+# --- streaming forms -------------------------------------------------------------------------
+
+ORACLE["stream_ingest"] = ORACLE["build_index"]
+ORACLE["stream_context"] = PACK + """select conv_id, turn, 'hit' as section, src_turn, rank, chunk_id, tokens from k_prior
+union all select conv_id, turn, 'answer', src_turn, null, null, tokens from k_answers"""

@@ -478,3 +478,63 @@ def style_variant(spark, sf_dir):
 @register
 def append_answer_history(spark, sf_dir):
     return CX.answer_history(Tables(spark, sf_dir).conversations)
+
+
+# --- stage timings ---------------------------------------------------------------------------
+
+from quarry.operators import metrics as MT  # noqa: E402
+
+
+@register
+def stage_totals(spark, sf_dir):
+    return MT.stage_totals(fx.timing_fx(Tables(spark, sf_dir)))
+
+
+@register
+def stage_averages(spark, sf_dir):
+    return MT.stage_averages(fx.timing_fx(Tables(spark, sf_dir)))
+
+
+@register
+def last_run_stats(spark, sf_dir):
+    return MT.last_run_stats(fx.timing_fx(Tables(spark, sf_dir)))
+
+
+# --- streaming forms -------------------------------------------------------------------------
+
+from quarry.streaming import context as SC  # noqa: E402
+from quarry.streaming import ingest as SI  # noqa: E402
+
+
+@register
+def stream_ingest(spark, sf_dir):
+    """Page records arrive as files; the stream appends their chunks to the index (3 micro-batches)."""
+    rec = crawled_records(Tables(spark, sf_dir))
+    source, index_path = work_path(spark, "ingest-source"), work_path(spark, "index")
+    rec.select(*[f.name for f in SI.PAGE_RECORD.fields]).repartition(3).write.parquet(source)
+    q = SI.stream_ingest(spark, source, index_path, work_path(spark, "ingest-checkpoint"), files_per_trigger=1)
+    q.awaitTermination()
+    return _index_view(IX.load_index(spark, index_path))
+
+
+def context_events(s: "Session") -> DataFrame:
+    """One event per question turn: its top hits (with earlier-webpage tokens) and its answer tokens."""
+    h = s.hits.filter(F.col("rank") <= CX.PRIOR_HITS_PER_TURN).join(s.index.select("chunk_id", "text", "url"), "chunk_id")
+    h = h.withColumn("tokens", CX.count_tokens(CX.prior_article(F.col("text"), F.col("url"))))
+    hits = h.groupBy(*QKEY).agg(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "chunk_id",
+                                                        F.col("tokens").cast("int").alias("tokens"))).alias("hits"))
+    ans = s.answers.select(*QKEY, CX.count_tokens(F.col("qa")).alias("answer_tokens"))
+    return s.questions.select(*QKEY).join(hits, QKEY, "left").join(ans, QKEY, "left")
+
+
+@register
+def stream_context(spark, sf_dir):
+    s = Session(spark, sf_dir)
+    source, sink = work_path(spark, "context-source"), work_path(spark, "context-out")
+    context_events(s).select(*[f.name for f in SC.EVENT.fields]).write.parquet(source)
+    events = spark.readStream.schema(SC.EVENT).parquet(source)
+    q = (SC.stream_context(events).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", work_path(spark, "context-checkpoint")).trigger(availableNow=True)
+         .outputMode("append").start())
+    q.awaitTermination()
+    return spark.read.schema(SC.OUT).parquet(sink)

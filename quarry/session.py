@@ -68,6 +68,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     inputs (many files / row groups) already arrive split and are left alone,
     so no extra shuffle is added at scale.
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
