@@ -41,16 +41,19 @@ PROFILES = {
 
 
 def element_alternatives(tag: str) -> tuple[str, str]:
-    """Regex for an element with its content, and for its self-closing form."""
-    return f"<{tag}\\b.*?</{tag}>", f"<{tag}\\s*/>"
+    """Regex (after the leading ``<``) for an element with its content, and for its self-closing form."""
+    return f"{tag}\\b.*?</{tag}>", f"{tag}\\s*/>"
 
 
 def strip_elements_pattern(tags) -> str:
-    """Static pattern (used by the oracle): one alternation, case-insensitive, dot-all."""
+    """Static pattern (used by the oracle): one alternation, case-insensitive, dot-all.
+
+    The shared ``<`` is factored out so positions that are not a tag fail at once.
+    """
     alts = []
     for t in tags:
         alts.extend(element_alternatives(t))
-    return "(?is)" + "|".join(alts)
+    return "(?is)<(?:" + "|".join(alts) + ")"
 
 
 def strip_elements(html: Column, tags) -> Column:
@@ -67,7 +70,7 @@ def strip_elements(html: Column, tags) -> Column:
         paired, selfclose = element_alternatives(t)
         parts.append(F.when(F.instr(low, f"</{t}") > 0, F.lit(paired)))
         parts.append(F.lit(selfclose))
-    pattern = F.concat(F.lit("(?is)"), F.concat_ws("|", *parts))
+    pattern = F.concat(F.lit("(?is)<(?:"), F.concat_ws("|", *parts), F.lit(")"))
     return F.regexp_replace(html, pattern, F.lit(""))
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import spread
 
 # The reference's splitter settings.
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
@@ -81,8 +80,7 @@ def chunk_documents(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
     if overlap > size:
         raise ValueError(f"overlap {overlap} larger than chunk size {size}")
     keep = [c for c in docs.columns if c != text]
-    src = spread(docs)
-    arr = src.select(*keep, chunker(size, overlap, sep)(F.col(text)).alias("__chunks"))
+    arr = docs.select(*keep, chunker(size, overlap, sep)(F.col(text)).alias("__chunks"))
     return arr.select(*keep, F.posexplode("__chunks").alias("chunk_idx", out)).withColumn(
         "chunk_idx", F.col("chunk_idx").cast("int"))
 

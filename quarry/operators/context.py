@@ -121,19 +121,26 @@ def _turn_totals(questions: DataFrame, rows: DataFrame, value: str, out: str) ->
     return running_sum(t, ["conv_id"], "turn", "__t", out)
 
 
-def pack_prior_hits(questions: DataFrame, history: DataFrame, index: DataFrame,
-                    budget: int = PRIOR_HITS_BUDGET, per_turn: int = PRIOR_HITS_PER_TURN,
-                    strict: bool = False, tokenizer=None) -> DataFrame:
+def prior_hit_rows(history: DataFrame, index: DataFrame, per_turn: int = PRIOR_HITS_PER_TURN,
+                   tokenizer=None) -> DataFrame:
+    """Each question's top hits as earlier-webpage pieces: ``conv_id, turn, rank, chunk_id, tokens, piece``."""
+    h = history.filter(F.col("rank") <= per_turn).join(index.select("chunk_id", "text", "url"), "chunk_id")
+    h = h.withColumn("piece", prior_article(F.col("text"), F.col("url")))
+    return h.select(*QKEY, "rank", "chunk_id", count_tokens(F.col("piece"), tokenizer).alias("tokens"), "piece")
+
+
+def select_prior_hits(questions: DataFrame, rows: DataFrame, budget: int = PRIOR_HITS_BUDGET,
+                      strict: bool = False) -> DataFrame:
     """Earlier hits kept for each question: ``conv_id, turn, src_turn, rank, chunk_id, tokens, piece``.
 
-    ``history`` holds every question's hit list (``conv_id, turn, rank, chunk_id``).
+    Tokens before row (h, r) for question t, newest first, are
+    ``A(t−) − A(h) + R(h, r)`` with ``A`` the running per-turn total of the
+    conversation and ``R`` the within-turn total of lower ranks, so the rule
+    is a row filter after the join, with no per-question window.
     """
-    h = history.filter(F.col("rank") <= per_turn).join(index.select("chunk_id", "text", "url"), "chunk_id")
-    h = h.withColumn("piece", prior_article(F.col("text"), F.col("url")))
-    h = h.withColumn("tokens", count_tokens(F.col("piece"), tokenizer))
-    tot = _turn_totals(questions, h, "tokens", "__A")          # __A: through this turn, __t: this turn
+    tot = _turn_totals(questions, rows, "tokens", "__A")          # __A: through this turn, __t: this turn
     wr = Window.partitionBy(*QKEY).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    h = (h.withColumn("__R", F.coalesce(F.sum("tokens").over(wr), F.lit(0)))
+    h = (rows.withColumn("__R", F.coalesce(F.sum("tokens").over(wr), F.lit(0)))
          .join(tot.select(*QKEY, "__A"), QKEY))
     q = tot.select("conv_id", F.col("turn").alias("__qt"), (F.col("__A") - F.col("__t")).alias("__prev"))
     j = h.join(q, "conv_id").filter(F.col("turn") < F.col("__qt"))
@@ -143,18 +150,29 @@ def pack_prior_hits(questions: DataFrame, history: DataFrame, index: DataFrame,
                                  "rank", "chunk_id", "tokens", "piece")
 
 
-def pack_prior_answers(questions: DataFrame, answers: DataFrame, budget: int = PRIOR_ANSWERS_BUDGET,
-                       strict: bool = False, tokenizer=None) -> DataFrame:
+def pack_prior_hits(questions: DataFrame, history: DataFrame, index: DataFrame,
+                    budget: int = PRIOR_HITS_BUDGET, per_turn: int = PRIOR_HITS_PER_TURN,
+                    strict: bool = False, tokenizer=None) -> DataFrame:
+    """Earlier hits kept for each question; ``history`` holds every question's hit list."""
+    return select_prior_hits(questions, prior_hit_rows(history, index, per_turn, tokenizer), budget, strict)
+
+
+def answer_rows(answers: DataFrame, tokenizer=None) -> DataFrame:
+    """Stored answers as pieces: ``conv_id, turn, tokens, piece`` (tokens of the answer text only)."""
+    return answers.select(*QKEY, count_tokens(F.col("qa"), tokenizer).alias("tokens"),
+                          prior_answer(F.col("qa")).alias("piece"))
+
+
+def select_prior_answers(questions: DataFrame, rows: DataFrame, budget: int = PRIOR_ANSWERS_BUDGET,
+                         strict: bool = False) -> DataFrame:
     """Earlier answers kept for each question: ``conv_id, turn, src_turn, tokens, piece``.
 
     Kept answers form a contiguous band of cumulative tokens
     ``[prev − budget, prev]``, so the join is bucketed on that band: each
     question meets at most two buckets of answers, never the whole conversation.
     """
-    a = answers.withColumn("tokens", count_tokens(F.col("qa"), tokenizer)).withColumn(
-        "piece", prior_answer(F.col("qa")))
-    tot = _turn_totals(questions, a, "tokens", "__C")
-    a = a.join(tot.select(*QKEY, "__C"), QKEY).withColumn("__b", F.floor(F.col("__C") / budget))
+    tot = _turn_totals(questions, rows, "tokens", "__C")
+    a = rows.join(tot.select(*QKEY, "__C"), QKEY).withColumn("__b", F.floor(F.col("__C") / budget))
     q = tot.select("conv_id", F.col("turn").alias("__qt"), (F.col("__C") - F.col("__t")).alias("__prev"))
     q = q.withColumn("__b", F.explode(F.sequence(F.floor((F.col("__prev") - budget) / budget),
                                                   F.floor(F.col("__prev") / budget))))
@@ -165,6 +183,11 @@ def pack_prior_answers(questions: DataFrame, answers: DataFrame, budget: int = P
                                  "tokens", "piece")
 
 
+def pack_prior_answers(questions: DataFrame, answers: DataFrame, budget: int = PRIOR_ANSWERS_BUDGET,
+                       strict: bool = False, tokenizer=None) -> DataFrame:
+    return select_prior_answers(questions, answer_rows(answers, tokenizer), budget, strict)
+
+
 # --- prompt -----------------------------------------------------------------------------
 
 def build_prompt(questions: DataFrame, docs: DataFrame, prior: DataFrame, answers: DataFrame,

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import html as H
-from quarry.session import spread
 
 
 def page_records(pages: DataFrame, depth: Column | None = None, profile: str = "default",
@@ -19,19 +18,14 @@ def page_records(pages: DataFrame, depth: Column | None = None, profile: str = "
     """
     tags, seed_tags = H.PROFILES[profile]
     d = depth if depth is not None else F.col("depth")
-    src = spread(pages)
-    rec = src.select(
-        "page_id",
-        H.page_text(F.col("html"), tags, seed_tags, d, phrases).alias("text"),
-        "url",
-        d.cast("int").alias("depth"),
-        H.extract_title(F.col("html")).alias("title"),
-    )
-    rec = rec.withColumn("model_num", F.when(F.col("title").isNotNull(), H.title_model_num(F.col("title"))))
-    rec = rec.withColumn("ps_num", H.url_part_num(F.col("url")))
+    rec = pages.select("page_id", "url", "html", d.cast("int").alias("depth"),
+                     H.extract_title(F.col("html")).alias("title"))
     if on_missing == "drop":
         rec = drop_untitled(rec)
-    return rec
+    rec = rec.select("page_id", H.page_text(F.col("html"), tags, seed_tags, F.col("depth"), phrases).alias("text"),
+                     "url", "depth", "title")
+    rec = rec.withColumn("model_num", F.when(F.col("title").isNotNull(), H.title_model_num(F.col("title"))))
+    return rec.withColumn("ps_num", H.url_part_num(F.col("url")))
 
 
 def drop_untitled(records: DataFrame) -> DataFrame:

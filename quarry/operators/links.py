@@ -83,14 +83,17 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = 8,
     checkpoint_dir(spark)
     n = spark.sparkContext.defaultParallelism
     e = edges.select(F.col(src).alias("__s"), F.col(dst).alias(key)).distinct().repartition(n, "__s").checkpoint()
-    visited = seeds.select(F.col(key)).distinct().withColumn("depth", F.lit(0)).checkpoint()
-    frontier = visited.select(F.col(key).alias("__s"))
+    level = seeds.select(F.col(key)).distinct().withColumn("depth", F.lit(0)).checkpoint()
+    visited = level
     for d in range(1, max_depth + 1):
-        nxt = (frontier.join(e, "__s").select(key).distinct()
-               .join(visited.select(key), key, "left_anti")
-               .withColumn("depth", F.lit(d)).checkpoint())
+        # new nodes = reached now and never visited: one keyed aggregation does distinct + anti-join
+        reached = level.select(F.col(key).alias("__s")).join(e, "__s").select(key, F.lit(0).alias("__seen"))
+        seen = visited.select(key, F.lit(1).alias("__seen"))
+        nxt = (reached.unionByName(seen).groupBy(key).agg(F.max("__seen").alias("__seen"))
+               .filter(F.col("__seen") == 0).select(key, F.lit(d).alias("depth")).checkpoint())
         if nxt.isEmpty():
             break
-        visited = visited.unionByName(nxt).checkpoint()
-        frontier = nxt.select(F.col(key).alias("__s"))
+        # visited is a union of checkpointed levels: no recomputation, lineage one level deep
+        visited = visited.unionByName(nxt)
+        level = nxt
     return visited.select(key, F.col("depth").cast("int").alias("depth"))

@@ -74,8 +74,10 @@ def cleaned_html(t: Tables, profile: str = "default") -> DataFrame:
     """Pages with their ordinary-page element list removed (links are read from this)."""
     from quarry.functions import html as H
 
+    from quarry.session import spread
+
     tags, _ = H.PROFILES[profile]
-    p = t.pages
+    p = spread(t.pages)
     return p.select("page_id", "url", H.strip_inputs(H.strip_elements(F.col("html"), tags)).alias("html"),
                     H.extract_title(F.col("html")).alias("title"))
 

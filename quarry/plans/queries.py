@@ -130,7 +130,7 @@ def strip_elements(spark, sf_dir):
 @register
 def strip_elements_seed(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    p = _pages(t).join(fx.frontier_fx(t), "page_id")
+    p = _pages(t).join(fx.frontier_fx(t), "page_id")  # frontier is small: broadcast keeps the spread
     html = H.strip_elements_seed(F.col("html"), F.col("depth"), DEFAULT_TAGS, DEFAULT_SEED_TAGS)
     return p.select("page_id", "depth", html.alias("html"))
 
@@ -186,7 +186,7 @@ def url_part_num(spark, sf_dir):
 
 def crawled_records(t: Tables) -> DataFrame:
     """Page records of every page the crawl from page 0 reaches, with its depth."""
-    return EX.page_records(t.pages.join(fx.frontier_fx(t), "page_id"))
+    return EX.page_records(spread(t.pages).join(fx.frontier_fx(t), "page_id"))
 
 
 @register
@@ -242,7 +242,7 @@ from quarry.sources import files as FS  # noqa: E402
 
 
 def _chunks_of_documents(t: Tables, size, overlap, sep) -> DataFrame:
-    d = t.documents.select("doc_id", "text")
+    d = spread(t.documents.select("doc_id", "text"))
     return CH.chunk_documents(d, "text", size, overlap, sep).select("doc_id", "chunk_idx", "text")
 
 

@@ -62,11 +62,12 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that arrives in fewer partitions than the cluster has cores.
+    """Spread a *scan* that arrives in fewer partitions than the cluster has cores.
 
     Each driver file holds a single row group, so its scan is one task.  Large
     inputs (many files / row groups) already arrive split and are left alone,
-    so no extra shuffle is added at scale.
+    so no extra shuffle is added at scale.  Call it on table reads only: asking
+    a plan with exchanges for its partition count would run those exchanges.
     """
     if df.isStreaming:
         return df
