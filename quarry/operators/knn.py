@@ -1,14 +1,22 @@
-"""Exact nearest-neighbour search as a skew-aware grid of cogrouped cells.
+"""Exact nearest-neighbour search without pair rows and without an index shuffle
+when the question batch is small.
 
 Questions and index rows meet only inside their filter group (the id
-equi-join); a group is cut into an R × C grid of cells — questions spread
-over R row blocks, index rows over C column blocks, each side replicated
-along the other axis — so no cell holds more than ``q_cell`` questions or
-``i_cell`` vectors, however hot the key.  A cell computes squared L2
-distances with one matrix product and emits only its top-k per question;
-a final window keeps the global top-k.  No pair is ever a row and nothing
-passes through the driver except the per-group counts, whose size is checked
-before they are broadcast.
+equi-join).  Two physical strategies, chosen by a size check:
+
+* broadcast kernel — the question batch (count × dimension checked against
+  ``BROADCAST_BYTES``) is shipped to every task; each index partition is
+  scored where it lies with matrix products and keeps a running top-k per
+  question across its Arrow batches, so only k candidates per question per
+  partition are shuffled;
+* grid — otherwise each group is cut into an R × C grid of cells — questions
+  spread over R row blocks, index rows over C column blocks, each side
+  replicated along the other axis — so no cell holds more than ``q_cell``
+  questions or ``i_cell`` vectors, however hot the key; a cogroup scores a
+  cell and emits only its top-k per question.
+
+A final window (two levels when a question has candidates from many cells)
+keeps the global top-k by (score, id).
 """
 
 from __future__ import annotations
@@ -26,10 +34,13 @@ from quarry.functions.ids import NA, ROUTE_BOTH, ROUTE_MODEL, ROUTE_NONE, ROUTE_
 SCORE_DIGITS = 9            # scores rounded so ties are exact on every engine
 MAX_BROADCAST_GROUPS = 200_000
 MIN_CELL_ROWS = 256
+BROADCAST_BYTES = 64 << 20  # question batch shipped to every task when at most this large
+REDUCE_FAN = 128            # candidate blocks merged per first-level reducer
 
 
-def _grid_size(n: int, cell: int) -> int:
-    return max(1, math.ceil(n / cell))
+def _scores(Q: np.ndarray, qn: np.ndarray, X: np.ndarray, digits: int) -> np.ndarray:
+    s = qn[:, None] + np.einsum("ij,ij->i", X, X)[None, :] - 2.0 * (Q @ X.T)
+    return np.round(np.maximum(s, 0.0), digits) + 0.0
 
 
 def _cell_kernel(qkey, k: int, digits: int, block: int = 4096):
@@ -47,9 +58,7 @@ def _cell_kernel(qkey, k: int, digits: int, block: int = 4096):
         best_s = np.empty((len(Q), 0))
         best_i = np.empty((len(Q), 0), dtype=xid.dtype)
         for lo in range(0, len(X), block):
-            Xb = X[lo:lo + block]
-            s = qn[:, None] + np.einsum("ij,ij->i", Xb, Xb)[None, :] - 2.0 * (Q @ Xb.T)
-            s = np.round(np.maximum(s, 0.0), digits) + 0.0
+            s = _scores(Q, qn, X[lo:lo + block], digits)
             cand_s = np.hstack([best_s, s])
             cand_i = np.hstack([best_i, np.broadcast_to(xid[lo:lo + block], s.shape)])
             best_s, best_i = _select_topk_pairs(cand_s, cand_i, k, digits)
@@ -63,7 +72,7 @@ def _cell_kernel(qkey, k: int, digits: int, block: int = 4096):
 
 
 def _select_topk_pairs(s: np.ndarray, ids: np.ndarray, k: int, digits: int):
-    """Like ``_select_topk`` but ids may differ per row (candidate lists)."""
+    """Row-wise k smallest (score, id) pairs of candidate lists; exact tie-break on id."""
     m, n = s.shape
     if n <= k:
         kk = n
@@ -84,6 +93,63 @@ def _select_topk_pairs(s: np.ndarray, ids: np.ndarray, k: int, digits: int):
     return np.take_along_axis(s, srt, axis=1), np.take_along_axis(ids, srt, axis=1)
 
 
+def _broadcast_kernel(bc, gcols, qkey, k: int, digits: int, qblock: int = 2048, xblock: int = 4096):
+    """mapInPandas body: score this partition's index rows against the broadcast questions."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        groups = bc.value
+        best: dict = {}
+        for pdf in batches:
+            pdf = pdf[pdf["__xv"].notna()]
+            if len(pdf) == 0:
+                continue
+            for gk, sub in pdf.groupby(gcols, sort=False, dropna=False):
+                gk = gk if isinstance(gk, tuple) else (gk,)
+                ent = groups.get(gk)
+                if ent is None:
+                    continue
+                qcols, Q, qn = ent
+                X = np.stack(sub["__xv"].to_numpy()).astype(np.float64)
+                if X.shape[1] != Q.shape[1]:
+                    raise ValueError(f"dimension mismatch: questions {Q.shape[1]}, index {X.shape[1]}")
+                xid = sub["__id"].to_numpy()
+                cur = best.get(gk)
+                for lo in range(0, len(X), xblock):
+                    Xb, ib = X[lo:lo + xblock], xid[lo:lo + xblock]
+                    parts_s, parts_i = [], []
+                    for qlo in range(0, len(Q), qblock):
+                        sc = _scores(Q[qlo:qlo + qblock], qn[qlo:qlo + qblock], Xb, digits)
+                        parts_s.append(sc)
+                        parts_i.append(np.broadcast_to(ib, sc.shape))
+                    cs, ci = np.vstack(parts_s), np.vstack(parts_i)
+                    if cur is not None:
+                        cs, ci = np.hstack([cur[0], cs]), np.hstack([cur[1], ci])
+                    cur = _select_topk_pairs(cs, ci, k, digits)
+                best[gk] = cur
+        part = TaskContext.get().partitionId()
+        for gk, (bs, bi) in best.items():
+            qcols = groups[gk][0]
+            m, kk = bs.shape
+            out = {c: np.repeat(qcols[c], kk) for c in qkey}
+            out["__id"] = bi.reshape(-1)
+            out["score"] = bs.reshape(-1)
+            out["__cell"] = np.full(m * kk, part, dtype=np.int64)
+            yield pd.DataFrame(out)
+
+    return run
+
+
+def _final_topk(cand: DataFrame, qkey, k: int, fan: int) -> DataFrame:
+    """Global top-k per question; candidates from many cells are merged in two levels."""
+    if fan > REDUCE_FAN:
+        w1 = Window.partitionBy(*qkey, F.floor(F.col("__cell") / REDUCE_FAN)).orderBy("score", "__id")
+        cand = cand.withColumn("__r1", F.row_number().over(w1)).filter(F.col("__r1") <= k).drop("__r1")
+    w = Window.partitionBy(*qkey).orderBy(F.col("score"), F.col("__id"))
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("__cell")
+
+
 def nearest(
     index: DataFrame,
     questions: DataFrame,
@@ -98,13 +164,15 @@ def nearest(
     q_cell: int = 2048,
     i_cell: int = 20000,
     digits: int = SCORE_DIGITS,
+    strategy: str = "auto",
 ) -> DataFrame:
     """Top-k nearest index rows per question by squared L2, ranked by (score, id).
 
     ``qgroup``/``igroup`` are equal-length lists of Columns: a question is
     only compared with index rows whose group values are equal (the filter).
     ``igroup`` may hold one array-of-struct Column instead, giving each index
-    row several groups (it is exploded before the shuffle).
+    row several groups (it is exploded before any shuffle).
+    ``strategy``: ``auto`` (size check), ``broadcast`` or ``grid``.
     Returns ``qkey…, ikey, score, rank``.
     """
     spark = questions.sparkSession
@@ -121,7 +189,31 @@ def nearest(
         x = index.select(F.col(ikey).alias("__id"), F.col(ivec).alias("__xv"),
                          *[g.alias(f"__g{i}") for i, g in enumerate(igroup)])
 
+    qfields = [questions.schema[c] for c in qkey]
+    id_field = index.schema[ikey]
+    out_schema = T.StructType(
+        [T.StructField(f.name, f.dataType) for f in qfields]
+        + [T.StructField("__id", id_field.dataType), T.StructField("score", T.DoubleType()),
+           T.StructField("__cell", T.LongType())]
+    )
     parallel = spark.sparkContext.defaultParallelism
+
+    if strategy != "grid":
+        # size check: question count × dimension, read from the questions only
+        size = q.select(F.count(F.lit(1)).alias("n"), F.max(F.size("__qv")).alias("d")).first()
+        n_q, dim = int(size["n"] or 0), int(size["d"] or 0)
+        if strategy == "broadcast" or n_q * max(dim, 1) * 8 <= BROADCAST_BYTES:
+            pq = q.filter(F.col("__qv").isNotNull()).toPandas()
+            groups = {}
+            for gk, sub in pq.groupby(gcols, sort=False, dropna=False):
+                gk = gk if isinstance(gk, tuple) else (gk,)
+                Q = np.stack(sub["__qv"].to_numpy()).astype(np.float64)
+                groups[gk] = ({c: sub[c].to_numpy() for c in qkey}, Q, np.einsum("ij,ij->i", Q, Q))
+            bc = spark.sparkContext.broadcast(groups)
+            xs = x if x.rdd.getNumPartitions() >= parallel else x.repartition(parallel)
+            cand = xs.mapInPandas(_broadcast_kernel(bc, gcols, qkey, k, digits), out_schema)
+            return _final_topk(cand, qkey, k, xs.rdd.getNumPartitions()).withColumnRenamed("__id", ikey)
+
     qs = q.groupBy(*gcols).agg(F.count(F.lit(1)).alias("__nq"))
     xs = x.groupBy(*gcols).agg(F.count(F.lit(1)).alias("__nx"))
     stats = qs.join(xs, gcols, "inner")
@@ -135,7 +227,7 @@ def nearest(
         ).cast("int").alias("__nc"),
     )
     # The counts are one row per filter group; broadcast them only when that is proven small.
-    n_groups = stats.count()
+    n_groups, max_c = stats.select(F.count(F.lit(1)), F.max("__nc")).first()
     stats_side = F.broadcast(stats) if n_groups <= MAX_BROADCAST_GROUPS else stats
 
     qh = F.xxhash64(*[F.col(c) for c in qkey])
@@ -148,19 +240,12 @@ def nearest(
              .withColumn("__r", F.explode(F.sequence(F.lit(0), F.col("__nr") - 1)))
              .drop("__nr", "__nc"))
 
-    qfields = [questions.schema[c] for c in qkey]
-    id_field = index.schema[ikey]
-    out_schema = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in qfields]
-        + [T.StructField("__id", id_field.dataType), T.StructField("score", T.DoubleType())]
-    )
     keys = gcols + ["__r", "__c"]
+    cell_schema = T.StructType(out_schema.fields[:-1])
     cand = q_rep.groupBy(*keys).cogroup(x_rep.groupBy(*keys)).applyInPandas(
-        _cell_kernel(qkey, k, digits), out_schema)
-    w = Window.partitionBy(*qkey).orderBy(F.col("score"), F.col("__id"))
-    return (cand.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k)
-            .withColumnRenamed("__id", ikey))
+        _cell_kernel(qkey, k, digits), cell_schema)
+    cand = cand.withColumn("__cell", F.xxhash64("__id") % (max_c or 1))
+    return _final_topk(cand, qkey, k, int(max_c or 1)).withColumnRenamed("__id", ikey)
 
 
 # --- search operators -------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Grid k-NN equals brute force, with tiny cells so every group is split."""
 
 import numpy as np
-from pyspark.sql import functions as F
+import pytest
 
 from quarry.operators import knn
 
@@ -15,20 +15,23 @@ def brute(Q, X, qids, xids, k, mask=None):
     return out
 
 
-def test_grid_knn_matches_brute_force(spark):
+@pytest.mark.parametrize("strategy,fan", [("broadcast", 128), ("grid", 128), ("grid", 2), ("broadcast", 1)])
+def test_knn_matches_brute_force(spark, monkeypatch, strategy, fan):
+    monkeypatch.setattr(knn, "REDUCE_FAN", fan)
     rng = np.random.default_rng(1)
     X = rng.integers(0, 4, size=(300, 6)).astype(np.float32)      # many exact ties
     Q = rng.integers(0, 4, size=(40, 6)).astype(np.float32)
     idx = spark.createDataFrame([(int(i), X[i].tolist()) for i in range(len(X))], "chunk_id long, embedding array<float>")
     qs = spark.createDataFrame([(int(i), Q[i].tolist()) for i in range(len(Q))], "query_id long, qvec array<float>")
-    got = knn.nearest(idx, qs, 7, q_cell=6, i_cell=25)
+    got = knn.nearest(idx, qs, 7, q_cell=6, i_cell=25, strategy=strategy)
     res = {}
     for r in got.orderBy("query_id", "rank").collect():
         res.setdefault(r.query_id, []).append(r.chunk_id)
     assert res == brute(Q.astype(float), X.astype(float), list(range(40)), list(range(300)), 7)
 
 
-def test_filtered_search_with_hot_key_and_fallback(spark):
+@pytest.mark.parametrize("strategy", ["broadcast", "grid"])
+def test_filtered_search_with_hot_key_and_fallback(spark, strategy):
     rng = np.random.default_rng(2)
     n = 400
     X = rng.normal(size=(n, 5)).astype(np.float32)
@@ -41,7 +44,7 @@ def test_filtered_search_with_hot_key_and_fallback(spark):
     Q = rng.normal(size=(len(qm), 5)).astype(np.float32)
     qs = spark.createDataFrame([(i, Q[i].tolist(), qm[i], qp[i]) for i in range(len(qm))],
                                "query_id long, qvec array<float>, model_num string, ps_num string")
-    got = knn.search(idx, qs, 5, 3, q_cell=2, i_cell=40)
+    got = knn.search(idx, qs, 5, 3, q_cell=2, i_cell=40, strategy=strategy)
     res = {}
     for r in got.orderBy("query_id", "rank").collect():
         res.setdefault(r.query_id, []).append((r.chunk_id, r.fallback))
