@@ -81,8 +81,10 @@ def chunk_documents(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE,
         raise ValueError(f"overlap {overlap} larger than chunk size {size}")
     keep = [c for c in docs.columns if c != text]
     arr = docs.select(*keep, chunker(size, overlap, sep)(F.col(text)).alias("__chunks"))
-    return arr.select(*keep, F.posexplode("__chunks").alias("chunk_idx", out)).withColumn(
-        "chunk_idx", F.col("chunk_idx").cast("int"))
+    # outer form: an inner generator makes Catalyst infer a size(...) > 0 filter below
+    # the projection, which would run the chunk UDF (and everything under it) twice
+    x = arr.select(*keep, F.posexplode_outer("__chunks").alias("chunk_idx", out))
+    return x.filter(F.col("chunk_idx").isNotNull()).withColumn("chunk_idx", F.col("chunk_idx").cast("int"))
 
 
 def chunk_words(docs: DataFrame, text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,

@@ -35,7 +35,8 @@ def extract_links(pages: DataFrame, html: Column | None = None) -> DataFrame:
     """
     h = html if html is not None else F.col("html")
     raw = F.regexp_extract_all(F.regexp_replace(h, H.COMMENT, " "), F.lit(HREF), 1)
-    x = pages.select("page_id", "url", F.posexplode(raw).alias("ord", "__v"))
+    # outer form + filter: avoids a second evaluation of the regex through an inferred size filter
+    x = pages.select("page_id", "url", F.posexplode_outer(raw).alias("ord", "__v")).filter(F.col("ord").isNotNull())
     return x.select("page_id", "url", F.col("ord").cast("int").alias("ord"),
                     H.unescape_html(_unquote(F.col("__v"))).alias("href"))
 

@@ -186,7 +186,8 @@ def url_part_num(spark, sf_dir):
 
 def crawled_records(t: Tables) -> DataFrame:
     """Page records of every page the crawl from page 0 reaches, with its depth."""
-    return EX.page_records(spread(t.pages).join(fx.frontier_fx(t), "page_id"))
+    seeds = t.pages.filter(F.col("page_id") == 0).select("page_id")
+    return EX.crawl_records(spread(t.pages), fx.frontier_fx(t), seeds)
 
 
 @register
