@@ -197,21 +197,22 @@ def build_prompt(questions: DataFrame, docs: DataFrame, prior: DataFrame, answer
     Only questions with at least one kept article get a prompt (the others get
     the fixed reply, see ``no_hit_answer``).
     """
-    asked = docs.select(*QKEY).distinct()
-    q = questions.join(asked, QKEY, "left_semi")
-
     def part(df, sec, k1, k2):
         return df.select(*QKEY, F.struct(F.lit(sec).alias("s"), k1.cast("long").alias("a"),
                                          k2.cast("long").alias("b"), F.col("piece").alias("p")).alias("x"))
 
+    q = questions.select(*QKEY, "query")
     pieces = (part(q.withColumn("piece", F.lit(intro)), 0, F.lit(0), F.lit(0))
               .unionByName(part(docs, 1, F.col("rank"), F.lit(0)))
               .unionByName(part(prior, 2, -F.col("src_turn"), F.col("rank")))
               .unionByName(part(answers, 3, -F.col("src_turn"), F.lit(0)))
               .unionByName(part(q.withColumn("piece", question_piece(F.col("query"))), 4, F.lit(0), F.lit(0))))
-    agg = pieces.groupBy(*QKEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"]),
-                                                 "").alias("prompt"))
-    out = q.select(*QKEY, "query").join(agg, QKEY)
+    xs = F.array_sort(F.collect_list("x"))
+    agg = pieces.groupBy(*QKEY).agg(xs.alias("__xs"))
+    # a question gets a prompt only when it has at least one article (rank 1 is always kept)
+    agg = agg.filter(F.exists("__xs", lambda x: x["s"] == 1)).select(
+        *QKEY, F.array_join(F.transform("__xs", lambda x: x["p"]), "").alias("prompt"))
+    out = q.join(agg, QKEY)
     return out.withColumn("tokens_used", count_tokens(F.col("prompt"), tokenizer))
 
 

@@ -411,7 +411,10 @@ class Session:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.t = Tables(spark, sf_dir)
         self.index = page_index(spark, self.t)
-        self.questions = page_questions(self.t)
+        # embedded once: both searches and the packers read the written batch
+        qpath = work_path(spark, "questions")
+        page_questions(self.t).write.parquet(qpath)
+        self.questions = spark.read.parquet(qpath)
         hits = knn.search(self.index, self.questions, 25, 20, qkey=QKEY)
         self.hits = append_hits(spark, hits, work_path(spark, "search-history"))
         answered = self.hits.select(*QKEY).distinct()
