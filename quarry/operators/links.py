@@ -98,3 +98,49 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = 8,
         visited = visited.unionByName(nxt)
         level = nxt
     return visited.select(key, F.col("depth").cast("int").alias("depth"))
+
+
+def link_edges(pages: DataFrame, seed_urls, profile: str = "default", prefix: str | None = None,
+               excluded=(EXCLUDED_HREF,), drop_urls=None) -> DataFrame:
+    """Page-to-page edges of a stored crawl: ``(src, dst)`` page ids.
+
+    Each titled page is cleaned (seed pages with the seed element list), its
+    anchors resolved and filtered to the site, and targets matched to stored
+    pages by canonical URL (fragment dropped, arguments sorted).
+    """
+    tags, seed_tags = H.PROFILES[profile if profile in H.PROFILES else "default"]
+    crawl = CRAWL_PROFILES.get(profile, CRAWL_PROFILES["default"])
+    prefix = prefix or SITE_PREFIX
+    drop_urls = crawl["drop"] if drop_urls is None else drop_urls
+    seeds = [canonical_literal(u) for u in seed_urls]
+    is_seed = U.canonical_url(F.col("url")).isin(seeds)
+    cleaned = pages.select(
+        "page_id", "url", H.extract_title(F.col("html")).alias("title"),
+        H.strip_inputs(F.when(is_seed, H.strip_elements(F.col("html"), seed_tags))
+                       .otherwise(H.strip_elements(F.col("html"), tags))).alias("html"),
+    ).filter(F.col("title").isNotNull())
+    links = filter_links(resolve_links(extract_links(cleaned)), prefix, excluded, drop_urls)
+    targets = pages.select(F.col("page_id").alias("dst"), U.canonical_url(F.col("url")).alias("__u"))
+    return (links.select(F.col("page_id").alias("src"), U.canonical_url(F.col("abs_url")).alias("__u"))
+            .join(targets, "__u").select("src", "dst").distinct())
+
+
+def canonical_literal(url: str) -> str:
+    """Driver-side canonical form of a literal seed URL (same rule as ``canonical_url``)."""
+    base = url.split("#", 1)[0]
+    path, _, query = base.partition("?")
+    args = sorted(a for a in query.split("&") if a)
+    return path + ("?" + "&".join(args) if args else "")
+
+
+def site_crawl(pages: DataFrame, profile: str = "default", seed_urls=None, max_depth: int | None = None,
+               prefix: str | None = None) -> DataFrame:
+    """Which stored pages a crawl with this profile reaches, and at what depth: ``(page_id, url, depth)``."""
+    crawl = CRAWL_PROFILES[profile]
+    seed_urls = seed_urls or crawl["seeds"]
+    depth = crawl["max_depth"] if max_depth is None else max_depth
+    canon = [canonical_literal(u) for u in seed_urls]
+    seeds = pages.filter(U.canonical_url(F.col("url")).isin(canon)).select("page_id")
+    edges = link_edges(pages, seed_urls, profile, prefix)
+    reached = crawl_frontier(edges, seeds, depth)
+    return reached.join(pages.select("page_id", "url"), "page_id").select("page_id", "url", "depth")

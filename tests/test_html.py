@@ -110,3 +110,22 @@ def test_crawl_frontier_hop_distance(spark):
     seeds = spark.createDataFrame([(0,)], "page_id long")
     got = {r.page_id: r.depth for r in LK.crawl_frontier(edges, seeds, max_depth=3).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3}
+
+
+def test_site_crawl_profiles(spark):
+    site = "https://shop.example"
+    html = lambda title, links: f"<html><head><title>{title}</title></head><body>" + "".join(
+        f'<a href="{h}">x</a>' for h in links) + "</body></html>"
+    pages = spark.createDataFrame([
+        (0, site + "/", html("Home", ["/a", "/ShoppingCart.aspx", "https://other.example/z"])),
+        (1, site + "/a", html("A 1", ["/b?y=2&x=1#frag"])),
+        (2, site + "/b?x=1&y=2", html("B", ["/c"])),
+        (3, site + "/c", html("C", ["/a"])),
+        (4, site + "/ShoppingCart.aspx", html("Cart", [])),
+        (5, site + "/lost", html("Lost", [])),
+    ], "page_id long, url string, html string")
+    got = {r.page_id: r.depth for r in LK.site_crawl(pages, seed_urls=[site + "/"], prefix=site + "/").collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3}
+    got2 = {r.page_id: r.depth for r in LK.site_crawl(pages, seed_urls=[site + "/"], prefix=site + "/",
+                                                      max_depth=1).collect()}
+    assert got2 == {0: 0, 1: 1}
