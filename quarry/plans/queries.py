@@ -263,7 +263,8 @@ def chunk_paragraphs_no_overlap(spark, sf_dir):
 
 
 def _sparse(df: DataFrame, keys, vec: str = "embedding") -> DataFrame:
-    x = df.select(*keys, F.posexplode(vec).alias("bucket", "value"))
+    # outer generator: an inner one would get an inferred size filter that runs the embedder twice
+    x = df.select(*keys, F.posexplode_outer(vec).alias("bucket", "value"))
     return x.filter(F.col("value") != 0).select(*keys, F.col("bucket").cast("int").alias("bucket"),
                                                 F.col("value").cast("double").alias("value"))
 
