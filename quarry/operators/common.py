@@ -24,3 +24,19 @@ def running_sum(df: DataFrame, part, order: str, value: str, out: str, width: in
     inner = b.withColumn("__in", F.sum(value).over(wr))
     return (inner.join(boff, part + ["__blk"]).withColumn(out, F.col("__boff") + F.col("__in"))
             .drop("__blk", "__boff", "__in"))
+
+
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join a large table with a side that is usually small (hits, new keys).
+
+    The small side is counted first; within ``max_rows`` it is broadcast and
+    the large side streams through without a shuffle, beyond it an ordinary
+    (shuffled) join is used.
+    """
+    n = small.count()
+    side = F.broadcast(small) if n <= max_rows else small
+    return big.join(side, on, how)

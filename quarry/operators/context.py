@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import split_ws
-from quarry.operators.common import running_sum
+from quarry.operators.common import join_small, running_sum
 
 # Reply when nothing is found, system lines per channel, budgets.
 NO_ANSWER = "I could not find a direct answer."
@@ -91,7 +91,7 @@ def answer_record(question: Column, answer: Column) -> Column:
 
 def hit_articles(hits: DataFrame, index: DataFrame, tokenizer=None) -> DataFrame:
     """Hits joined with their chunk text and URL (only the ≤k winners are joined)."""
-    j = hits.join(index.select("chunk_id", "text", "url"), "chunk_id")
+    j = join_small(index.select("chunk_id", "text", "url"), hits, "chunk_id")
     piece = article(F.col("text"), F.col("url"), F.col("score"))
     return j.withColumn("piece", piece).withColumn("tokens", count_tokens(F.col("piece"), tokenizer))
 
@@ -124,7 +124,7 @@ def _turn_totals(questions: DataFrame, rows: DataFrame, value: str, out: str) ->
 def prior_hit_rows(history: DataFrame, index: DataFrame, per_turn: int = PRIOR_HITS_PER_TURN,
                    tokenizer=None) -> DataFrame:
     """Each question's top hits as earlier-webpage pieces: ``conv_id, turn, rank, chunk_id, tokens, piece``."""
-    h = history.filter(F.col("rank") <= per_turn).join(index.select("chunk_id", "text", "url"), "chunk_id")
+    h = join_small(index.select("chunk_id", "text", "url"), history.filter(F.col("rank") <= per_turn), "chunk_id")
     h = h.withColumn("piece", prior_article(F.col("text"), F.col("url")))
     return h.select(*QKEY, "rank", "chunk_id", count_tokens(F.col("piece"), tokenizer).alias("tokens"), "piece")
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import py_strip
+from quarry.operators.common import join_small
 from quarry.operators.chunk import CHUNK_OVERLAP, CHUNK_SIZE, WORD_SEP, chunk_documents
 from quarry.operators.embed import embed_column, embedder_info
 
@@ -100,7 +101,9 @@ def append_index(chunks: DataFrame, path: str, embedder="hash", resume: int = 0,
         fresh = False
     except Exception:  # noqa: BLE001 - no index yet: this append creates it
         fresh = True
-    ords = chunk_ordinals(chunks)
+    # chunk once: the ordinals, the appended slice and the total all read the staged rows
+    staged = chunks.checkpoint()
+    ords = chunk_ordinals(staged)
     sel = F.col("ordinal") >= resume
     end = None
     if cap is not None:
@@ -110,7 +113,7 @@ def append_index(chunks: DataFrame, path: str, embedder="hash", resume: int = 0,
     part.write.mode("append").parquet(path)
     if fresh:
         _write_meta(spark, path, embedder)
-    total = chunks.count()
+    total = staged.count()
     return total if end is None else min(end, total)
 
 
@@ -120,5 +123,5 @@ def upsert_index(old: DataFrame, new: DataFrame, keys=("url", "chunk_idx")) -> D
     Write the result to a fresh path (Parquet has no in-place update).
     """
     keys = list(keys)
-    kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
+    kept = join_small(old, new.select(*keys).distinct(), keys, "left_anti")
     return new.unionByName(kept.select(*new.columns))

@@ -384,6 +384,7 @@ def map_crawl_items(spark, sf_dir):
 # --- retrieval over the page index and context packing -------------------------------------
 
 from quarry.operators import context as CX  # noqa: E402
+from quarry.operators.common import join_small  # noqa: E402
 
 
 def page_index(spark: SparkSession, t: Tables) -> DataFrame:
@@ -524,7 +525,8 @@ def stream_ingest(spark, sf_dir):
 
 def context_events(s: "Session") -> DataFrame:
     """One event per question turn: its top hits (with earlier-webpage tokens) and its answer tokens."""
-    h = s.hits.filter(F.col("rank") <= CX.PRIOR_HITS_PER_TURN).join(s.index.select("chunk_id", "text", "url"), "chunk_id")
+    h = join_small(s.index.select("chunk_id", "text", "url"), s.hits.filter(F.col("rank") <= CX.PRIOR_HITS_PER_TURN),
+                   "chunk_id")
     h = h.withColumn("tokens", CX.count_tokens(CX.prior_article(F.col("text"), F.col("url"))))
     hits = h.groupBy(*QKEY).agg(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "chunk_id",
                                                         F.col("tokens").cast("int").alias("tokens"))).alias("hits"))
