@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.ids import NA, ROUTE_BOTH, ROUTE_MODEL, ROUTE_NONE, ROUTE_PART, route
+from quarry.operators.common import join_small
 
 SCORE_DIGITS = 9            # scores rounded so ties are exact on every engine
 MAX_BROADCAST_GROUPS = 200_000
@@ -309,11 +310,14 @@ def knn_postfilter(index: DataFrame, questions: DataFrame, k: int = 25, fetch_k:
 def unmatched_questions(index: DataFrame, questions: DataFrame) -> DataFrame:
     """Questions whose id filter matches no index row (answered by the fallback)."""
     qr = with_route(questions)
+    gcols = ["__g0", "__g1", "__g2"]
     qg = qr.select("*", *[g.alias(f"__g{i}") for i, g in enumerate(_route_groups(qr))])
+    asked = qg.select(*gcols).distinct()
     ig = (index.select(F.explode(_index_route_groups()).alias("__gs"))
-          .select(*[F.col("__gs")[f"g{i}"].alias(f"__g{i}") for i in range(3)]).distinct())
-    gcols = ["__g0", "__g1", "__g2"]
-    return qg.join(ig, gcols, "left_anti").drop(*gcols)
+          .select(*[F.col("__gs")[f"g{i}"].alias(f"__g{i}") for i in range(3)]))
+    # only the groups some question asks for are kept before the distinct
+    present = join_small(ig, asked, gcols, "left_semi").distinct()
+    return qg.join(present, gcols, "left_anti").drop(*gcols)
 
 
 def knn_with_fallback(index: DataFrame, questions: DataFrame, k: int = 20, **kw) -> DataFrame:
@@ -321,8 +325,19 @@ def knn_with_fallback(index: DataFrame, questions: DataFrame, k: int = 20, **kw)
     return nearest(index, unmatched_questions(index, questions), k, **kw)
 
 
-def search(index: DataFrame, questions: DataFrame, k: int = 25, fallback_k: int = 20, **kw) -> DataFrame:
-    """Routed filtered search, plus the unfiltered fallback for empty results."""
-    hits = knn_filtered(index, questions, k, **kw).withColumn("fallback", F.lit(False))
-    fb = knn_with_fallback(index, questions, fallback_k, **kw).withColumn("fallback", F.lit(True))
-    return hits.unionByName(fb)
+def search(index: DataFrame, questions: DataFrame, k: int = 25, fallback_k: int = 20, qkey=("query_id",),
+           **kw) -> DataFrame:
+    """Routed filtered search, plus the unfiltered fallback for empty results, in one scan of the index.
+
+    Questions whose filter matches nothing are re-routed to the unfiltered
+    group before scoring; their top ``fallback_k`` is a prefix of that ranking.
+    """
+    qkey = list(qkey)
+    qr = with_route(questions)
+    fb = unmatched_questions(index, qr).select(*qkey).withColumn("fallback", F.lit(True))
+    q2 = qr.join(fb, qkey, "left").withColumn("fallback", F.coalesce(F.col("fallback"), F.lit(False)))
+    q2 = q2.withColumn("route", F.when(F.col("fallback"), F.lit(ROUTE_NONE)).otherwise(F.col("route")))
+    hits = nearest(index, q2, max(k, fallback_k), qkey=qkey, qgroup=_route_groups(q2),
+                   igroup=[_index_route_groups()], **kw)
+    hits = join_small(hits, q2.select(*qkey, "fallback"), qkey)
+    return hits.filter(F.col("rank") <= F.when(F.col("fallback"), F.lit(fallback_k)).otherwise(F.lit(k)))
