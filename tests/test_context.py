@@ -113,3 +113,21 @@ def test_no_hit_answer(spark):
     h = spark.createDataFrame([(1, 0, 1, 5)], "conv_id long, turn long, rank int, chunk_id long")
     got = sorted((r.turn, r.answer) for r in CX.no_hit_answer(q, h).collect())
     assert got == [(0, None), (1, CX.NO_ANSWER)]
+
+
+def test_bpe_tokenizer_plugin(spark):
+    import os
+
+    import pytest
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no local BPE table")
+    from quarry.functions.tokens import BpeTokenizer
+
+    tok = BpeTokenizer(path)
+    texts = ["Hello world, this is a test.", "", "Prix: 12,50 € — très bien!"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.n for r in df.select(CX.count_tokens(F.col("t"), tok).alias("n")).collect()]
+    assert got == [len(tok.encode(t)) for t in texts]
+    assert got[0] > 0 and got[1] == 0
