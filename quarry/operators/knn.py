@@ -21,7 +21,6 @@ keeps the global top-k by (score, id).
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd

@@ -67,7 +67,7 @@ union all select conv_id, turn, chunk_id, score, rank, true as fallback from fb
 # --- HTML → page record -------------------------------------------------------------------
 
 from quarry.functions import html as H  # noqa: E402
-from quarry.functions.urls import DOT_SEGMENT, ORIGIN, SCHEME  # noqa: E402
+from quarry.functions.urls import ORIGIN, SCHEME  # noqa: E402
 from quarry.operators.links import EXCLUDED_HREF, HREF  # noqa: E402
 
 TAGS, SEED_TAGS = H.PROFILES["default"]
