@@ -82,12 +82,17 @@ _SHIPPED: set = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``quarry`` importable on executors (pandas UDFs are pickled by module)."""
+    """Make ``quarry`` importable on local Python workers (pandas UDFs are pickled by module).
+
+    Only for local masters; on a cluster the package is shipped the usual way
+    (``--py-files`` / ``spark.submit.pyFiles`` or installed on the executors),
+    so no machine-local file is involved.
+    """
     import zipfile
 
     sc = spark.sparkContext
     key = id(sc._jsc)
-    if key in _SHIPPED:
+    if key in _SHIPPED or not sc.master.startswith("local"):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     fd, path = tempfile.mkstemp(prefix="quarry-pkg-", suffix=".zip")
