@@ -131,3 +131,18 @@ def test_bpe_tokenizer_plugin(spark):
     got = [r.n for r in df.select(CX.count_tokens(F.col("t"), tok).alias("n")).collect()]
     assert got == [len(tok.encode(t)) for t in texts]
     assert got[0] > 0 and got[1] == 0
+
+
+def test_strict_budgets_cut_before_the_crossing_row(spark):
+    q = spark.createDataFrame([(1, 0, "")], "conv_id long, turn long, query string")
+    arts = spark.createDataFrame([(1, 0, r + 1, r, 6, "p") for r in range(3)],
+                                 "conv_id long, turn long, rank int, chunk_id long, tokens int, piece string")
+    # base = 1 ("Question:"), budget 11: 1+6 fits, 1+6+6 does not
+    out = CX.pack_documents(q, arts, intro="", token_budget=11, reserved=0, strict=True)
+    assert sorted(r.rank for r in out.collect()) == [1]
+    qs = spark.createDataFrame([(1, i) for i in range(4)], "conv_id long, turn long")
+    rows = spark.createDataFrame([(1, i, r, i * 10 + r, 5, "p") for i in range(3) for r in (1, 2)],
+                                 "conv_id long, turn long, rank int, chunk_id long, tokens int, piece string")
+    got = sorted((r.src_turn, r.rank) for r in CX.select_prior_hits(qs, rows, 10, strict=True)
+                 .filter(F.col("turn") == 3).collect())
+    assert got == [(2, 1), (2, 2)]

@@ -66,3 +66,18 @@ def test_postfilter_sees_only_fetch_k(spark):
     qs = spark.createDataFrame([(0, [0.0], "M1", "N/A")], "query_id long, qvec array<float>, model_num string, ps_num string")
     assert knn.knn_postfilter(idx, qs, k=3, fetch_k=6).count() == 1            # only chunk 5 is within the nearest 6
     assert sorted(r.chunk_id for r in knn.knn_filtered(idx, qs, 3).collect()) == [5, 6, 7]
+
+
+def test_auto_strategy_switches_to_grid_beyond_the_broadcast_bound(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(120, 4)).astype(np.float32)
+    Q = rng.normal(size=(30, 4)).astype(np.float32)
+    idx = spark.createDataFrame([(int(i), X[i].tolist()) for i in range(len(X))], "chunk_id long, embedding array<float>")
+    qs = spark.createDataFrame([(int(i), Q[i].tolist()) for i in range(len(Q))], "query_id long, qvec array<float>")
+    want = brute(Q.astype(float), X.astype(float), list(range(30)), list(range(120)), 4)
+    for bound in (1 << 30, 16):                          # broadcast, then too large → grid
+        monkeypatch.setattr(knn, "BROADCAST_BYTES", bound)
+        res = {}
+        for r in knn.nearest(idx, qs, 4, q_cell=7, i_cell=30).orderBy("query_id", "rank").collect():
+            res.setdefault(r.query_id, []).append(r.chunk_id)
+        assert res == want
