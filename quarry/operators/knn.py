@@ -336,6 +336,8 @@ def search(index: DataFrame, questions: DataFrame, k: int = 25, fallback_k: int
     fb = unmatched_questions(index, qr).select(*qkey).withColumn("fallback", F.lit(True))
     q2 = qr.join(fb, qkey, "left").withColumn("fallback", F.coalesce(F.col("fallback"), F.lit(False)))
     q2 = q2.withColumn("route", F.when(F.col("fallback"), F.lit(ROUTE_NONE)).otherwise(F.col("route")))
+    # the routed batch feeds several small actions (size check, broadcast, flags): materialise it once
+    q2 = q2.checkpoint()
     hits = nearest(index, q2, max(k, fallback_k), qkey=qkey, qgroup=_route_groups(q2),
                    igroup=[_index_route_groups()], **kw)
     hits = join_small(hits, q2.select(*qkey, "fallback"), qkey)
