@@ -40,3 +40,25 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     n = small.count()
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, on, how)
+
+
+def next_row(df: DataFrame, part, order: str, cols, prefix: str = "next_", width: int = 4096) -> DataFrame:
+    """``lead`` of ``cols`` over integer ``order`` within ``part``, split for hot groups.
+
+    Rows are cut into blocks of ``width`` consecutive ``order`` values; the lead
+    is taken inside a block, and a block's last row takes the first row of the
+    next non-empty block (a window over one row per block).  No window holds
+    more than one block of a group.
+    """
+    part, cols = list(part), list(cols)
+    b = df.withColumn("__blk", F.floor(F.col(order) / width))
+    w = Window.partitionBy(*part, "__blk").orderBy(order)
+    inner = b.select("*", *[F.lead(c).over(w).alias(prefix + c) for c in cols],
+                     F.lead(F.lit(1)).over(w).isNull().alias("__last"))
+    firsts = b.groupBy(*part, "__blk").agg(F.min_by(F.struct(*cols), F.col(order)).alias("__first"))
+    wb = Window.partitionBy(*part).orderBy("__blk")
+    heads = firsts.select(*part, "__blk", F.lead("__first").over(wb).alias("__nf"))
+    j = inner.join(heads, part + ["__blk"], "left")
+    for c in cols:
+        j = j.withColumn(prefix + c, F.when(F.col("__last"), F.col("__nf")[c]).otherwise(F.col(prefix + c)))
+    return j.drop("__blk", "__last", "__nf")

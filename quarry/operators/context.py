@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import split_ws
-from quarry.operators.common import join_small, running_sum
+from quarry.operators.common import join_small, next_row, running_sum
 
 # Reply when nothing is found, system lines per channel, budgets.
 NO_ANSWER = "I could not find a direct answer."
@@ -232,7 +232,6 @@ def style_variant(prompts: DataFrame, channel: str) -> DataFrame:
 
 def answer_history(conversations: DataFrame) -> DataFrame:
     """``Question: …\\n\\nAnswer: …`` for every user turn answered by the next assistant turn."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    z = conversations.select("*", F.lead("text").over(w).alias("__next"), F.lead("role").over(w).alias("__nr"))
-    return z.filter((F.col("role") == "user") & (F.col("__nr") == "assistant")).select(
-        *QKEY, answer_record(F.col("text"), F.col("__next")).alias("qa"))
+    z = next_row(conversations.select(*QKEY, "role", "text"), ["conv_id"], "turn", ["role", "text"], "__n_")
+    return z.filter((F.col("role") == "user") & (F.col("__n_role") == "assistant")).select(
+        *QKEY, answer_record(F.col("text"), F.col("__n_text")).alias("qa"))

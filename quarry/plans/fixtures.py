@@ -53,13 +53,9 @@ def question_vectors(t: Tables, questions: DataFrame | None = None) -> DataFrame
 
 def qa_fx(t: Tables) -> DataFrame:
     """Question/answer strings: each user turn paired with the next turn when it is the assistant's."""
-    c = t.conversations
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    z = c.select("*", F.lead("text").over(w).alias("nxt"), F.lead("role").over(w).alias("nr"))
-    return z.filter((F.col("role") == "user") & (F.col("nr") == "assistant")).select(
-        "conv_id", "turn",
-        F.concat(F.lit("Question: "), F.col("text"), F.lit("\n\nAnswer: "), F.col("nxt")).alias("qa"),
-    )
+    from quarry.operators.context import answer_history
+
+    return answer_history(t.conversations)
 
 
 def timing_fx(t: Tables) -> DataFrame:

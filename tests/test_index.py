@@ -53,3 +53,15 @@ def test_running_sum_in_blocks_equals_cumsum(spark):
         for _, t, v in sorted(x for x in rows if x[0] == g):
             acc += v
             assert got[(g, t)] == acc
+
+
+def test_next_row_across_blocks_equals_lead(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(8)
+    rows = [(g, t, f"r{g}-{t}") for g in range(3) for t in sorted(rng.sample(range(300), 50))]
+    df = spark.createDataFrame(rows, "g long, t long, v string")
+    got = {(r.g, r.t): r.next_v for r in CM.next_row(df, ["g"], "t", ["v"], width=8).collect()}
+    w = Window.partitionBy("g").orderBy("t")
+    want = {(r.g, r.t): r.nv for r in df.select("g", "t", F.lead("v").over(w).alias("nv")).collect()}
+    assert got == want
