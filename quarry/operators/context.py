@@ -89,9 +89,14 @@ def answer_record(question: Column, answer: Column) -> Column:
     return F.concat(F.lit("Question: "), question, F.lit("\n\nAnswer: "), answer)
 
 
+def hit_text(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """Hits with their chunk text and URL: the index streams past the broadcast hits once."""
+    return join_small(index.select("chunk_id", "text", "url"), hits, "chunk_id")
+
+
 def hit_articles(hits: DataFrame, index: DataFrame, tokenizer=None) -> DataFrame:
     """Hits joined with their chunk text and URL (only the ≤k winners are joined)."""
-    j = join_small(index.select("chunk_id", "text", "url"), hits, "chunk_id")
+    j = hits if "text" in hits.columns else join_small(index.select("chunk_id", "text", "url"), hits, "chunk_id")
     piece = article(F.col("text"), F.col("url"), F.col("score"))
     return j.withColumn("piece", piece).withColumn("tokens", count_tokens(F.col("piece"), tokenizer))
 
@@ -124,7 +129,9 @@ def _turn_totals(questions: DataFrame, rows: DataFrame, value: str, out: str) ->
 def prior_hit_rows(history: DataFrame, index: DataFrame, per_turn: int = PRIOR_HITS_PER_TURN,
                    tokenizer=None) -> DataFrame:
     """Each question's top hits as earlier-webpage pieces: ``conv_id, turn, rank, chunk_id, tokens, piece``."""
-    h = join_small(index.select("chunk_id", "text", "url"), history.filter(F.col("rank") <= per_turn), "chunk_id")
+    h = history.filter(F.col("rank") <= per_turn)
+    if "text" not in h.columns:
+        h = join_small(index.select("chunk_id", "text", "url"), h, "chunk_id")
     h = h.withColumn("piece", prior_article(F.col("text"), F.col("url")))
     return h.select(*QKEY, "rank", "chunk_id", count_tokens(F.col("piece"), tokenizer).alias("tokens"), "piece")
 

@@ -47,9 +47,9 @@ def resolve_links(links: DataFrame, base: str = "url", href: str = "href") -> Da
     References with dot segments go through ``urljoin``; the rest stay native.
     """
     dots = U.needs_dot_removal(F.col(href))
-    native = links.filter(~dots).withColumn("abs_url", U.resolve_native(F.col(base), F.col(href)))
-    joined = links.filter(dots).withColumn("abs_url", U.urljoin_udf(F.col(base), F.col(href)))
-    return native.unionByName(joined)
+    # one pass over the links: the Python join only decides rows with dot segments
+    return links.withColumn("abs_url", F.when(dots, U.urljoin_udf(F.col(base), F.col(href)))
+                            .otherwise(U.resolve_native(F.col(base), F.col(href))))
 
 
 def filter_links(links: DataFrame, prefix: str | Column = SITE_PREFIX, excluded=(EXCLUDED_HREF,),

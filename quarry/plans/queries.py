@@ -67,7 +67,10 @@ def resolve_id_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def route_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routed_questions(Tables(spark, sf_dir)).select(*QKEY, "model_num", "ps_num", "route")
+    q = fx.question_fx(Tables(spark, sf_dir))
+    ps = ids.query_part_num(F.col("query"))
+    m = ids.resolve_id_clash(ids.query_model_num(F.col("query")), ps)
+    return q.select(*QKEY, m.alias("model_num"), ps.alias("ps_num"), ids.route(m, ps).alias("route"))
 
 
 @register
@@ -419,14 +422,20 @@ class Session:
         self.questions = spark.read.parquet(qpath)
         hits = knn.search(self.index, self.questions, 25, 20, qkey=QKEY)
         self.hits = append_hits(spark, hits, work_path(spark, "search-history"))
+        # chunk text attached once: every packer reads this small table, the index is scanned once
+        tpath = work_path(spark, "hit-text")
+        CX.hit_text(self.hits, self.index).write.parquet(tpath)
+        self.hits_text = spark.read.parquet(tpath)
         answered = self.hits.select(*QKEY).distinct()
-        self.answers = CX.answer_history(self.t.conversations).join(answered, QKEY, "left_semi")
+        apath = work_path(spark, "answer-history")
+        CX.answer_history(self.t.conversations).join(answered, QKEY, "left_semi").write.parquet(apath)
+        self.answers = spark.read.parquet(apath)
 
     def docs(self, intro=CX.INTRO_TEXT):
-        return CX.pack_documents(self.questions, CX.hit_articles(self.hits, self.index), intro)
+        return CX.pack_documents(self.questions, CX.hit_articles(self.hits_text, self.index), intro)
 
     def prior(self):
-        return CX.pack_prior_hits(self.questions, self.hits, self.index)
+        return CX.pack_prior_hits(self.questions, self.hits_text, self.index)
 
     def prior_answers(self):
         return CX.pack_prior_answers(self.questions, self.answers)
@@ -525,8 +534,7 @@ def stream_ingest(spark, sf_dir):
 
 def context_events(s: "Session") -> DataFrame:
     """One event per question turn: its top hits (with earlier-webpage tokens) and its answer tokens."""
-    h = join_small(s.index.select("chunk_id", "text", "url"), s.hits.filter(F.col("rank") <= CX.PRIOR_HITS_PER_TURN),
-                   "chunk_id")
+    h = s.hits_text.filter(F.col("rank") <= CX.PRIOR_HITS_PER_TURN)
     h = h.withColumn("tokens", CX.count_tokens(CX.prior_article(F.col("text"), F.col("url"))))
     hits = h.groupBy(*QKEY).agg(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "chunk_id",
                                                         F.col("tokens").cast("int").alias("tokens"))).alias("hits"))
