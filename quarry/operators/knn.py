@@ -210,6 +210,11 @@ def nearest(
                 Q = np.stack(sub["__qv"].to_numpy()).astype(np.float64)
                 groups[gk] = ({c: sub[c].to_numpy() for c in qkey}, Q, np.einsum("ij,ij->i", Q, Q))
             bc = spark.sparkContext.broadcast(groups)
+            # only index rows of groups some question asks for cross into Python (JVM-side semi-join
+            # against the broadcast group keys; the partitioning of the scan is kept)
+            keys = spark.createDataFrame([tuple(g) for g in groups], q.select(*gcols).schema) if groups else None
+            if keys is not None and (igroup is not None):
+                x = x.join(F.broadcast(keys), gcols, "left_semi")
             xs = x if x.rdd.getNumPartitions() >= parallel else x.repartition(parallel)
             cand = xs.mapInPandas(_broadcast_kernel(bc, gcols, qkey, k, digits), out_schema)
             return _final_topk(cand, qkey, k, xs.rdd.getNumPartitions()).withColumnRenamed("__id", ikey)
