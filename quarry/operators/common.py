@@ -30,14 +30,15 @@ MAX_BROADCAST_ROWS = 2_000_000
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+               max_rows: int = MAX_BROADCAST_ROWS, bound: int | None = None) -> DataFrame:
     """Join a large table with a side that is usually small (hits, new keys).
 
-    The small side is counted first; within ``max_rows`` it is broadcast and
-    the large side streams through without a shuffle, beyond it an ordinary
-    (shuffled) join is used.
+    The small side's size is proven first — by ``bound`` when the caller knows
+    an upper bound (e.g. questions × k), else by counting it; within
+    ``max_rows`` it is broadcast and the large side streams through without a
+    shuffle, beyond it an ordinary (shuffled) join is used.
     """
-    n = small.count()
+    n = bound if bound is not None else small.count()
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, on, how)
 

@@ -89,9 +89,9 @@ def answer_record(question: Column, answer: Column) -> Column:
     return F.concat(F.lit("Question: "), question, F.lit("\n\nAnswer: "), answer)
 
 
-def hit_text(hits: DataFrame, index: DataFrame) -> DataFrame:
+def hit_text(hits: DataFrame, index: DataFrame, bound: int | None = None) -> DataFrame:
     """Hits with their chunk text and URL: the index streams past the broadcast hits once."""
-    return join_small(index.select("chunk_id", "text", "url"), hits, "chunk_id")
+    return join_small(index.select("chunk_id", "text", "url"), hits, "chunk_id", bound=bound)
 
 
 def hit_articles(hits: DataFrame, index: DataFrame, tokenizer=None) -> DataFrame:

@@ -404,9 +404,10 @@ def page_questions(t: Tables) -> DataFrame:
 
 
 def append_hits(spark: SparkSession, hits: DataFrame, path: str) -> DataFrame:
-    """Append one search's hit lists to the history table and read the table back."""
-    hits.select(*QKEY, F.col("rank").cast("int").alias("rank"), "chunk_id", "score", "fallback") \
-        .write.mode("append").parquet(path)
+    """Append one search's hit lists (with the documents, as the reference keeps them) and read back."""
+    cols = [*QKEY, F.col("rank").cast("int").alias("rank"), "chunk_id", "score", "fallback"]
+    cols += [c for c in ("text", "url") if c in hits.columns]
+    hits.select(*cols).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -421,11 +422,11 @@ class Session:
         page_questions(self.t).write.parquet(qpath)
         self.questions = spark.read.parquet(qpath)
         hits = knn.search(self.index, self.questions, 25, 20, qkey=QKEY)
-        self.hits = append_hits(spark, hits, work_path(spark, "search-history"))
-        # chunk text attached once: every packer reads this small table, the index is scanned once
-        tpath = work_path(spark, "hit-text")
-        CX.hit_text(self.hits, self.index).write.parquet(tpath)
-        self.hits_text = spark.read.parquet(tpath)
+        # documents attached in the same job (hits ≤ questions × 25 are broadcast, the index streams once);
+        # every packer reads this history table
+        bound = self.questions.count() * 25
+        self.hits = append_hits(spark, CX.hit_text(hits, self.index, bound), work_path(spark, "search-history"))
+        self.hits_text = self.hits
         answered = self.hits.select(*QKEY).distinct()
         apath = work_path(spark, "answer-history")
         CX.answer_history(self.t.conversations).join(answered, QKEY, "left_semi").write.parquet(apath)
