@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.functions import html as H
@@ -90,9 +90,12 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = 8,
         # new nodes = reached now and never visited: one keyed aggregation does distinct + anti-join
         reached = level.select(F.col(key).alias("__s")).join(e, "__s").select(key, F.lit(0).alias("__seen"))
         seen = visited.select(key, F.lit(1).alias("__seen"))
+        # the level size is observed during the checkpoint job itself (no extra emptiness job)
+        obs = Observation(f"frontier-{d}")
         nxt = (reached.unionByName(seen).groupBy(key).agg(F.max("__seen").alias("__seen"))
-               .filter(F.col("__seen") == 0).select(key, F.lit(d).alias("depth")).checkpoint())
-        if nxt.isEmpty():
+               .filter(F.col("__seen") == 0).select(key, F.lit(d).alias("depth"))
+               .observe(obs, F.count(F.lit(1)).alias("n")).checkpoint())
+        if not obs.get["n"]:
             break
         # visited is a union of checkpointed levels: no recomputation, lineage one level deep
         visited = visited.unionByName(nxt)
