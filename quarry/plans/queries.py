@@ -387,7 +387,6 @@ def map_crawl_items(spark, sf_dir):
 # --- retrieval over the page index and context packing -------------------------------------
 
 from quarry.operators import context as CX  # noqa: E402
-from quarry.operators.common import join_small  # noqa: E402
 
 
 def page_index(spark: SparkSession, t: Tables) -> DataFrame:
