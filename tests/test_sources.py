@@ -18,3 +18,22 @@ def test_crawl_items_empty_text(spark, tmp_table):
     FS.write_crawl_items(spark.createDataFrame([(None, "u1"), ("t", "u2")], "text string, url string"), path)
     got = sorted(tuple(r) for r in FS.map_crawl_items(spark, path).collect())
     assert got == [("", "u1"), ("t", "u2")]
+
+
+def test_text_url_csv_source_is_the_file(spark, tmp_table):
+    path = tmp_table("text-url")
+    FS.write_text_url_csv(spark.createDataFrame([("t1", "https://s/1"), ("", "https://s/2")], "text string, url string"),
+                          path)
+    rows = sorted((r.text, r.url, r.source.endswith(".csv")) for r in FS.scan_text_url_csv(spark, path).collect())
+    assert rows == [("", "https://s/2", True), ("t1", "https://s/1", True)]
+
+
+def test_compose_document_body(spark):
+    from quarry.operators.index import compose_document
+
+    rec = spark.createDataFrame([(7, " body text ", "https://s/PS1", 2, "T 1", "1", "PS1")],
+                                "page_id long, text string, url string, depth int, title string, "
+                                "model_num string, ps_num string")
+    d = compose_document(rec).first()
+    assert d.page_content == "text: body text\nurl: https://s/PS1"
+    assert (d.doc_id, d.url, d.depth, d.model_num, d.ps_num) == (7, "https://s/PS1", 2, "1", "PS1")
