@@ -129,3 +129,20 @@ def test_site_crawl_profiles(spark):
     got2 = {r.page_id: r.depth for r in LK.site_crawl(pages, seed_urls=[site + "/"], prefix=site + "/",
                                                       max_depth=1).collect()}
     assert got2 == {0: 0, 1: 1}
+
+
+def test_link_edges_single_profile_drops_bare_site_and_never_exempts_seed(spark):
+    site = "https://shop.example"
+    pages = spark.createDataFrame([
+        (0, site + "/start", f'<title>S</title><header><a href="/h">h</a></header><a href="{site}">home</a>'
+                             '<a href="/x">x</a>'),
+        (1, site + "/x", "<title>X</title>"),
+        (2, site + "/h", "<title>H</title>"),
+        (3, site, "<title>Home</title>"),
+    ], "page_id long, url string, html string")
+    single = {(r.src, r.dst) for r in LK.link_edges(pages, [site + "/start"], "single", prefix=site,
+                                                      drop_urls=[site]).collect()}
+    assert single == {(0, 1)}                      # header links gone, bare site URL dropped
+    default = {(r.src, r.dst) for r in LK.link_edges(pages, [site + "/start"], "default", prefix=site,
+                                                       drop_urls=[]).collect()}
+    assert default == {(0, 1), (0, 2), (0, 3)}     # seed keeps its header; bare URL kept
