@@ -33,8 +33,8 @@ from quarry.llm.common import map_text, table
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Distinct words kept with their ids from block to block of a task; more start the store anew.
-WORDS_KEPT = 500_000
-BLOCK_BYTES = 12 << 20
+WORDS_KEPT = 150_000
+BLOCK_BYTES = 4 << 20
 
 
 def byte_letters() -> list[str]:
