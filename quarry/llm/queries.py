@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, langid, lines, mixing, quality, urls
+from quarry.llm import bpe, chat, fingerprint, langid, lines, mixing, quality, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_mix": mixing.op2_mix,
     "op4_quality": quality.op4_quality,
     "op5_chat": chat.op5_chat,
+    "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_language": langid.op7_language,
     "op8_urls": urls.op8_urls,
     "op10_lines": lines.op10_lines,
