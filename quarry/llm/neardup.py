@@ -7,14 +7,15 @@ a table - at most 100 × the mean number of shingles, whatever N - and it is
 broadcast.  Their frequencies are counted over all documents: tasks send sorted
 unique hashes packed by hash range, a range is merged at a time.
 
-Equal texts are one node.  125 samples a node make 25 bands of 5 (a pair at
-similarity 0.8 shares no band with probability 5e-5).  In a bucket of nodes the first
-ones by key are leaders; each is compared with the bucket's members of other
-components, never all with all: members in one component need no comparison.
-Rounds go on with more leaders until every bucket's members are in one
-component or compared, so no link between texts that share a band is lost to
-the leaders' choice.  Pairs are verified by exact weighted Jaccard similarity; a
-leader's comparisons are split into blocks of members, so a hot one is many tasks.
+Equal texts are one node.  100 samples a node make 20 bands of 5 (a pair at
+similarity 0.8 shares no band with probability 4e-4).  In a bucket of nodes the
+members with most company over all their buckets - the most central ones - are
+leaders and compared with the others, which joins most of a large group.  Then
+only members outside their bucket's largest component are compared with the
+members of other components, in blocks of ``BLOCK`` at a time; so no link between
+texts that share a band is lost, and copies are never expanded into all pairs.
+Pairs are verified by exact weighted Jaccard similarity; a leader's comparisons
+are split into blocks of members, so a hot one is many tasks.
 
 Defined results: null texts and those without a word are classes of their own; equal
 rows are copies of each other; the kept document of a class has the smallest id
@@ -36,10 +37,11 @@ from quarry.llm.sampling import Sampler
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 20, 5
 FLOOR = 0.01
 TOP = 2.0  # weight of a term found once in its text and in few documents
 BLOCK = 64
+LEADERS = 3
 DOCS_PER_RANGE = 1_000
 FLUSH = 2_000_000
 
@@ -182,6 +184,51 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> Dat
             .mapInArrow(compare, "a binary, b binary"))
 
 
+def verify_rest(rest: DataFrame, body: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links between members (band, key, weight, comp) of one bucket that lie in different components.
+
+    Of two such members one at least is outside the bucket's largest component.
+    These are numbered off in blocks; all members of the bucket stream past
+    each block once.  A pair is compared in the first bucket that it shares.
+    """
+    count = rest.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    main = count.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1")
+    rest = staged(rest.join(main.select("band", F.col("m.comp").alias("main")), "band").withColumn("out", F.col("comp") != F.col("main")).drop("main"), "rest")
+    by_key = Window.partitionBy("band").orderBy("key")
+    lead = rest.filter("out").withColumn("block", F.floor((F.row_number().over(by_key) - 1) / BLOCK).cast("int"))
+    blocks = lead.groupBy("band").agg(F.max("block").alias("last"))
+    member = rest.join(blocks, "band").select("*", F.explode(F.sequence(F.lit(0), "last")).alias("block")).drop("last")
+    rows = (lead.withColumn("kind", F.lit(0)).unionByName(member.withColumn("kind", F.lit(1)))
+            .join(body, "key").select("band", "block", "kind", "key", "comp", "out", "weight", "bands", "text"))
+
+    def compare(batches):
+        now, held = None, []
+        for batch in batches:
+            for part in slices(batch, 8):
+                out = []
+                cols = [part.column(i).to_pylist() for i in range(8)]
+                for band, block, kind, key, comp, outer, weight, bands_, s in zip(*cols, shingled(part.column(8))):
+                    if (band, block) != now:
+                        now, held = (band, block), []
+                    mine = np.array(bands_, np.int64)
+                    if kind == 0:
+                        held.append((key, comp, weight, mine, weights.value(s)))
+                        continue
+                    w = None
+                    for k, c, x, b, v in held:
+                        if c == comp or (outer and key >= k) or min(x, weight) < threshold * max(x, weight) - 1e-9:
+                            continue
+                        if int(b[np.argmax(b == mine)]) != band:
+                            continue
+                        w = weights.value(s) if w is None else w
+                        if similarity(v, w) >= threshold:
+                            out.append((key, k))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
+
+    return rows.repartition("band", "block").sortWithinPartitions("band", "block", "kind").mapInArrow(compare, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Smallest node of the component of each linked node (key, comp): smallest neighbour and pointer doubling, in rounds."""
     both = staged(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
@@ -208,37 +255,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     weights = spark.sparkContext.broadcast(frequent_terms(texts.select("text"), docs.count()))
     nodes = staged(bands(texts, weights), "bands")
     long = nodes.select("key", "weight", F.explode("bands").alias("band"))
-    shared = long.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    open_ = staged(long.join(shared, "band", "left_semi").withColumn("comp", F.col("key")), "buckets")
-    wanted = staged(open_.select("key").distinct(), "candidates")
-    body = texts.join(small_side(wanted, 48), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    body = staged(body, "candidate-texts")
-    links = done = comp = None
-    leaders = 1
-    while True:
-        # the first members of each bucket by key are compared with its members of other components
-        # (later on from the last component: a bucket's large one tends to have the smallest name)
-        first = Window.partitionBy("band").orderBy(*(["key"] if comp is None else [F.col("comp").desc(), "key"]))
-        lead = (open_.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= leaders)
-                .select("band", F.col("key").alias("b"), F.col("weight").alias("wb"), F.col("comp").alias("cb")))
-        cand = open_.join(lead, "band").filter("key <> b and comp <> cb")
-        cand = cand.filter(F.least("weight", "wb") >= threshold * F.greatest("weight", "wb") - 1e-9)
-        pairs = cand.select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        found = staged(verify(pairs, body, weights, threshold), "links")
-        links, done = (found, pairs) if links is None else (links.unionByName(found), done.unionByName(pairs))
-        comp = components(links)
-        # leaders are through; a bucket whose other members are all in one component is too
-        rest = open_.select("band", "key", "weight").join(lead.select("band", F.col("b").alias("key")), ["band", "key"], "left_anti")
-        rest = rest.join(small_side(comp, 48), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        rest = staged(rest, "buckets")
-        mixed = rest.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("band")
-        open_ = staged(rest.join(mixed, "band", "left_semi"), "buckets")
-        if not open_.limit(1).count():
-            break
-        leaders *= 4
+    shared = long.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    open_ = staged(long.join(shared, "band"), "buckets")
+    company = open_.groupBy("key").agg(F.sum("n").alias("company"))
+    open_ = staged(open_.drop("n").join(company, "key"), "buckets")
+    wanted = small_side(staged(company.select("key"), "candidates"), 48)
+    body = texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    body = staged(body.join(nodes.select("key", "bands"), "key"), "candidate-texts")
+    central = Window.partitionBy("band").orderBy(F.col("company").desc(), "key")
+    lead = (open_.withColumn("n", F.row_number().over(central)).filter(F.col("n") <= LEADERS)
+            .select("band", F.col("key").alias("b"), F.col("weight").alias("wb"), "n"))
+    pairs = (open_.join(lead, "band").filter("key <> b").filter(F.least("weight", "wb") >= threshold * F.greatest("weight", "wb") - 1e-9)
+             .select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct())
+    links = staged(verify(staged(pairs, "pairs"), body.drop("bands"), weights, threshold), "links")
+    comp = components(links)
+    rest = open_.join(lead.select("band", F.col("b").alias("key")), ["band", "key"], "left_anti").select("band", "key", "weight")
+    rest = rest.join(small_side(comp, 48), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    more = staged(verify_rest(rest, body, weights, threshold), "links")
+    if more.limit(1).count():
+        comp = components(links.unionByName(more))
     slim = staged(rows.select("doc_id", "key"), "rows")
     named = slim.filter("key is not null").join(small_side(comp, 48), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     size = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key")).alias("first"), F.count("*").alias("class_size"))
