@@ -164,7 +164,7 @@ def _marked(occ: DataFrame) -> DataFrame:
 
 def candidates(texts: DataFrame) -> DataFrame:
     """anchor, ctx, key, start, end, full, head of every occurrence whose anchor is found elsewhere."""
-    marked = staged(_marked(_find(texts)), "anchors")
+    marked = staged(_marked(staged(_find(texts), "occurrences")), "anchors")  # dealing by ranges reads them twice
     ends = marked.filter("edge").select("anchor", "ctx", "key", "start").distinct()
     more_a = ends.groupBy("anchor").agg((F.count("*") > 1).alias("more_a"))
     more_c = ends.groupBy("anchor", "ctx").agg((F.count("*") > 1).alias("more_c"), F.min(F.struct("key", "start")).alias("one"))
@@ -175,26 +175,37 @@ def candidates(texts: DataFrame) -> DataFrame:
 
 
 def order(sym: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of the symbols, sorted by their first ``depth`` symbols at least (prefix doubling)."""
+    """Suffix array of the symbols, sorted by their first ``depth`` symbols at least.
+
+    The first key packs as many symbols as 62 bits hold; each further sort joins
+    the ranks of three neighbouring stretches, which triples the sorted length.
+    """
     n = len(sym)
-    rank, h = sym.astype(np.int64), 1
-    for _ in range(3):  # 8 symbols of 8 bits fill a key faster than doubling ranks
-        nxt = np.zeros(n, np.int64)
-        nxt[:n - h] = rank[h:] if h < n else 0
-        width = int(rank.max()) + 1
-        if width * width >= 1 << 62:
-            break
-        rank, h = rank * width + nxt, h * 2
+    used, dense = np.unique(sym, return_inverse=True)
+    bits = max(1, int(len(used)).bit_length())
+    h = max(1, 62 // bits)
+
+    def after(x, k):
+        out = np.zeros(n, np.int64)
+        out[:max(0, n - k)] = x[k:]
+        return out
+
+    key = np.zeros(n, np.int64)
+    for j in range(h):
+        key = (key << bits) | after(dense + 1, j)
     while True:
-        at = np.argsort(rank, kind="stable")
-        new = np.append(False, rank[at[1:]] != rank[at[:-1]])
-        dense = np.empty(n, np.int64)
-        dense[at] = np.cumsum(new)
-        if h >= depth or (n and dense[at[-1]] == n - 1):
+        at = np.argsort(key)
+        sorted_ = key[at]
+        rank = np.empty(n, np.int64)
+        rank[at] = np.cumsum(np.append(True, sorted_[1:] != sorted_[:-1]))
+        if h >= depth or rank[at[-1]] == n:
             return at
-        nxt = np.full(n, -1, np.int64)
-        nxt[:max(0, n - h)] = dense[h:]
-        rank, h = dense * (n + 1) + nxt + 1, h * 2
+        width = int(n + 1).bit_length()
+        steps = 3 if 3 * width <= 62 else 2
+        key = rank
+        for j in range(1, steps):
+            key = (key << width) | after(rank, j * h)
+        h *= steps
 
 
 def long_common(sym: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
@@ -207,7 +218,7 @@ def long_common(sym: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
     n = len(sym)
     bwt = sym[sa - 1]
     lf = np.empty(n, np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n)
+    lf[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
     open_ = np.ones(n + 1, bool)
     open_[0] = open_[n] = False
     low, high = np.array([0]), np.array([n - 1])
@@ -224,13 +235,12 @@ def long_common(sym: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
             pos = np.arange(stop[-1]) + np.repeat(a - stop + width, width)
             c = bwt[pos]
             key = np.repeat(np.arange(len(a)), width) * 512 + c
-            at = np.argsort(key, kind="stable")
+            at = np.argsort(key)
             key, to = key[at], lf[pos[at]]
-            first = np.append(True, key[1:] != key[:-1])
-            last = np.append(first[1:], True)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             real = (key[first] & 511) != 0
-            lo.append(to[first][real])
-            hi.append(to[last][real])
+            lo.append(np.minimum.reduceat(to, first)[real])
+            hi.append(np.maximum.reduceat(to, first)[real])
         low, high = np.concatenate(lo), np.concatenate(hi)
         free = open_[high + 1]
         low, high = low[free], high[free]
