@@ -30,15 +30,11 @@ SYSTEM_VOICE = ("You answer questions about appliances. Pretend you are speaking
                 "conversational tone. Skip the introduction sentence if it is repearing the question.")
 TOKEN_BUDGET, PRIOR_HITS_BUDGET, PRIOR_ANSWERS_BUDGET, PRIOR_HITS_PER_TURN = 4096, 1024, 1024, 2
 
-# Own wording of the introductions (the template is ours, see README).
-INTRO_TEXT = ("Use the catalogue webpages below, the earlier webpages you have used, and the earlier questions and "
-              "answers to answer the question that follows. Use the earlier articles and answers to understand what "
-              "the user is talking about. Always link to the sources you used. If the answer is not in the articles, "
-              'use what is given and say "I could not find a direct answer."')
-INTRO_VOICE = ("Use the catalogue webpages below, the earlier webpages you have used, and the earlier questions and "
-               "answers to answer the question that follows. Use the earlier articles and answers to understand what "
-               "the user is talking about. Be concise and do not link to sources. If the answer is not in the "
-               'articles, use what is given and say "I could not find a direct answer."')
+# Default introductions: what the packed prompt holds and how to reply.  Callers may pass their own.
+INTRO_TEXT = ("Context for the next question: retrieved pages first, then pages and replies from this conversation. "
+              f'Reply from this context and give the page URLs. Without a fitting page, reply "{NO_ANSWER}"')
+INTRO_VOICE = ("Context for the next question: retrieved pages first, then pages and replies from this conversation. "
+               f'Reply from this context in one or two spoken sentences, no URLs. Without a fitting page, reply "{NO_ANSWER}"')
 INTROS = {"text": (INTRO_TEXT, SYSTEM_TEXT), "voice": (INTRO_VOICE, SYSTEM_VOICE)}
 
 QKEY = ["conv_id", "turn"]

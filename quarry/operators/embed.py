@@ -63,13 +63,24 @@ def get_embedder(spec) -> object:
     return spec
 
 
+_MODELS: dict = {}
+
+
+def worker_model(spec):
+    """The model of a name, class or factory, built once in each Python worker process; instances are used as they are."""
+    if not isinstance(spec, (str, type)) and hasattr(spec, "encode"):
+        return spec
+    key = spec if isinstance(spec, str) else (getattr(spec, "__module__", ""), getattr(spec, "__qualname__", repr(spec)))
+    if key not in _MODELS:
+        _MODELS[key] = get_embedder(spec)
+    return _MODELS[key]
+
+
 def embed_column(text: Column, embedder="hash") -> Column:
     """Vector column (``array<float>``) of a text column."""
-    proto = get_embedder(embedder)
-
     @F.pandas_udf(VECTOR)
     def vec(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = get_embedder(embedder) if not hasattr(embedder, "encode") else proto
+        model = worker_model(embedder)
         for texts in batches:
             m = model.encode(texts.tolist()).astype(np.float32)
             yield pd.Series(list(m))
@@ -86,5 +97,7 @@ def embed_queries(questions: DataFrame, text: str = "query", embedder="hash", ou
 
 
 def embedder_info(embedder="hash") -> tuple[str, int]:
+    if isinstance(embedder, type) and isinstance(getattr(embedder, "name", None), str) and isinstance(getattr(embedder, "dim", None), int):
+        return embedder.name, embedder.dim  # class attributes: the driver never builds the model
     e = get_embedder(embedder)
     return e.name, int(e.dim)

@@ -33,22 +33,23 @@ def drop_untitled(records: DataFrame) -> DataFrame:
     return records.filter(F.col("title").isNotNull())
 
 
+#: Seed flags up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 MAX_SEEDS = 1_000_000
 
 
 def crawl_records(pages: DataFrame, frontier: DataFrame, seeds: DataFrame, profile: str = "default",
                   on_missing: str = "drop", phrases=H.BOILERPLATE) -> DataFrame:
-    """Records of the crawled pages: cleaned where the HTML lies, then joined with the depths.
+    """Records of all pages: cleaned where the HTML lies, then joined with the depths.
 
-    Depth 0 is exactly the seed set, so the seed element list is chosen from a
-    broadcast seed flag (size checked) and only the narrow record — never the
+    Every page with a title has its record; ``depth`` is null where the crawl
+    behind ``frontier`` didn't come.  Depth 0 is exactly the seed set, so the seed
+    element list is chosen from a seed flag and only the narrow record — never the
     raw HTML — meets the frontier in the join.
     """
-    n_seeds = seeds.count()
-    if n_seeds > MAX_SEEDS:
-        raise ValueError(f"{n_seeds} seeds: more than {MAX_SEEDS} cannot be broadcast")
-    flag = F.broadcast(seeds.select("page_id").distinct().withColumn("__seed", F.lit(0)))
+    flag = seeds.select("page_id").distinct().withColumn("__seed", F.lit(0))
+    if seeds.count() <= MAX_SEEDS:
+        flag = F.broadcast(flag)
     p = pages.join(flag, "page_id", "left").withColumn("depth", F.coalesce(F.col("__seed"), F.lit(1)))
     rec = page_records(p, profile=profile, on_missing=on_missing, phrases=phrases).drop("depth")
-    return rec.join(frontier, "page_id").select("page_id", "text", "url", F.col("depth").cast("int").alias("depth"),
+    return rec.join(frontier, "page_id", "left").select("page_id", "text", "url", F.col("depth").cast("int").alias("depth"),
                                                 "title", "model_num", "ps_num")

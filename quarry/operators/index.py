@@ -49,6 +49,12 @@ def _write_meta(spark: SparkSession, path: str, embedder) -> None:
         path.rstrip("/") + "/_meta")
 
 
+def index_exists(spark: SparkSession, path: str) -> bool:
+    """Whether an index lies at ``path``, on whatever file system the path names."""
+    meta = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_meta")
+    return meta.getFileSystem(spark._jsc.hadoopConfiguration()).exists(meta)
+
+
 def _check_meta(spark: SparkSession, path: str, embedder) -> None:
     name, dim = embedder_info(embedder)
     meta = spark.read.parquet(path.rstrip("/") + "/_meta").first()
@@ -96,11 +102,9 @@ def append_index(chunks: DataFrame, path: str, embedder="hash", resume: int = 0,
     Returns the ordinal to resume from next time: the first chunk not appended.
     """
     spark = chunks.sparkSession
-    try:
+    fresh = not index_exists(spark, path)  # then this append creates it
+    if not fresh:
         _check_meta(spark, path, embedder)
-        fresh = False
-    except Exception:  # noqa: BLE001 - no index yet: this append creates it
-        fresh = True
     # chunk once: the ordinals, the appended slice and the total all read the staged rows
     staged = chunks.checkpoint()
     ords = chunk_ordinals(staged)
@@ -125,3 +129,21 @@ def upsert_index(old: DataFrame, new: DataFrame, keys=("url", "chunk_idx")) -> D
     keys = list(keys)
     kept = join_small(old, new.select(*keys).distinct(), keys, "left_anti")
     return new.unionByName(kept.select(*new.columns))
+
+
+def upsert_to(new: DataFrame, path: str, target: str, embedder="hash", keys=("url", "chunk_idx"),
+              by_document: bool = False) -> DataFrame:
+    """``upsert_index`` of the index at ``path`` into a fresh index ``target``, with its model check and ``_meta``.
+
+    A missing index at ``path`` counts as empty.  Of rows with equal keys in
+    ``new`` the one with the largest chunk id stays.  ``by_document`` replaces all
+    old chunks of the new rows' urls, also those past their new number.
+    """
+    spark = new.sparkSession
+    new = new.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), "chunk_id").alias("__r")).select("__r.*")
+    merged = new
+    if index_exists(spark, path):
+        merged = upsert_index(load_index(spark, path, embedder), new, ["url"] if by_document else keys)
+    merged.write.parquet(target)
+    _write_meta(spark, target, embedder)
+    return spark.read.parquet(target)

@@ -116,7 +116,7 @@ PAGE_TEXT = S.page_text("html", TAGS)
 ORACLE["strip_elements"] = f"select page_id, {S.strip_elements('html', TAGS)} as html from pages"
 ORACLE["strip_elements_seed"] = LINKS + f"""select page_id, depth,
   case when depth = 0 then {S.strip_elements('html', SEED_TAGS)} else {S.strip_elements('html', TAGS)} end as html
-from pages join frontier using (page_id)"""
+from pages left join frontier using (page_id)"""
 ORACLE["strip_inputs"] = f"select page_id, {S.strip_inputs('html')} as html from pages"
 ORACLE["html_to_text"] = f"select page_id, {S.html_to_text(CLEAN)} as text from pages"
 ORACLE["collapse_whitespace"] = f"select page_id, {S.collapse(S.html_to_text(CLEAN))} as text from pages"
@@ -128,7 +128,7 @@ from (select page_id, {S.extract_title('html')} as title from pages) where title
 ORACLE["url_part_num"] = f"select page_id, url, {S.part_num('url')} as ps_num from pages"
 
 RECORDS_CTE = f"""rec as (select * from (select page_id, {S.page_text('html', TAGS, SEED_TAGS, 'depth')} as text, url, depth,
-    {S.extract_title('html')} as title from pages join frontier using (page_id)) where title is not null),
+    {S.extract_title('html')} as title from pages left join frontier using (page_id)) where title is not null),
 records as (select page_id, text, url, depth, title, {S.title_model('title')} as model_num, {S.part_num('url')} as ps_num from rec)"""
 ORACLE["page_records"] = LINKS + "," + RECORDS_CTE + "\nselect * from records"
 

@@ -133,7 +133,7 @@ def strip_elements(spark, sf_dir):
 @register
 def strip_elements_seed(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    p = _pages(t).join(fx.frontier_fx(t), "page_id")  # frontier is small: broadcast keeps the spread
+    p = _pages(t).join(fx.frontier_fx(t), "page_id", "left")  # frontier is small: broadcast keeps the spread
     html = H.strip_elements_seed(F.col("html"), F.col("depth"), DEFAULT_TAGS, DEFAULT_SEED_TAGS)
     return p.select("page_id", "depth", html.alias("html"))
 
@@ -188,7 +188,7 @@ def url_part_num(spark, sf_dir):
 
 
 def crawled_records(t: Tables) -> DataFrame:
-    """Page records of every page the crawl from page 0 reaches, with its depth."""
+    """Page records of every page, with its depth where the crawl from page 0 reaches it."""
     seeds = t.pages.filter(F.col("page_id") == 0).select("page_id")
     return EX.crawl_records(spread(t.pages), fx.frontier_fx(t), seeds)
 
@@ -354,7 +354,7 @@ def append_page_csv(spark, sf_dir):
     rec = crawled_records(Tables(spark, sf_dir))
     path = work_path(spark, "pages-csv")
     FS.append_page_csv(rec.filter(F.col("depth") == 0), path)
-    FS.append_page_csv(rec.filter(F.col("depth") != 0), path)
+    FS.append_page_csv(rec.filter(F.coalesce(F.col("depth") != 0, F.lit(True))), path)
     return FS.scan_page_csv(spark, path)
 
 

@@ -44,9 +44,12 @@ STATE = T.StructType([
 
 def _step(conv, turn, hits_state, ans_state, hb, ab, out):
     """Emit kept earlier rows for question ``turn``; return trimmed state lists."""
-    used, keep_h = 0, []
+    used, keep_h, later_h, later_a = 0, [], [], []
     for i in range(len(hits_state) - 1, -1, -1):           # newest turn first, rank order within a turn
         h_turn, rank, chunk, tok = hits_state[i]
+        if h_turn >= turn:  # this question came late: what later turns brought is not its context
+            later_h.append(hits_state[i])
+            continue
         if rank == 1 or used <= hb:
             out.append((conv, turn, "hit", h_turn, rank, chunk, tok))
             keep_h.append(hits_state[i])
@@ -54,10 +57,15 @@ def _step(conv, turn, hits_state, ans_state, hb, ab, out):
     used, keep_a = 0, []
     for i in range(len(ans_state) - 1, -1, -1):
         a_turn, tok = ans_state[i]
+        if a_turn >= turn:
+            later_a.append(ans_state[i])
+            continue
         if used <= ab:
             out.append((conv, turn, "answer", a_turn, None, None, tok))
             keep_a.append(ans_state[i])
         used += tok
+    if later_h or later_a:  # a late turn doesn't trim the state of the turns after it
+        return hits_state, ans_state
     # rows skipped now can never be kept later (their preceding total only grows)
     return keep_h[::-1], keep_a[::-1]
 
@@ -88,6 +96,7 @@ def context_fn(hits_budget: int = PRIOR_HITS_BUDGET, answers_budget: int = PRIOR
                     hits_state.append((turn, int(h["rank"]), int(h["chunk_id"]), int(h["tokens"])))
             if r.answer_tokens is not None and not pd.isna(r.answer_tokens):
                 ans_state.append((turn, int(r.answer_tokens)))
+                ans_state.sort()
         hs = _ordered(hits_state)
         state.update(([t for t, _, _, _ in hs], [k for _, k, _, _ in hs], [c for _, _, c, _ in hs],
                       [x for _, _, _, x in hs], [t for t, _ in ans_state], [x for _, x in ans_state]))

@@ -29,9 +29,9 @@ def stream_ingest(spark: SparkSession, source: str, index_path: str, checkpoint:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     records = reader.parquet(source)
     chunks = IX.embed_chunks(IX.chunk_rows(IX.compose_document(records)), embedder)
-    try:
+    if IX.index_exists(spark, index_path):
         IX._check_meta(spark, index_path, embedder)
-    except Exception:  # noqa: BLE001 - new index
+    else:
         IX._write_meta(spark, index_path, embedder)
     w = chunks.writeStream.format("parquet").option("path", index_path).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
