@@ -37,7 +37,7 @@ ANCHOR = 64
 SIDE = LEAST - ANCHOR
 PIECE = 1 << 20
 HOT = 4096
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 _P: list[np.ndarray] = []
 
 
