@@ -44,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token digests of every document of the mix."""
     import public_tokenizers
 
-    out = bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    out = bpe.digests(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "source", "lang", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

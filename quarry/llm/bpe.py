@@ -235,26 +235,42 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     return map_text(docs, make, [StructField(out, BinaryType())], text, BLOCK_BYTES)
 
 
+def texts_of(rows, piece: list[bytes]) -> pa.Array:
+    """The text of each row of ids."""
+    joined = (b"".join(map(piece.__getitem__, ids.tolist())) for ids in rows)
+    return pa.array([x.decode("utf-8", "replace") for x in joined], pa.string())
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``decoded``: the text of packed ids, special tokens included; broken UTF-8 gives U+FFFD."""
     shared = df.sparkSession.sparkContext.broadcast(load(path).piece)
 
     def make():
-        piece = shared.value.__getitem__
+        return lambda col: [texts_of((np.frombuffer(x or b"", "<u4") for x in col.to_pylist()), shared.value)]
+
+    return map_text(df, make, [StructField(out, StringType())], ids)
 
-        def texts(col):
-            rows = (b"".join(map(piece, np.frombuffer(x or b"", "<u4").tolist())) for x in col.to_pylist())
-            return [pa.array([x.decode("utf-8", "replace") for x in rows], pa.string())]
 
-        return texts
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Add ``ids`` and ``decoded``, as ``encode`` and then ``decode`` do, from one Python worker per task."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
-    return map_text(df, make, [StructField(out, StringType())], ids)
+    def make():
+        enc = Encoder(shared.value)
+
+        def both(col):
+            ids = enc.block(col.to_pylist())
+            return [pa.array([x.tobytes() for x in ids], pa.binary()), texts_of(ids, shared.value.piece)]
+
+        return both
+
+    fields = [StructField("ids", BinaryType()), StructField("decoded", StringType())]
+    return map_text(docs, make, fields, text, BLOCK_BYTES)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode every text; keep the digests and the number of tokens."""
-    both = decode(encode(docs, path), path)
-    return both.withColumns({
+    return round_trip(docs, path).withColumns({
         "n_tokens": F.expr("cast(octet_length(ids) div 4 as bigint)"),
         "ids_sha256": F.sha2("ids", 256),
         "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256),
