@@ -53,6 +53,13 @@ def test_bpe_equals_the_tokenizers_library(docs, empty):
     assert bpe.digests(empty, PATH).count() == 0
 
 
+def test_bpe_round_trip_is_encode_then_decode(docs):
+    both = bpe.decode(bpe.encode(docs.select("text"), PATH), PATH)
+    once = bpe.round_trip(docs.select("text"), PATH)
+    rows = lambda df: sorted(map(repr, df.select("text", "ids", "decoded").collect()))
+    assert rows(once) == rows(both)
+
+
 def test_mix_reaches_targets(docs, empty, spark):
     many = spark.createDataFrame([(i, prose(1 + i % 40, i), ["a", "b", None][i % 3]) for i in range(900)], "doc_id bigint, text string, source string")
     rows = mixing.mix(many, F.array("source")).collect()
