@@ -74,27 +74,25 @@ def _cell_kernel(qkey, k: int, digits: int, block: int = 4096):
 def _select_topk_pairs(s: np.ndarray, ids: np.ndarray, k: int, digits: int):
     """Row-wise k smallest (score, id) pairs of candidate lists; exact tie-break on id."""
     m, n = s.shape
-    if n <= k:
-        kk = n
-    else:
-        kk = k
-    if n == 0:
-        return s, ids
-    sint = np.rint(s * (10 ** digits)).astype(np.int64)
-    # rank ids within each row so the composite key stays small
-    id_rank = np.argsort(np.argsort(ids, axis=1, kind="stable"), axis=1)
-    if sint.max(initial=0) < (2 ** 62) // n:
-        key = sint * n + id_rank
-        part = np.argpartition(key, kk - 1, axis=1)[:, :kk] if kk < n else np.tile(np.arange(n), (m, 1))
-        pk = np.take_along_axis(key, part, axis=1)
-        srt = np.take_along_axis(part, np.argsort(pk, axis=1), axis=1)
-    else:
-        srt = np.stack([np.lexsort((ids[i], s[i]))[:kk] for i in range(m)])
-    return np.take_along_axis(s, srt, axis=1), np.take_along_axis(ids, srt, axis=1)
-
-
-def _broadcast_kernel(bc, gcols, qkey, k: int, digits: int, qblock: int = 2048, xblock: int = 4096):
-    """mapInPandas body: score this partition's index rows against the broadcast questions."""
+    kk = min(n, k)
+    if m == 0 or kk == 0:
+        return s[:, :kk], ids[:, :kk]
+    # only scores up to each row's k-th smallest stay; ids decide among these few
+    edge = np.partition(s, kk - 1, axis=1)[:, kk - 1]
+    row, col = np.nonzero(~(s > edge[:, None]))
+    score, who = s[row, col], ids[row, col]
+    order = np.lexsort((np.unique(who, return_inverse=True)[1], score, row))
+    first = np.searchsorted(row, np.arange(m))     # row is ascending, before and after the sort
+    top = order[first[:, None] + np.arange(kk)]
+    return score[top], who[top]
+
+
+def _broadcast_kernel(bc, gcols, qkey, k: int, digits: int, qblock: int = 512, xblock: int = 4096):
+    """mapInPandas body: score this partition's index rows against the broadcast questions.
+
+    Work arrays hold ``qblock`` × ``xblock`` scores at most, however large the
+    batch; beyond them a task keeps the running top-k of each question.
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -115,24 +113,19 @@ def _broadcast_kernel(bc, gcols, qkey, k: int, digits: int, qblock: int = 2048,
                 if X.shape[1] != Q.shape[1]:
                     raise ValueError(f"dimension mismatch: questions {Q.shape[1]}, index {X.shape[1]}")
                 xid = sub["__id"].to_numpy()
-                cur = best.get(gk)
                 for lo in range(0, len(X), xblock):
                     Xb, ib = X[lo:lo + xblock], xid[lo:lo + xblock]
-                    parts_s, parts_i = [], []
                     for qlo in range(0, len(Q), qblock):
-                        sc = _scores(Q[qlo:qlo + qblock], qn[qlo:qlo + qblock], Xb, digits)
-                        parts_s.append(sc)
-                        parts_i.append(np.broadcast_to(ib, sc.shape))
-                    cs, ci = np.vstack(parts_s), np.vstack(parts_i)
-                    if cur is not None:
-                        cs, ci = np.hstack([cur[0], cs]), np.hstack([cur[1], ci])
-                    cur = _select_topk_pairs(cs, ci, k, digits)
-                best[gk] = cur
+                        cs = _scores(Q[qlo:qlo + qblock], qn[qlo:qlo + qblock], Xb, digits)
+                        ci = np.broadcast_to(ib, cs.shape)
+                        if (cur := best.get((gk, qlo))) is not None:
+                            cs, ci = np.hstack([cur[0], cs]), np.hstack([cur[1], ci])
+                        best[gk, qlo] = _select_topk_pairs(cs, ci, k, digits)
         part = TaskContext.get().partitionId()
-        for gk, (bs, bi) in best.items():
+        for (gk, qlo), (bs, bi) in best.items():
             qcols = groups[gk][0]
             m, kk = bs.shape
-            out = {c: np.repeat(qcols[c], kk) for c in qkey}
+            out = {c: np.repeat(qcols[c][qlo:qlo + m], kk) for c in qkey}
             out["__id"] = bi.reshape(-1)
             out["score"] = bs.reshape(-1)
             out["__cell"] = np.full(m * kk, part, dtype=np.int64)
@@ -317,7 +310,8 @@ def unmatched_questions(index: DataFrame, questions: DataFrame) -> DataFrame:
     gcols = ["__g0", "__g1", "__g2"]
     qg = qr.select("*", *[g.alias(f"__g{i}") for i, g in enumerate(_route_groups(qr))])
     asked = qg.select(*gcols).distinct()
-    ig = (index.select(F.explode(_index_route_groups()).alias("__gs"))
+    # rows without a vector answer nothing
+    ig = (index.filter(F.col("embedding").isNotNull()).select(F.explode(_index_route_groups()).alias("__gs"))
           .select(*[F.col("__gs")[f"g{i}"].alias(f"__g{i}") for i in range(3)]))
     # only the groups some question asks for are kept before the distinct
     present = join_small(ig, asked, gcols, "left_semi").distinct()

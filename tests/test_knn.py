@@ -59,6 +59,25 @@ def test_filtered_search_with_hot_key_and_fallback(spark, strategy):
             assert res[i] == [(c, False) for c in want]
 
 
+@pytest.mark.parametrize("text", [False, True])
+def test_selection_equals_sorted_pairs(text):
+    rng = np.random.default_rng(5)
+    s = rng.integers(0, 5, size=(50, 90)).astype(float)                # many exact ties
+    ids = np.stack([rng.permutation(90) for _ in range(50)])
+    ids = ids.astype(str).astype(object) if text else ids
+    for k in (1, 7, 90, 200):
+        score, who = knn._select_topk_pairs(s, ids, k, 9)
+        for i in range(50):
+            assert list(zip(score[i], who[i])) == sorted(zip(s[i], ids[i]))[:k]
+
+
+def test_rows_without_a_vector_do_not_hide_the_fallback(spark):
+    idx = spark.createDataFrame([(0, None, "M1", "PS1"), (1, [1.0], "M2", "PS2")],
+                                "chunk_id long, embedding array<float>, model_num string, ps_num string")
+    qs = spark.createDataFrame([(0, [0.0], "M1", "N/A")], "query_id long, qvec array<float>, model_num string, ps_num string")
+    assert [(r.chunk_id, r.fallback) for r in knn.search(idx, qs, 3, 3).collect()] == [(1, True)]
+
+
 def test_postfilter_sees_only_fetch_k(spark):
     X = np.array([[float(i)] for i in range(10)], dtype=np.float32)
     idx = spark.createDataFrame([(i, X[i].tolist(), "M1" if i >= 5 else "M2", "PS1") for i in range(10)],
