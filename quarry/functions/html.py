@@ -85,7 +85,8 @@ def strip_inputs(html: Column) -> Column:
 
 
 COMMENT = "(?s)<!--.*?-->"
-MARKUP = "<[A-Za-z/!?][^>]*>"
+# a tag ends at the first ">" outside a quoted attribute value
+MARKUP = r"""<[A-Za-z/!?][^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*')?+[^>=]*+)*+>"""
 
 
 def strip_markup(html: Column) -> Column:
@@ -105,8 +106,8 @@ def html_to_text(html: Column) -> Column:
 
 
 def extract_title(html: Column) -> Column:
-    """First ``<title>`` text of the page, decoded, not trimmed; NULL when absent or empty."""
-    raw = F.regexp_extract(html, r"(?is)<title\b[^>]*>([^<]*)", 1)
+    """First ``<title>`` text of the page outside comments, decoded, not trimmed; NULL when absent or empty."""
+    raw = F.regexp_extract(F.regexp_replace(html, COMMENT, " "), r"(?is)<title\b[^>]*>([^<]*)", 1)
     return F.when(raw != "", unescape_html(raw))
 
 

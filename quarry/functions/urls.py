@@ -11,7 +11,12 @@ from pyspark.sql import types as T
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 ORIGIN = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
-DOT_SEGMENT = r"(^|/)\.\.?(/|$|[?#])"
+DOT_SEGMENT = r"(^|/)\.\.?(/|$|[?#;])"
+PLAIN_BASE = r"^https?://[^/?#]"
+#: A web address, another host, or a path, query or fragment whose first part holds no colon.
+PLAIN_HREF = r"^(?:https?://[^/?#]|//[^/?#]|[^/:?#]+(?:$|[/?#])|/(?:$|[^/])|\?|#)"
+#: Control characters and white space, brackets, path parameters, an empty query or fragment, doubled slashes in the path.
+ODD = r"[\x00-\x20\[\];]|[?#]$|\?#|^(?:[^:/?#]+:)?(?://)?[^?#]*[^:/?#]//"
 
 
 def origin(url: Column) -> Column:
@@ -37,13 +42,25 @@ def resolve_native(base: Column, href: Column) -> Column:
     )
 
 
+def _join(base: str | None, href: str | None) -> str | None:
+    if base is None or href is None:
+        return None
+    try:
+        return urljoin(base, href)
+    except ValueError:  # such as an unclosed "[" in the host
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def urljoin_udf(base: pd.Series, href: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None or h is None else urljoin(b, h) for b, h in zip(base, href)])
+    return pd.Series([_join(b, h) for b, h in zip(base, href)], dtype=object)
 
 
-def needs_dot_removal(href: Column) -> Column:
-    return href.rlike(DOT_SEGMENT) & ~href.rlike(SCHEME)
+def is_plain(base: Column, href: Column) -> Column:
+    """Pairs that ``resolve_native`` resolves as ``urljoin`` does; null counts as not plain."""
+    plain_base = base.rlike(PLAIN_BASE) & ~base.rlike(ODD) & ~base.rlike(DOT_SEGMENT)
+    plain_href = (href == "") | (href.rlike(PLAIN_HREF) & ~href.rlike(ODD) & ~href.rlike(DOT_SEGMENT))
+    return F.coalesce(plain_base & plain_href, F.lit(False))
 
 
 def canonical_url(url: Column) -> Column:

@@ -20,7 +20,9 @@ CRAWL_PROFILES = {
                "drop": [SITE]},
 }
 
-HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+# whole attributes are passed over, so neither a ">" nor an "href=" inside a quoted value counts
+HREF = (r"""(?i)<a(?=[\s/])(?>[^>=]*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"']*+))*?"""
+        r"""[^>=]*?(?<=[\s/"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""")
 
 
 def _unquote(v: Column) -> Column:
@@ -44,12 +46,13 @@ def extract_links(pages: DataFrame, html: Column | None = None) -> DataFrame:
 def resolve_links(links: DataFrame, base: str = "url", href: str = "href") -> DataFrame:
     """Adds ``abs_url``: the href resolved against the page URL.
 
-    References with dot segments go through ``urljoin``; the rest stay native.
+    Plain references stay native; the rest (dot segments, empty query or fragment,
+    white space, odd schemes) go through ``urljoin``, NULL where it cannot parse.
     """
-    dots = U.needs_dot_removal(F.col(href))
-    # one pass over the links: the Python join only decides rows with dot segments
-    return links.withColumn("abs_url", F.when(dots, U.urljoin_udf(F.col(base), F.col(href)))
-                            .otherwise(U.resolve_native(F.col(base), F.col(href))))
+    plain = U.is_plain(F.col(base), F.col(href))
+    # the Python join gets nulls for the rows that it need not decide
+    return links.withColumn("abs_url", F.when(plain, U.resolve_native(F.col(base), F.col(href)))
+                            .otherwise(U.urljoin_udf(F.when(~plain, F.col(base)), F.when(~plain, F.col(href)))))
 
 
 def filter_links(links: DataFrame, prefix: str | Column = SITE_PREFIX, excluded=(EXCLUDED_HREF,),

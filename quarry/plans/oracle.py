@@ -68,14 +68,14 @@ union all select conv_id, turn, chunk_id, score, rank, true as fallback from fb
 
 from quarry.functions import html as H  # noqa: E402
 from quarry.functions.urls import ORIGIN, SCHEME  # noqa: E402
-from quarry.operators.links import EXCLUDED_HREF, HREF  # noqa: E402
+from quarry.operators.links import EXCLUDED_HREF  # noqa: E402
 
 TAGS, SEED_TAGS = H.PROFILES["default"]
 CLEAN = S.strip_inputs(S.strip_elements("html", TAGS))
 
 LINK_CTES = [
     f"cl as (select page_id, url, {CLEAN} as html, {S.extract_title('html')} as title from pages)",
-    f"""lk0 as (select page_id, url, regexp_extract_all(regexp_replace(html, {S.lit(H.COMMENT)}, ' ', 'g'), {S.lit(HREF)}, 1) as l
+    f"""lk0 as (select page_id, url, regexp_extract_all(regexp_replace(html, {S.lit(S.COMMENT)}, ' ', 'g'), {S.lit(S.HREF)}, 1) as l
         from cl where title is not null)""",
     """lk1 as (select page_id, url, unnest(l) as v, cast(generate_subscripts(l, 1) - 1 as integer) as ord from lk0)""",
     f"""lk as (select page_id, url, ord, {S.unescape("case when v like '\"%' or v like '''%' then substr(v, 2, length(v) - 2) else v end")} as href from lk1)""",

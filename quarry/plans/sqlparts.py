@@ -3,9 +3,14 @@ functions, written as ANSI-ish SQL over the pre-registered driver views."""
 
 from __future__ import annotations
 
-from quarry.functions.html import BOILERPLATE, COMMENT, MARKUP, PART_PATTERN, strip_elements_pattern
+from quarry.functions.html import BOILERPLATE, PART_PATTERN, strip_elements_pattern
 from quarry.functions.text import PUNCTUATION, WS
 
+# The oracle's own patterns, not those of the code under test.
+COMMENT = "(?s)<!--.*?-->"
+MARKUP = "<[A-Za-z/!?][^>]*>"
+HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"

@@ -86,9 +86,23 @@ def test_link_extraction_quotes_comments_order(spark):
     assert got == [(0, "/one"), (1, "/two"), (2, "/three")]
 
 
-BASES = ["https://s.example/a/b/c?x=1#f", "https://s.example", "http://s.example/dir/"]
+def test_link_extraction_passes_over_whole_attributes(spark):
+    html = """<a title="x > y" href="/one">1</a><a/href=/two>2</a><a data="1"href='/three'>3</a><a title="z href=/no">4</a><abbr href=/no>"""
+    pages = spark.createDataFrame([(1, "https://s.example/p/q", html)], "page_id long, url string, html string")
+    assert [r.href for r in LK.extract_links(pages).orderBy("ord").collect()] == ["/one", "/two", "/three"]
+
+
+def test_markup_with_quoted_signs_and_title_in_comment(spark):
+    assert one(spark, py_strip(collapse_whitespace(H.html_to_text(F.col("h")))),
+               h="""<p title="a > b" class='c > d'>one</p><p title=don't>two</p> it's <b>three</b>""") == "one two it's three"
+    assert one(spark, H.extract_title(F.col("h")), h="<!-- <title>no</title> --><title>yes</title>") == "yes"
+    assert one(spark, H.html_to_text(F.col("h")), h="<p " + "x=1 " * 3_000 + ">t") == " t"
+
+
+BASES = ["https://s.example/a/b/c?x=1#f", "https://s.example", "http://s.example/dir/", "https://s.example/a/../b//c", "https://s.example?"]
 HREFS = ["/r", "rel", "rel/x", "?q=2", "#top", "", "//other.example/p", "https://abs.example/z",
-         "../up", "./same", "a/../b", "mailto:x@y"]
+         "../up", "./same", "a/../b", "mailto:x@y", "#", "?", " /lead", "/tail\n", "HTTPS://Up.example/x", "https:foo",
+         "a//b", "/a//b", "///x", "p;", "x?#", "/x?u=http://y/z", "//h.example", "https://abs.example/a/../z", "/a/.;x", "javascript:void(0)", "é/ü"]
 
 
 def test_resolve_links_matches_urljoin(spark):
