@@ -2,7 +2,8 @@
 
 Six statistics of each whole text become a transformed vector.  Per language and
 source (or per language, or over all, where fewer than ``MIN_GROUP`` documents
-stand) location and scatter are estimated by minimum covariance determinant:
+stand; a language's estimate is made from all its documents, that over all from all)
+location and scatter are estimated by minimum covariance determinant:
 from medians and median deviations, concentration steps keep the share
 ``COVER`` of the group with the smallest Mahalanobis distances and estimate anew.
 A document is rejected by the base rules, or if its distance under the final,
@@ -172,15 +173,19 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     rows = rows.select("*", "st.w.*", "st.l.*", "st.n_symbols", "st.n_upper").drop("st")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     rows = staged(rows.withColumns({f"x{k}": v for k, v in enumerate(vector())}), "quality")
-    count = rows.filter("not base_failed").groupBy("__fine", "__coarse").agg(F.count("*").alias("n"))
-    count = count.withColumns({"n_coarse": F.sum("n").over(Window.partitionBy("__coarse"))})
-    total = count.agg(F.sum("n")).first()[0] or 0
-    group = count.select("__fine", F.when(F.col("n") >= MIN_GROUP, F.col("__fine")).when(F.col("n_coarse") >= MIN_GROUP, F.col("__coarse"))
-                         .otherwise("all").alias("g"))
+    count = staged(rows.filter("not base_failed").groupBy("__fine", "__coarse").agg(F.count("*").alias("n")), "quality-count")
+    langs = count.groupBy("__coarse").agg(F.sum("n").alias("n_coarse"), F.min("n").alias("least"))
+    total, rare = langs.agg(F.sum("n_coarse"), F.min("n_coarse") < MIN_GROUP).first()
+    total = total or 0
+    own, wide = F.col("n") >= MIN_GROUP, F.col("n_coarse") >= MIN_GROUP
+    # g judges the documents of a fine group; each enters the estimates of all levels in ``levels``
+    levels = F.array(F.when(own, F.col("__fine")), F.when(wide & (F.col("least") < MIN_GROUP), F.col("__coarse")), F.when(F.lit(bool(rare)), F.lit("all")))
+    group = count.join(small_side(langs, 100), "__coarse").select(
+        "__fine", F.when(own, F.col("__fine")).when(wide, F.col("__coarse")).otherwise("all").alias("g"), F.array_compact(levels).alias("levels"))
     group = staged(group, "quality-group")
-    rows = rows.join(small_side(group, 100), "__fine", "left")
+    rows = rows.join(small_side(group, 200), "__fine", "left")
     if total >= MIN_GROUP:
-        params = estimates(rows.filter("not base_failed").select("g", *[f"x{k}" for k in range(D)]))
+        params = estimates(rows.filter("not base_failed").select(F.explode("levels").alias("g"), *[f"x{k}" for k in range(D)]))
         rows = _distance(rows.join(small_side(params, 400), "g", "left"))
     else:
         rows = rows.withColumn("d2", F.lit(None).cast("double"))

@@ -143,6 +143,15 @@ def test_quality_rejects_outliers_only(spark):
     assert all(r.kept == (r.doc_id < 1000) for r in out)
 
 
+def test_quality_of_small_sources_is_judged_by_all_documents_of_the_level(spark):
+    odd = lambda i: " ".join(w + "%%%" for w in prose(100, i).split())
+    rows = [(i, prose(int(np.random.default_rng(i).integers(60, 400)), i), "en", "big") for i in range(600)]
+    rows += [(1000 + i, odd(i) if i < 3 else prose(150, 1000 + i), "en", "tail") for i in range(5)]
+    rows += [(2000 + i, odd(i) if i < 1 else prose(150, 2000 + i), "de", "other") for i in range(2)]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), carry=["doc_id"]).collect()
+    assert sorted(r.doc_id for r in out if not r.kept) == [1000, 1001, 1002, 2000]
+
+
 def test_chi_square():
     assert quality.chi2_cdf(quality.chi2_quantile(0.975, 5), 5) == pytest.approx(0.975)
     assert quality.chi2_quantile(0.95, 2) == pytest.approx(5.99146, abs=1e-4)
