@@ -7,11 +7,12 @@ convex repetition cost, so a pattern is repeated only when unread words of the
 source are gone).  The network holds one node per pattern and per source and is
 solved on the driver; documents never are.  A pattern's flow becomes whole
 repeats of all its documents and a rest, filled with documents in a seeded order:
-the prefix that fits, then, a few times, the largest later document that fits in what is left.
+each document that fits in what is left, until no later one does.
 
 The seeded order is never sorted as a whole: documents fall in 4,096 buckets of
 their seeded hash, sums per bucket find the one bucket where the rest ends, and
-only that bucket of each pattern is ordered.
+only that bucket of each pattern is ordered.  This repeats on the later documents
+that fit in what was left; a round leaves less than the document that ended it.
 
 Defined results: a null text has 0 words and is never taken; a null source is a
 source of its own, last in order; equal rows are interchangeable; an empty table
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +33,6 @@ from quarry.llm.common import WORD, staged, table, without
 
 MAX_REPEATS = 3
 BUCKET_BITS = 12
-#: After the prefix, so many times the largest document that still fits is added.
-FILL_ROUNDS = 4
 #: Patterns the driver's flow network takes; they count sets of sources, not documents.
 MAX_PATTERNS = 100_000
 
@@ -116,6 +116,46 @@ def route(sizes: dict, member: dict, quota: dict, repeats: int = MAX_REPEATS) ->
         left[end[1]] -= amount
 
 
+def place() -> F.Column:
+    """Place of a document in the seeded order; the bucket holds the first bits of h."""
+    return F.struct("bucket", "h", "doc_id", "row")
+
+
+def fill(slim: DataFrame, open_: DataFrame) -> DataFrame | None:
+    """Fill ``gap`` words per pattern: each document in seeded order that fits in what is left.
+
+    Gives (pattern, steps): a document is taken if for one of the steps its size
+    is at most ``gap`` and its place before ``stop`` (null: no end).  A round takes
+    the prefix of the documents that fit in the gap, up to the first that is too
+    large for what the prefix leaves; only later and smaller ones are open in the next.
+    None if there is nothing to fill.
+    """
+    rounds, stop = [], slim.select(place().alias("stop")).schema["stop"].dataType
+    open_ = staged(open_.withColumn("stop", F.lit(None).cast(stop)), "mix-open")
+    while open_.limit(1).count():
+        fit = (slim.filter("size > 0").join(F.broadcast(open_), "pattern")
+               .filter((F.col("size") <= F.col("gap")) & (F.col("stop").isNull() | (place() > F.col("stop")))).drop("stop"))
+        # the bucket of each pattern in which the prefix ends, and what lies before it
+        run = Window.partitionBy("pattern").orderBy("bucket")
+        sums = fit.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+        edge = (sums.withColumn("upto", F.sum("words").over(run)).filter("upto > gap").groupBy("pattern")
+                .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
+                .select("pattern", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before")))
+        edge = staged(edge, "mix-edge")
+        inner = (fit.join(F.broadcast(edge), "pattern").filter("bucket = edge")
+                 .withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "doc_id", "row")
+                                                                          .rowsBetween(Window.unboundedPreceding, 0))))
+        ends = inner.groupBy("pattern").agg(
+            F.min(F.when(F.col("upto") > F.col("gap"), place())).alias("stop"),
+            (F.first("gap") - F.coalesce(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))), F.first("before"))).alias("left"))
+        step = staged(open_.select("pattern", "gap").join(ends, "pattern", "left"), "mix-step")
+        rounds.append(step.select("pattern", "gap", "stop"))
+        open_ = step.filter("left > 0").select("pattern", F.col("left").alias("gap"), "stop")
+    if not rounds:
+        return None
+    return reduce(DataFrame.unionByName, rounds).groupBy("pattern").agg(F.collect_list(F.struct("gap", "stop")).alias("steps"))
+
+
 def mix(docs: DataFrame, sources: F.Column, weight_cycle: Sequence[float] = (1, 2, 3), seed: int = 42,
         id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """How often each document is taken: doc_id, key, size, pattern, source_size, target, copies, taken.
@@ -148,38 +188,16 @@ def mix(docs: DataFrame, sources: F.Column, weight_cycle: Sequence[float] = (1,
     flow = route(size, member, quotas(target)) if size else {}
     taken = {p: sum(flow[p, s] for s in member[p]) for p in size}
 
-    plan = spark.createDataFrame(
+    plan = staged(spark.createDataFrame(
         [(r.pattern, *(divmod(taken[r.pattern], r.words) if r.words else (0, 0)),
           sum(source_size[s] for s in r.of) if len(r.of) == 1 else None,
           sum(target[s] for s in r.of) if len(r.of) == 1 else None) for r in rows],
-        "pattern string, whole bigint, rest bigint, source_size bigint, target double")
-    # the bucket of each pattern in which its rest ends, and what lies before it
-    run = Window.partitionBy("pattern").orderBy("bucket")
-    edge = (sums.withColumn("upto", F.sum("words").over(run)).join(F.broadcast(plan.select("pattern", "rest")), "pattern")
-            .filter("upto > rest").groupBy("pattern")
-            .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
-            .select("pattern", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before")))
-    plan = staged(plan.join(edge, "pattern", "left"), "mix-plan")  # a row per pattern
-    all_rows = slim.join(F.broadcast(plan), "pattern", "left")
-    inner = (all_rows.filter("bucket = edge")
-             .withColumn("upto", F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "doc_id", "row")
-                                                    .rowsBetween(Window.unboundedPreceding, 0)))
-             .select("pattern", "row", "size", (F.col("before") + F.col("upto")).alias("upto"), "rest", "before"))
-    inner = staged(inner.withColumn("fits", F.col("upto") <= F.col("rest")), "mix-edge")
-    gap = inner.groupBy("pattern").agg((F.first("rest") - F.first("before") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap"))
-    more = inner.filter("fits and size > 0").select("row", F.lit(1).alias("more"))
-    later = all_rows.filter("bucket >= edge and size > 0").select("pattern", "row", "size", "h")
-    for _ in range(FILL_ROUNDS):  # each adds a row per pattern: the largest document that fits in what is left
-        gap = staged(gap, "mix-gap")
-        fit = (later.join(F.broadcast(gap), "pattern").filter("size <= gap").join(more.select("row"), "row", "left_anti")
-               .groupBy("pattern").agg(F.max(F.struct("size", "h", "row")).alias("b")).select("pattern", "b.size", "b.row"))
-        fit = staged(fit, "mix-fit")
-        more = more.unionByName(fit.select("row", F.lit(1).alias("more")))
-        gap = gap.join(fit, "pattern").select("pattern", (F.col("gap") - F.col("size")).alias("gap")).filter("gap > 0")
-    copies = F.when(F.col("size") == 0, 0).otherwise(
-        F.col("whole") + F.when(F.col("edge").isNull() & (F.col("rest") > 0), 1).otherwise(0)
-        + F.when(F.col("bucket") < F.col("edge"), 1).otherwise(F.coalesce("more", F.lit(0)))).cast("bigint")
-    return (all_rows.join(more, "row", "left").withColumn("copies", copies)
+        "pattern string, whole bigint, rest bigint, source_size bigint, target double"), "mix-plan")  # a row per pattern
+    steps = fill(slim, plan.filter("rest > 0").select("pattern", F.col("rest").alias("gap")))
+    plan = plan.withColumn("steps", F.lit(None)) if steps is None else plan.join(steps, "pattern", "left")
+    within = F.lit(False) if steps is None else F.exists("steps", lambda s: (F.col("size") <= s["gap"]) & (s["stop"].isNull() | (place() < s["stop"])))
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.coalesce(within, F.lit(False)).cast("int")).cast("bigint")
+    return (slim.join(F.broadcast(plan), "pattern", "left").withColumn("copies", copies)
             .withColumn("taken", F.col("copies") * F.col("size"))
             .select("doc_id", "key", "size", "pattern", "source_size", "target", "copies", "taken"))
 

@@ -82,6 +82,18 @@ def test_mix_reaches_targets(docs, empty, spark):
     assert mixing.mix(empty, F.array("source")).count() == 0
 
 
+def test_mix_fills_the_gap_a_long_document_leaves(spark):
+    sizes = [20_000] + [20 + i % 7 for i in range(1000)] + [0]
+    for seed in (1, 2, 3):
+        # source "b" has three times the weight, so about half of the words of "a" are its rest
+        rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(5000 + i, "w " * 30, "b") for i in range(1000)]
+        out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), F.array("source"), (1, 3), seed).collect()
+        mine = [r for r in out if r.pattern == '["a"]']
+        assert max(r.copies for r in mine) == 1
+        gap = round(mine[0].target) - sum(r.taken for r in mine)
+        assert -1 <= gap <= 26, (seed, gap)
+
+
 def test_flow_prefers_unread_documents_of_overlapping_sources():
     sizes, member = {"a": 10, "ab": 10, "b": 10}, {"a": ["a"], "ab": ["a", "b"], "b": ["b"]}
     flow = mixing.route(sizes, member, {"a": 20, "b": 10})
