@@ -36,10 +36,12 @@ COVER = 0.75
 STEPS = 4
 MIN_GROUP = 100
 #: Documents of an ordinary group beyond this share of the chi-square distribution are rejected.
-LEVEL = 0.999999
+LEVEL = 0.999
 BINS = 64
-#: Smallest spread of each transformed statistic: departures of this order are never outliers by themselves.
-FLOORS = (0.7, 0.1, 0.05, 0.2, 0.2, 0.1)
+#: Smallest spread of each transformed statistic, where the group's is smaller: departures of this order are never outliers
+#: by themselves.  The ranges are many times as wide (shares of duplicate lines to 1, of repeated words to sqrt(0.3) after the base
+#: rules), so each statistic alone can pass the cut.
+FLOORS = (0.5, 0.1, 0.05, 0.14, 0.11, 0.05)
 D = len(FLOORS)
 
 
@@ -115,10 +117,10 @@ def _medians(rows: DataFrame, values: list[F.Column]) -> DataFrame:
 
 
 def _cholesky(params: DataFrame, scale: float) -> DataFrame:
-    """Lower factor l_ij of the scatter c_ij × scale plus the squared floors."""
+    """Lower factor l_ij of the scatter c_ij × scale, its diagonal raised to the squared floors."""
     for i in range(D):
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") * scale + (FLOORS[i] ** 2 if i == j else 0.0)
+            rest = F.greatest(F.col(f"c{i}{j}") * scale, F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"c{i}{j}") * scale
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))

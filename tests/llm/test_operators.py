@@ -164,6 +164,16 @@ def test_quality_of_small_sources_is_judged_by_all_documents_of_the_level(spark)
     assert sorted(r.doc_id for r in out if not r.kept) == [1000, 1001, 1002, 2000]
 
 
+def test_quality_rejects_repeated_lines_and_words_in_a_clean_group(spark):
+    lines_of = lambda i: "\n".join(x for k in range(12) for x in (prose(20, 50 * i + k), "read more here"))
+    words_of = lambda i: prose(148, i) + " " + " ".join([prose(29, 900 + i)] * 2)
+    rows = [(i, prose(int(np.random.default_rng(i).integers(60, 400)), i), "en", "s0") for i in range(400)]
+    rows += [(1000 + i, lines_of(i), "en", "s0") for i in range(3)] + [(2000 + i, words_of(i), "en", "s0") for i in range(3)]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), carry=["doc_id"]).collect()
+    assert not any(r.base_failed for r in out)
+    assert sorted(r.doc_id for r in out if not r.kept) == [1000, 1001, 1002, 2000, 2001, 2002]
+
+
 def test_chi_square():
     assert quality.chi2_cdf(quality.chi2_quantile(0.975, 5), 5) == pytest.approx(0.975)
     assert quality.chi2_quantile(0.95, 2) == pytest.approx(5.99146, abs=1e-4)
