@@ -4,13 +4,16 @@ Quote levels are the ``>`` signs that open a line.  Runs of lines of one level a
 passages, cut at blank lines; normalised (lower case, other characters than
 letters and digits as one space) and hashed, they are joined with the hashed bodies,
 paragraphs and lines of the original messages.  A passage links to the first
-message of its conversation that wrote it, if that came earlier; a message replies
+message of its conversation that wrote it, if that came earlier; a passage of several
+lines that is no such unit links to the first message that holds all its lines.  A message replies
 to the latest message it quotes at its outermost linked level.  Messages that
 reply to one another form threads (their first message found by pointer
 doubling), and a conversation is ordered by the start of the thread, then by turn.
 
 Only hashes and turns are shuffled for the links, and the join side of originals is
-one row per conversation and hash.  Positions come from running sums in blocks
+one row per conversation and hash.  Lines of a passage are looked for only in the
+messages that hold the one of them that fewest messages hold, equal passages and
+equal bodies once.  Positions come from running sums in blocks
 of turns, so a conversation with a third of all rows spreads over many tasks.
 
 Defined results: a null text has a null body and no quotes; an empty text an empty
@@ -66,6 +69,29 @@ def message_key() -> F.Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("conv_id", "turn", "role", "text")])
 
 
+def line_hashes(passage: F.Column) -> F.Column:
+    """Distinct hashes of the lines of a passage, in order of the hash."""
+    return F.sort_array(F.array_distinct(F.array_compact(F.transform(F.split(passage, "\n", -1), normal_hash))))
+
+
+def holders(parts: DataFrame, messages: DataFrame) -> DataFrame:
+    """Per conv_id and part (with its line hashes ``lines``): held_turn, the first turn of a message that holds all the lines."""
+    need = parts.select("conv_id", "part", F.size("lines").alias("n"), F.explode("lines").alias("hash"))
+    bodies = (messages.filter("conv_id is not null and turn is not null and body is not null")
+              .join(small_side(parts.select("conv_id").distinct(), 24), "conv_id", "left_semi")
+              .groupBy("conv_id", "body").agg(F.min("turn").alias("held_turn")))
+    held = (bodies.select("conv_id", F.md5("body").alias("message"), "held_turn", F.explode(line_hashes(F.col("body"))).alias("hash"))
+            .join(small_side(need.select("conv_id", "hash").distinct(), 64), ["conv_id", "hash"], "left_semi"))
+    held = staged(held, "held-lines")
+    often = held.groupBy("conv_id", "hash").agg(F.count("*").alias("often"))
+    rarest = (need.join(often, ["conv_id", "hash"]).groupBy("conv_id", "part", "n").agg(F.count("*").alias("found"), F.min(F.struct("often", "hash")).alias("r"))
+              .filter("found = n").select("conv_id", "part", "n", F.col("r.hash").alias("hash")))
+    tried = rarest.join(held, ["conv_id", "hash"]).select("conv_id", "part", "message", "held_turn")
+    whole = (tried.join(need, ["conv_id", "part"]).join(held.select("conv_id", "message", "hash"), ["conv_id", "message", "hash"])
+             .groupBy("conv_id", "part", "message", "n", "held_turn").agg(F.count("*").alias("found")).filter("found = n"))
+    return whole.groupBy("conv_id", "part").agg(F.min("held_turn").alias("held_turn"))
+
+
 def links(messages: DataFrame) -> DataFrame:
     """Per quoting message (key): n_quotes, n_linked, max_level, reply_to."""
     quoting = messages.filter(F.col("text").rlike(QUOTED) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).dropDuplicates(["key"])
@@ -76,7 +102,8 @@ def links(messages: DataFrame) -> DataFrame:
     runs = (lines.filter("level > 0").groupBy("key", "conv_id", "turn", "run", "level")
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("passage")))
     passages = (runs.select("key", "conv_id", "turn", "level", F.explode(F.split("passage", BLANK, -1)).alias("passage"))
-                .withColumn("hash", normal_hash(F.col("passage"))).filter("hash is not null").drop("passage"))
+                .withColumn("hash", normal_hash(F.col("passage"))).filter("hash is not null")
+                .withColumn("lines", F.when(F.col("passage").contains("\n"), line_hashes(F.col("passage")))).drop("passage"))
     passages = staged(passages, "passages")
     wanted = passages.select("conv_id", "hash").distinct()
     own = F.col("body")
@@ -86,6 +113,12 @@ def links(messages: DataFrame) -> DataFrame:
                  .select("conv_id", "turn", F.explode(units).alias("unit")).select("conv_id", "turn", normal_hash(F.col("unit")).alias("hash")))
     first = originals.join(small_side(wanted, 64), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("source_turn"))
     found = passages.join(first, ["conv_id", "hash"], "left").withColumn("linked", F.coalesce(F.col("source_turn") < F.col("turn"), F.lit(False)))
+    found = staged(found.withColumn("part", F.when(~F.col("linked"), F.md5(F.array_join("lines", " ")))), "found")
+    parts = found.filter("part is not null").groupBy("conv_id", "part").agg(F.first("lines").alias("lines"))
+    if found.filter("part is not null").limit(1).count():
+        found = found.join(small_side(staged(holders(parts, messages), "holders"), 64), ["conv_id", "part"], "left")
+        found = (found.withColumn("source_turn", F.when(F.col("linked"), F.col("source_turn")).otherwise(F.col("held_turn")))
+                 .withColumn("linked", F.coalesce(F.col("source_turn") < F.col("turn"), F.lit(False))))
     per = found.groupBy("key", "conv_id", "turn").agg(
         F.count("*").alias("n_quotes"), F.sum(F.col("linked").cast("bigint")).alias("n_linked"), F.max("level").cast("bigint").alias("max_level"),
         F.max(F.when(F.col("linked"), F.struct(-F.col("level"), F.col("source_turn").alias("t")))).alias("r"))

@@ -196,6 +196,18 @@ def test_chat(spark):
     assert chat.chat(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_chat_links_partial_and_interleaved_quotes(spark):
+    rows = [(1, 0, "user", "first line\nsecond line\nthird line\nfourth line"), (1, 1, "assistant", "second line\nother"),
+            (1, 2, "user", "> second line\n> third line\nmy view"), (1, 3, "user", "> first line\n> SECOND  line\nyes\n> third line\n> fourth line\nno"),
+            (1, 4, "user", "> second line\n> never written\nhm"), (1, 5, "user", "> later one\n> later two\nhm"), (1, 6, "user", "x\nlater one\nlater two\ny"),
+            (1, 7, "user", "> second line\n> other\nok"), (2, 0, "user", "> first line\n> second line\nelsewhere")]
+    out = chat.chat(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    by = {(r.conv_id, r.turn): (r.reply_to, r.n_quotes, r.n_linked) for r in out}
+    assert by[1, 2] == (0, 1, 1) and by[1, 3] == (0, 2, 2) and by[1, 7] == (1, 1, 1)
+    assert by[1, 4] == by[1, 5] == by[2, 0] == (None, 1, 0)
+    assert {r.turn: r.thread_turn for r in out if r.conv_id == 1} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 4, 5: 5, 6: 6, 7: 1}
+
+
 def jaccard(a, b, k=fingerprint.SHINGLE):
     def terms(t):
         w = t.split()
