@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, chat, fingerprint, langid, lines, mixing, neardup, quality, repeats, urls
+from quarry.llm import align, bpe, chat, fingerprint, langid, lines, mixing, neardup, packing, quality, repeats, spelling, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_repeats": repeats.op9_repeats,
     "op10_lines": lines.op10_lines,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_pack": packing.op12_pack,
+    "op13_align": align.op13_align,
 }
 ORACLE_SQL = {
     "op8_urls": urls.ORACLE,
     "op10_lines": lines.ORACLE,
+    "op11_spelling": spelling.ORACLE,
 }
