@@ -1,10 +1,12 @@
 """11. Spelling variants: near words by a frontier over a relational trie.
 
 Words are counted in map tasks that send each distinct word once in a while, and
-summed.  The trie is an edge table: a row per prefix that two words or more share
-and next character (empty where a word ends there); below a prefix of one word the
-edge carries that word.  States (word, position, node, edits) start at the root and
-are joined with the edges of one depth after another.  A step follows the word's
+summed.  Each word enters the trie twice, from its start and, with another mark,
+from its end.  The trie is an edge table: a row per prefix that two words or more
+share and next character (empty where a word ends there); below a prefix of one
+word the edge carries that word.  An edit lies in the later half of one of a word's
+two directions, so its states (word, position, node, edits) start at the node of its
+first half; they are joined with the edges of one depth after another.  A step follows the word's
 own character, or spends the one edit: another character (replaced), any character
 without moving in the word (inserted), or moving in the word alone (deleted).  A
 state whose node is a whole word after one edit names a neighbour; one that reaches
@@ -88,9 +90,9 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cha
     return sent.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
-def edges(words: DataFrame) -> DataFrame:
-    """depth, node, ch, leaf: the trie of short words; ch is empty where node is a word, leaf the only word behind the edge."""
-    step = (words.select("word", F.posexplode(F.split(F.concat("word", F.lit("\n")), "")).alias("depth", "ch"))
+def edges(words: DataFrame, least: int = 0) -> DataFrame:
+    """depth, node, ch, leaf: the trie of words from depth ``least`` on; ch is empty where node is a word, leaf the only word behind the edge."""
+    step = (words.select("word", F.posexplode(F.split(F.concat("word", F.lit("\n")), "")).alias("depth", "ch")).filter(F.col("depth") >= least)
             .select("depth", F.substring("word", F.lit(1), F.col("depth")).alias("node"), F.when(F.col("ch") == "\n", "").otherwise(F.col("ch")).alias("ch"), "word"))
     edge = step.groupBy("depth", "node", "ch").agg(F.count("*").alias("n"), F.min("word").alias("leaf"))
     # below a prefix of a single word there is nothing to walk
@@ -100,14 +102,18 @@ def edges(words: DataFrame) -> DataFrame:
 
 
 def frontier(words: DataFrame, depth: int = DEPTH, salts: int = SALTS) -> DataFrame:
-    """word, near: pairs of words under ``depth`` + 1 characters that differ by exactly one edit, both ways."""
+    """word, near: pairs of words of at most ``depth`` characters that differ by exactly one edit, both ways."""
     spark = words.sparkSession
-    short = staged(words.select("word").filter(F.length("word") <= depth), "spell-short")
-    trie = staged(edges(short).repartition("depth", "node"), "spell-trie")
+    both = F.explode(F.array(F.concat(F.lit(">"), "word"), F.concat(F.lit("<"), F.reverse("word"))))
+    short = words.filter(F.length("word") <= depth).select(both.alias("word"))
+    short = staged(short.withColumn("start", F.expr("cast(1 + (length(word) - 1) div 2 as int)")), "spell-short")
+    first = short.agg(F.min("start")).first()[0] or 0
+    trie = staged(edges(short, first).repartition("depth", "node"), "spell-trie")
     sizes = {r["depth"]: r["n"] for r in trie.groupBy("depth").agg(F.count("*").alias("n")).collect()}  # at most ``depth`` rows
-    state = short.select("word", F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"))
-    found = []
-    for level in range(max(sizes, default=-1) + 1):
+    found, state = [], None
+    for level in range(first, max(sizes, default=-1) + 1):
+        begun = short.filter(F.col("start") == level).select("word", F.col("start").alias("pos"), F.substring("word", 1, level).alias("node"), F.lit(0).alias("edits"))
+        state = begun if state is None else state.unionByName(begun)
         # moving in the word alone: deleted
         skip = state.filter("edits = 0 and pos < length(word)").select("word", (F.col("pos") + 1).alias("pos"), "node", F.lit(1).alias("edits"))
         here = state.unionByName(skip).withColumn("next", F.expr("substring(word, pos + 1, 1)"))
@@ -140,7 +146,12 @@ def frontier(words: DataFrame, depth: int = DEPTH, salts: int = SALTS) -> DataFr
     pairs = found[0] if found else spark.createDataFrame([], "word string, near string")
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.distinct()
+
+    def plain(c):
+        rest = F.expr(f"substring({c}, 2)")
+        return F.when(F.col(c).startswith("<"), F.reverse(rest)).otherwise(rest).alias(c)
+
+    return pairs.select(plain("word"), plain("near")).distinct()
 
 
 def long_pairs(words: DataFrame, depth: int = DEPTH) -> DataFrame:
