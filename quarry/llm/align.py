@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import Encoder, load
-from quarry.llm.chunkids import ChunkIds
+from quarry.llm.chunkids import CHUNKS_KEPT, ChunkIds
 from quarry.llm.common import slices, staged, table
 
 LANE = 512
@@ -63,8 +64,12 @@ class Pieces:
         runs = re.compile(r" +[^ ]*|^[^ ]+")
         space = [sp.piece_to_id("▁")]  # an empty text has no token, but an empty chunk is a space at the end
         # a chunk stands without the one space that B itself puts before it
-        self.store = ChunkIds(lambda t: t.split(" ") if "  " not in t and t[:1] != " " and t[-1:] != " " else [c[1:] for c in runs.findall(" " + t)],
-                              lambda new: [x if c else space for c, x in zip(new, sp.encode(new, num_threads=1))])
+
+        def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids = [x if c else space for c, x in zip(new, sp.encode(new, num_threads=1))]
+            return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+        self.store = ChunkIds(lambda t: t.split(" ") if "  " not in t and t[:1] != " " and t[-1:] != " " else [c[1:] for c in runs.findall(" " + t)], encode)
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, a: np.ndarray, b: np.ndarray, last_a: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -115,7 +120,7 @@ class Aligner:
     """Aligns blocks of texts; holds what a task needs."""
 
     def __init__(self, merges, piece_path: str):
-        self.a, self.b = Spaced(merges), Pieces(piece_path)
+        self.a, self.b = Spaced(merges, CHUNKS_KEPT), Pieces(piece_path)
         self.len_a = np.array([len(x) for x in merges.piece], np.int64)
         self.len_b = np.array([len(x) for x in self.b.bytes], np.int64)
         self.width = len(self.b.bytes)

@@ -9,18 +9,19 @@ with the data.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 
 from quarry.llm.bpe import Numbered, gather
 
-CHUNKS_KEPT = 150_000
+CHUNKS_KEPT = 500_000
 
 
 class ChunkIds:
-    """``cut`` gives the chunks of a text, ``encode`` the ids of each of a list of chunks."""
+    """``cut`` gives the chunks of a text, ``encode`` the ids of a list of chunks, one after another, and how many each has."""
 
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], kept: int = CHUNKS_KEPT):
+    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept: int = CHUNKS_KEPT):
         self.cut, self.encode, self.kept = cut, encode, kept
         self.reset()
 
@@ -37,8 +38,7 @@ class ChunkIds:
             chunks = self.cut(text) if text else []
             rows.append(np.fromiter(map(known.__getitem__, chunks), np.int32, len(chunks)))
         if len(known) > had:
-            new = self.encode(list(known)[had:])
-            ends = np.cumsum([len(x) for x in new])
-            self.flat = np.concatenate([self.flat, *(np.array(x, np.int32) for x in new)])
-            self.ends = np.concatenate((self.ends, ends + self.ends[-1]))
+            flat, lengths = self.encode(list(islice(known, had, None)))
+            self.flat = np.concatenate((self.flat, flat))
+            self.ends = np.concatenate((self.ends, np.cumsum(lengths) + self.ends[-1]))
         return [gather(self.flat, self.ends, row)[0] for row in rows]

@@ -55,8 +55,17 @@ def encoder(path: str) -> ChunkIds:
     hf.no_padding()
     if hf.get_vocab_size() > 1 << 16:
         raise ValueError("ids are kept in 16 bits")
-    return ChunkIds(lambda t: t.replace("\n", " ").split(" "),
-                    lambda new: [e.ids for e in hf.encode_batch(new, add_special_tokens=False)])
+
+    def cut(text: str) -> list[str]:
+        if "<|" not in text:  # else a special token's string in capitals would become one
+            text = text.encode().lower().decode()  # as the tokenizer does; here A-Z alone, so that fewer chunks differ
+        return text.replace("\n", " ").split(" ")
+
+    def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        e = hf.encode(new, is_pretokenized=True, add_special_tokens=False)
+        return np.array(e.ids, np.int32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(new))
+
+    return ChunkIds(cut, encode)
 
 
 def windows(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
