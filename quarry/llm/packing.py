@@ -26,6 +26,7 @@ from __future__ import annotations
 import bisect
 import math
 import os
+import re
 import zlib
 
 import numpy as np
@@ -34,11 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.bpe import Numbered, byte_letters, gather
 from quarry.llm.chunkids import ChunkIds
 from quarry.llm.common import slices, staged, table
 
 WINDOW = 4096
 END_ID = 2
+#: A run of letters that are small already and one of marks, either as the tokenizer's pattern splits them.
+SIMPLE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
 UNIT = 32
 MIN_ROOM = 16
 #: Tokens a bay holds on average (two bytes each).
@@ -55,15 +59,39 @@ def encoder(path: str) -> ChunkIds:
     hf.no_padding()
     if hf.get_vocab_size() > 1 << 16:
         raise ValueError("ids are kept in 16 bits")
+    plain = Tokenizer(hf.model)
+    letters = dict(enumerate(byte_letters()))
 
     def cut(text: str) -> list[str]:
         if "<|" not in text:  # else a special token's string in capitals would become one
             text = text.encode().lower().decode()  # as the tokenizer does; here A-Z alone, so that fewer chunks differ
         return text.replace("\n", " ").split(" ")
 
+    def ids_of(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        e = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.array(e.ids, np.int32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
+
     def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        e = hf.encode(new, is_pretokenized=True, add_special_tokens=False)
-        return np.array(e.ids, np.int32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(new))
+        # a run of small letters and one of marks are what the split pattern makes of such a chunk, and the
+        # normaliser leaves them alone: they go to the merges at once, each distinct run one time
+        runs, other, entry, count = Numbered(), [], [], []
+        for chunk in new:
+            if m := SIMPLE(chunk):
+                word, marks = m.groups()
+                entry.append(runs[word])
+                if marks:
+                    entry.append(runs[marks])
+                count.append(2 if marks else 1)
+            else:
+                entry.append(-1 - len(other))
+                other.append(chunk)
+                count.append(1)
+        words = [w if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in runs]
+        (flat, n), (more, m) = ids_of(plain, words), ids_of(hf, other)
+        ends = np.append(0, np.cumsum(np.concatenate((n, m))))
+        entry = np.array(entry, np.int64)
+        out, stops = gather(np.concatenate((flat, more)), ends, np.where(entry < 0, len(words) - 1 - entry, entry))
+        return out, np.diff(np.append(0, stops)[np.append(0, np.cumsum(count))])
 
     return ChunkIds(cut, encode)
 
