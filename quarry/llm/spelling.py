@@ -3,7 +3,7 @@
 Words are counted in map tasks that send each distinct word once in a while, and
 summed.  Each word enters the trie twice, from its start and, with another mark,
 from its end.  The trie is an edge table: a row per prefix that two words or more
-share and next character (empty where a word ends there); below a prefix of one
+share and next character (a mark where a word ends there); below a prefix of one
 word the edge carries that word.  An edit lies in the later half of one of a word's
 two directions, so its states (word, position, node, edits) start at the node of its
 first half; they are joined with the edges of one depth after another.  A step follows the word's
@@ -13,7 +13,8 @@ state whose node is a whole word after one edit names a neighbour; one that reac
 an edge with a single word is decided by comparing the two.
 
 A depth whose edges are counted and small is broadcast; a larger one is joined by
-(node, salt), so a prefix that a third of the words share is many tasks.  The
+node, and a node with many states by (node, salt), so a prefix that a third of the
+words share is many tasks.  The
 number of rounds is at most ``DEPTH``: words of that many characters or more, which
 are no words of a language, meet by the hashes of their forms with one character
 taken out; a form and place has at most one word for each letter, so these groups
@@ -43,7 +44,10 @@ RUN = "[A-Za-zÀ-ÿ]+"
 MIN_CHARS, MIN_COUNT, FORM_RATIO = 6, 5, 5
 EDIT_MODULUS = 199
 DEPTH = 32
-SALTS = 16
+#: A node with more states than this is joined in parts.
+HOT = 50_000
+#: Stands for the end of a word; no word holds it.
+END = "."
 FLUSH = 200_000
 LONG_TEXT = 1 << 20
 #: A depth's edges are broadcast up to this size.
@@ -91,17 +95,32 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cha
 
 
 def edges(words: DataFrame, least: int = 0) -> DataFrame:
-    """depth, node, ch, leaf: the trie of words from depth ``least`` on; ch is empty where node is a word, leaf the only word behind the edge."""
-    step = (words.select("word", F.posexplode(F.split(F.concat("word", F.lit("\n")), "")).alias("depth", "ch")).filter(F.col("depth") >= least)
-            .select("depth", F.substring("word", F.lit(1), F.col("depth")).alias("node"), F.when(F.col("ch") == "\n", "").otherwise(F.col("ch")).alias("ch"), "word"))
+    """depth, node, ch, leaf, after: the trie of words from depth ``least`` on.
+
+    ch is END where node is a word; leaf is the only word behind the edge, else after holds the characters that follow it.
+    """
+    step = (words.select("word", F.posexplode(F.split(F.concat("word", F.lit(END)), "")).alias("depth", "ch")).filter(F.col("depth") >= least)
+            .select("depth", F.substring("word", F.lit(1), F.col("depth")).alias("node"), "ch", "word"))
     edge = step.groupBy("depth", "node", "ch").agg(F.count("*").alias("n"), F.min("word").alias("leaf"))
-    # below a prefix of a single word there is nothing to walk
-    inner = edge.groupBy("depth", "node").agg(F.sum("n").alias("all")).filter("all > 1")
-    return (edge.join(inner, ["depth", "node"], "left_semi")
-            .select("depth", "node", "ch", F.when((F.col("n") == 1) & (F.col("ch") != ""), F.col("leaf")).alias("leaf")))
+    # one row for each node; below a prefix of a single word there is nothing to walk
+    node = (edge.groupBy("depth", "node").agg(F.sum("n").alias("all"), F.collect_list(F.struct("ch", "n", "leaf")).alias("out"))
+            .filter("all > 1").select("depth", "node", "out", F.concat_ws("", "out.ch").alias("after")))
+    node = staged(node, "spell-nodes")
+    out = (node.select("depth", "node", F.explode("out").alias("e"))
+           .select("depth", "node", "e.ch", F.when((F.col("e.n") == 1) & (F.col("e.ch") != END), F.col("e.leaf")).alias("leaf"),
+                   F.when(F.col("e.n") > 1, F.concat("node", "e.ch")).alias("child")))
+    return (out.join(node.select(F.col("node").alias("child"), "after"), "child", "left")
+            .select("depth", "node", "ch", "leaf", "after"))
+
+
+def hot_nodes(state: DataFrame, most: int) -> DataFrame | None:
+    """node, salts of the nodes with more than ``most`` states: at most one for each ``most`` states.  None if there are none."""
+    hot = state.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    hot = staged(hot.select("node", F.ceil(F.col("n") / most).cast("int").alias("salts")), "spell-hot")
+    return hot if hot.limit(1).count() else None
 
 
-def frontier(words: DataFrame, depth: int = DEPTH, salts: int = SALTS) -> DataFrame:
+def frontier(words: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """word, near: pairs of words of at most ``depth`` characters that differ by exactly one edit, both ways."""
     spark = words.sparkSession
     both = F.explode(F.array(F.concat(F.lit(">"), "word"), F.concat(F.lit("<"), F.reverse("word"))))
@@ -114,32 +133,38 @@ def frontier(words: DataFrame, depth: int = DEPTH, salts: int = SALTS) -> DataFr
     for level in range(first, max(sizes, default=-1) + 1):
         begun = short.filter(F.col("start") == level).select("word", F.col("start").alias("pos"), F.substring("word", 1, level).alias("node"), F.lit(0).alias("edits"))
         state = begun if state is None else state.unionByName(begun)
-        # moving in the word alone: deleted
-        skip = state.filter("edits = 0 and pos < length(word)").select("word", (F.col("pos") + 1).alias("pos"), "node", F.lit(1).alias("edits"))
-        here = state.unionByName(skip).withColumn("next", F.expr("substring(word, pos + 1, 1)"))
-        edge = trie.filter(F.col("depth") == level).select("node", "ch", "leaf")
+        here = state.withColumns({f"next{k}": F.expr(f"substring(concat(word, '{END}'), pos + {k}, 1)") for k in (1, 2)})
+        edge = trie.filter(F.col("depth") == level).select("node", "ch", "leaf", "after")
         if sizes.get(level, 0) * EDGE_BYTES <= BROADCAST_BYTES:
             met = here.join(F.broadcast(edge), "node")
+        elif (salted := hot_nodes(state, hot)) is None:
+            met = here.join(edge, "node")
         else:
-            edge = edge.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            met = here.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(salts)).cast("int")).join(edge, ["node", "salt"]).drop("salt")
-        met = met.filter("edits = 0 or ch = next")
-        child = F.concat("node", "ch")
-
-        def to(pos, edits, when):
-            return F.when(when, F.struct(F.lit(None).cast("string").alias("near"), pos.cast("int").alias("pos"), child.alias("node"), F.lit(edits).alias("edits")))
-
-        walk = F.col("leaf").isNull() & (F.col("ch") != "")
-        fresh, own = F.col("edits") == 0, F.col("ch") == F.col("next")
-        pos, ended = F.col("pos"), F.length("word") - F.col("pos")
-        near = F.when((F.col("ch") == "") & (((F.col("edits") == 1) & (ended == 0)) | (fresh & (ended == 1))), F.col("node"))
-        near = F.when(F.col("leaf").isNotNull() & (F.levenshtein("word", "leaf", 1) == 1), F.col("leaf")).otherwise(near)
+            salted = small_side(salted, 64)
+            edge = (edge.join(salted, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts"))
+            here = (here.join(salted, "node", "left").withColumn("salt", F.pmod(F.xxhash64("word"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts"))
+            met = here.join(edge, ["node", "salt"]).drop("salt")
+        fresh = F.col("edits") == 0
+        met = met.filter(fresh | (F.col("ch") == F.col("next1")))
+        child, pos, walk = F.concat("node", "ch"), F.col("pos"), F.col("after").isNotNull()
+
+        def to(step, edits, when):
+            """The state at the child, if the word's next character follows there (an unedited state may spend its edit there)."""
+            goes = F.lit(True) if edits == 0 else F.instr("after", F.expr(f"substring(concat(word, '{END}'), pos + {step + 1}, 1)")) > 0
+            return F.when(walk & when & goes, F.struct(F.lit(None).cast("string").alias("near"), (pos + step).cast("int").alias("pos"),
+                                                       child.alias("node"), F.lit(edits).alias("edits")))
+
+        follows = F.col("ch") == F.col("next1")
+        ended = F.col("ch") == END
+        near = (F.when(F.col("leaf").isNotNull(), F.when((F.abs(F.length("word") - F.length("leaf")) <= 1) & (F.levenshtein("word", "leaf", 1) == 1), F.col("leaf")))
+                .when(ended & F.when(fresh, F.col("next2") == END).otherwise(F.col("next1") == END), F.col("node")))
         steps = F.array(
             F.when(near.isNotNull(), F.struct(near.alias("near"), F.lit(0).alias("pos"), F.lit("").alias("node"), F.lit(0).alias("edits"))),
-            to(pos + 1, 0, walk & fresh & own),
-            to(pos + 1, 1, walk & ~fresh & own),
-            to(pos + 1, 1, walk & fresh & ~own & (ended > 0)),  # replaced
-            to(pos, 1, walk & fresh))  # inserted
+            to(1, 0, fresh & follows),
+            to(1, 1, ~fresh),
+            to(1, 1, fresh & ~follows & (F.col("next1") != END)),  # replaced
+            to(0, 1, fresh),  # inserted
+            to(2, 1, fresh & (F.col("ch") == F.col("next2")) & (F.col("next1") != END) & (F.col("next2") != END)))  # deleted
         out = staged(met.select("word", F.explode(F.array_compact(steps)).alias("s")).select("word", "s.*"), f"spell-{level}")
         found.append(out.filter("near is not null").select("word", "near"))
         state = out.filter("near is null").drop("near")
@@ -178,15 +203,15 @@ def _digest(x: str) -> bytes:
     return hashlib.blake2b(x.encode(), digest_size=16).digest()
 
 
-def near_words(words: DataFrame, depth: int = DEPTH, salts: int = SALTS) -> DataFrame:
+def near_words(words: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """word, near: all pairs of words, both ways, that differ by exactly one inserted, deleted or replaced character."""
-    return frontier(words, depth, salts).unionByName(long_pairs(words, depth)).distinct()
+    return frontier(words, depth, hot).unionByName(long_pairs(words, depth)).distinct()
 
 
-def variants(words: DataFrame, ratio: int = FORM_RATIO, depth: int = DEPTH, salts: int = SALTS) -> DataFrame:
+def variants(words: DataFrame, ratio: int = FORM_RATIO, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """word, n, n_near, form, form_n, root of every word of a table (word, n)."""
     words = staged(words, "spell-words")
-    near = near_words(words, depth, salts)
+    near = near_words(words, depth, hot)
     other = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     best = (near.join(small_side(other, 64), "near").groupBy("word")
             .agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("b")))

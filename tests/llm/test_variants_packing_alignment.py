@@ -65,10 +65,10 @@ def spelled(docs):
     return sorted((w, form.get(w), root(w), n[w], len(near[w]), n[form[w]] if w in form else None) for w in n)
 
 
-@pytest.mark.parametrize("small", [32 << 20, 0])
-def test_spelling_equals_brute_force(docs, plain, monkeypatch, small):
-    monkeypatch.setattr(spelling, "BROADCAST_BYTES", small)  # with 0 all depths are joined by node and salt
-    got = spelling.variants(spelling.count_words(docs)).select("word", "form", "root", "n", "n_near", "form_n").collect()
+@pytest.mark.parametrize(("small", "hot"), [(32 << 20, 50_000), (0, 50_000), (0, 2)])
+def test_spelling_equals_brute_force(docs, plain, monkeypatch, small, hot):
+    monkeypatch.setattr(spelling, "BROADCAST_BYTES", small)  # with 0 all depths are joined by node, with few states as hot by salt
+    got = spelling.variants(spelling.count_words(docs), hot=hot).select("word", "form", "root", "n", "n_near", "form_n").collect()
     want = spelled(plain)
     assert sorted(map(tuple, got)) == want
     assert sum(1 for r in want if r[4]) > 20 and any(len(r[0]) > spelling.DEPTH and r[4] for r in want)
