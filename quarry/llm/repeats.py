@@ -6,7 +6,8 @@ its anchor.  Equal strings hold anchors of equal hash, so occurrences sorted by
 neighbours: an anchor found once has no match; an occurrence whose whole context
 is found elsewhere is repeated in full; what is left are the edges of repeats.
 The edges' contexts, with one context of each kind found in full, meet by anchor
-in blocks of bounded size.  A block's Burrows-Wheeler transform is expanded by
+in blocks of bounded size; those that share too few bytes on either side of the
+anchor with any other to be repeats are left out.  A block's Burrows-Wheeler transform is expanded by
 intervals, breadth first by backward extension, which assigns common prefixes in
 increasing length; it stops at 200, so entries never assigned are the repeats.
 Anchors with more than ``HOT`` different contexts are not gathered: their 200-byte
@@ -24,6 +25,7 @@ occurrences; an empty table gives an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from quarry.llm.common import BASE, mix, raw, slices, small_side, staged, table
 LEAST = 200
 ANCHOR = 64
 SIDE = LEAST - ANCHOR
+HALF = SIDE // 2
 PIECE = 1 << 20
 HOT = 4096
 BLOCK_BYTES = 1 << 17
@@ -77,7 +80,7 @@ def _anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurrences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: anchor hash, context hash, start and end of the context, for every anchor."""
+    """Of one text: anchor hash, context hash, position of the anchor and end of the context, for every anchor."""
     out = []
     for a in range(0, max(1, len(data) - LEAST + 1), PIECE):
         low, high = max(0, a - SIDE), min(len(data), a + PIECE + LEAST - 1)
@@ -90,11 +93,11 @@ def occurrences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         pos = pos + a
         start, end = np.maximum(0, pos - SIDE), np.minimum(len(data), pos + ANCHOR + SIDE)
         ctx = span_hash(s, down, start - low, end - low) ^ mix((pos - start + 1).astype(np.uint64))
-        out.append((h, ctx, start, end))
+        out.append((h, ctx, pos, end))
     if not out:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
     cols = [np.concatenate(c) for c in zip(*out)]
-    _, first = np.unique(cols[2] * (1 << 20) + (cols[3] - cols[2]), return_index=True) if len(out) > 1 else (None, slice(None))
+    _, first = np.unique(cols[2], return_index=True) if len(out) > 1 else (None, slice(None))
     return tuple(c[first] for c in cols)
 
 
@@ -105,20 +108,20 @@ def _find(texts: DataFrame) -> DataFrame:
                 data, offs = raw(part.column(1))
                 keys, out = part.column(0).to_pylist(), []
                 for i, key in enumerate(keys):
-                    h, ctx, start, end = occurrences(data[offs[i]:offs[i + 1]])
+                    h, ctx, pos, end = occurrences(data[offs[i]:offs[i + 1]])
                     if len(h):
                         out.append((pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array([key] * len(h), pa.binary()),
-                                    pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))))
+                                    pa.array(pos.astype(np.int32)), pa.array(end.astype(np.int32))))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out)], names=["anchor", "ctx", "key", "start", "end"])
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out)], names=["anchor", "ctx", "key", "pos", "end"])
 
-    return texts.select("key", "text").mapInArrow(run, "anchor bigint, ctx bigint, key binary, start int, end int")
+    return texts.select("key", "text").mapInArrow(run, "anchor bigint, ctx bigint, key binary, pos int, end int")
 
 
 def _marked(occ: DataFrame) -> DataFrame:
     """Occurrences of anchors found twice or more, in sorted ranges: full (the context is found elsewhere), head (first of
     its context) and, for the two rows at a range's ends, the range's number in ``part``."""
-    names = ["anchor", "ctx", "key", "start", "end", "same_anchor", "same_ctx", "head", "edge"]
+    names = ["anchor", "ctx", "key", "pos", "end", "same_anchor", "same_ctx", "head", "edge"]
 
     def run(batches):
         held = None  # the last row so far: its columns, and whether its predecessor shares anchor and context
@@ -158,19 +161,19 @@ def _marked(occ: DataFrame) -> DataFrame:
             cols = [held[0].column(i) for i in range(5)]
             yield emit(cols, np.array([held[1]]), np.array([held[2]]), np.array([not held[2]]), np.array([True]))
 
-    dealt = occ.repartitionByRange("anchor", "ctx", "key", "start").sortWithinPartitions("anchor", "ctx", "key", "start")
-    return dealt.mapInArrow(run, "anchor bigint, ctx bigint, key binary, start int, end int, same_anchor boolean, same_ctx boolean, head boolean, edge boolean")
+    dealt = occ.repartitionByRange("anchor", "ctx", "key", "pos").sortWithinPartitions("anchor", "ctx", "key", "pos")
+    return dealt.mapInArrow(run, "anchor bigint, ctx bigint, key binary, pos int, end int, same_anchor boolean, same_ctx boolean, head boolean, edge boolean")
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """anchor, ctx, key, start, end, full, head of every occurrence whose anchor is found elsewhere."""
+    """anchor, ctx, key, pos (of the anchor), start and end (of its context), full, head of every occurrence whose anchor is found elsewhere."""
     marked = staged(_marked(staged(_find(texts), "occurrences")), "anchors")  # dealing by ranges reads them twice
-    ends = marked.filter("edge").select("anchor", "ctx", "key", "start").distinct()
+    ends = marked.filter("edge").select("anchor", "ctx", "key", "pos").distinct()
     more_a = ends.groupBy("anchor").agg((F.count("*") > 1).alias("more_a"))
-    more_c = ends.groupBy("anchor", "ctx").agg((F.count("*") > 1).alias("more_c"), F.min(F.struct("key", "start")).alias("one"))
-    edge = (marked.filter("edge").dropDuplicates(["anchor", "ctx", "key", "start"]).join(more_a, "anchor").join(more_c, ["anchor", "ctx"])
+    more_c = ends.groupBy("anchor", "ctx").agg((F.count("*") > 1).alias("more_c"))
+    edge = (marked.filter("edge").dropDuplicates(["anchor", "ctx", "key", "pos"]).join(more_a, "anchor").join(more_c, ["anchor", "ctx"])
             .withColumns({"same_anchor": F.col("same_anchor") | F.col("more_a"), "same_ctx": F.col("same_ctx") | F.col("more_c")}))
-    cols = ["anchor", "ctx", "key", "start", "end", F.col("same_ctx").alias("full"), "head"]
+    cols = ["anchor", "ctx", "key", "pos", F.greatest(F.lit(0), F.col("pos") - SIDE).alias("start"), "end", F.col("same_ctx").alias("full"), "head"]
     return staged(marked.filter("not edge").select(*cols).unionByName(edge.filter("same_anchor").select(*cols)), "candidates")
 
 
@@ -277,21 +280,35 @@ def repeated(segments: list[bytes], owner: np.ndarray, start: np.ndarray) -> lis
     return list(zip(seg[a].tolist(), within[a].tolist(), (z - a + within[a]).tolist()))
 
 
+def alike(group: list[tuple[bytes, int, int, bytes]]) -> list[tuple[bytes, int, bytes]]:
+    """Of the occurrences (key, start, anchor's place, segment) of one anchor, those that may share LEAST bytes with another.
+
+    A common string around the anchor has half of its other bytes or more on one side; an
+    occurrence with which no other shares that many bytes, to the left or to the right, has none.
+    """
+    left = [x[side - HALF:side + ANCHOR] if side >= HALF else None for *_, side, x in group]
+    right = [x[side:side + ANCHOR + HALF] if len(x) - side >= ANCHOR + HALF else None for *_, side, x in group]
+    n_left, n_right = Counter(left), Counter(right)
+    return [(key, at, x) for (key, at, _, x), a, b in zip(group, left, right)
+            if (a is not None and n_left[a] > 1) or (b is not None and n_right[b] > 1)]
+
+
 def edges(found: DataFrame, texts: DataFrame) -> DataFrame:
     """Spans (key, start, end) of repeats at the occurrences whose context is found once."""
     part = found.filter("not full").select("anchor").distinct()
-    need = staged(found.filter("not full or head").join(part, "anchor", "left_semi").select("anchor", "key", "start", "end"), "edges")
-    per = need.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "end")).alias("at"))
+    need = found.filter("not full or head").join(part, "anchor", "left_semi")
+    need = staged(need.select("anchor", "key", "start", "end", (F.col("pos") - F.col("start")).alias("side")), "edges")
+    per = need.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "end", "side")).alias("at"))
     body = texts.join(small_side(need.select("key").distinct(), 48), "key", "left_semi").groupBy("key").agg(F.first("text").cast("binary").alias("text"))
     cut = (body.join(per, "key").select("key", "text", F.explode("at").alias("x"))
-           .select("x.anchor", "key", "x.start", F.substr("text", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("segment")))
+           .select("x.anchor", "key", "x.start", "x.side", F.substr("text", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("segment")))
     cut = staged(cut, "segments")
     hot = staged(cut.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor"), "hot")
     any_hot = hot.limit(1).count() > 0
     usual = cut.join(hot, "anchor", "left_anti") if any_hot else cut
 
     def run(batches):
-        rows, size, last = [], 0, None
+        rows, group, size, last = [], [], 0, None
 
         def solve():
             keys: dict[bytes, int] = {}
@@ -303,13 +320,18 @@ def edges(found: DataFrame, texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32()))], names=["key", "start", "end"])
 
         for b in batches:
-            for anchor, key, at, segment in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if anchor != last and size > BLOCK_BYTES:
-                    yield solve()
-                    size = 0
-                last = anchor
-                rows.append((key, at, segment))
-                size += len(segment)
+            for anchor, key, at, side, segment in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if anchor != last:
+                    if len(group) > 1:
+                        kept = alike(group)
+                        rows += kept
+                        size += sum(len(x) for *_, x in kept)
+                    group, last = [], anchor
+                    if size > BLOCK_BYTES:
+                        yield solve()
+                        size = 0
+                group.append((key, at, side, segment))
+        rows += alike(group)
         if rows:
             yield solve()
 
