@@ -16,7 +16,8 @@ from quarry.session import ship_package, work_path
 #: A word is a run of anything but these: fixed by the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-SLICE_BYTES = 4 << 20
+#: Word hashes take some 40 bytes of work arrays for each byte of a slice.
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,17 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that a column of ``df`` has already (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def slices(batch: pa.RecordBatch, col: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes (one long text may exceed it)."""
     if batch.num_rows == 0:

@@ -32,6 +32,7 @@ from quarry.llm.sampling import Sampler
 SAMPLES = 128
 SHINGLE = 2
 DOCS_PER_RANGE = 50_000
+BYTES_PER_RANGE = 32 << 20
 
 
 def codes(text: str | bytes, sampler: Sampler) -> np.ndarray:
@@ -67,9 +68,9 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", docs_per_range: int = DOCS_PER_RANGE) -> tuple[DataFrame, int]:
     """Rows (range, ord, doc_id, text, extra): every document in its range; the range's successor is marked extra."""
     ids = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = docs.count()
-    few = min(n // 500, 8 * docs.sparkSession.sparkContext.defaultParallelism)  # smaller tables still use all cores
-    ranges = max(1, few, n // docs_per_range)
+    n, size = ids.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    few = min(n // 500, 16 * docs.sparkSession.sparkContext.defaultParallelism)  # smaller tables still use all cores
+    ranges = max(1, few, n // docs_per_range, size // BYTES_PER_RANGE)
     share = [i / ranges for i in range(1, ranges)]
     stat = ids.agg(F.min("doc_id").alias("low"), *([F.percentile_approx("doc_id", share, max(10_000, 4 * ranges)).alias("cut")] if share else [])).first()
     low = stat["low"]

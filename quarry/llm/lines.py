@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import staged, table, without
+from quarry.llm.common import free, staged, table, without
 
 MIN_SITES = 10
 MAX_SHARE = 0.5
@@ -30,11 +30,16 @@ BAND = 3 * 1.04 / 2 ** (LG_K / 2)
 TRIMMED = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
+def _hash(line: str) -> F.Column:
+    """Names a line or text by 128 bits: at 10^12 lines, 64 would make some equal that are not."""
+    return F.unhex(F.md5(line))
+
+
 def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
     """A row per line with a word: hash, site."""
     line = docs.select(F.explode(F.split(F.col(text), "\n", -1)).alias("line"), F.col(site).alias("site"))
     return (line.select(F.regexp_replace("line", TRIMMED, "").alias("line"), "site").filter("line <> ''")
-            .select(F.xxhash64("line").alias("hash"), F.coalesce("site", F.lit("\0")).alias("site")))
+            .select(_hash("line").alias("hash"), F.coalesce("site", F.lit("\0")).alias("site")))
 
 
 def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -54,22 +59,31 @@ def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_s
     """Documents with their boilerplate lines removed from the text; adds n_lines and n_removed."""
     bad = staged(boilerplate(docs, text, site, min_sites), "boilerplate")
     docs = without(docs, ["n_lines", "n_removed"])
-    key = F.xxhash64(F.col(text))
+    name, cuts = free(docs, "line_key", "line_cuts")
+    key = _hash(text)
     # lines of each distinct text that are boilerplate, by position; only these are joined back
-    line = (docs.select(key.alias("__key"), F.length(text).alias("chars"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-            .select("__key", "chars", "pos", F.regexp_replace("line", TRIMMED, "").alias("line")).filter("line <> ''")
-            .select("__key", "chars", "pos", F.length("line").alias("n"), F.xxhash64("line").alias("hash")))
-    hit = line.join(bad, "hash", "left_semi").dropDuplicates(["__key", "pos"])
-    cut = (hit.groupBy("__key").agg(F.collect_set("pos").alias("__cut"), F.sum("n").alias("n"), F.first("chars").alias("chars"))
-           .filter(F.col("n") <= max_share * F.col("chars")).select("__key", "__cut"))
-    rows = docs.withColumn("__key", key).join(cut, "__key", "left")
+    line = (docs.select(key.alias("key"), F.length(text).alias("chars"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+            .select("key", "chars", "pos", F.regexp_replace("line", TRIMMED, "").alias("line")).filter("line <> ''")
+            .select("key", "chars", "pos", F.length("line").alias("n"), _hash("line").alias("hash")))
+    hit = line.join(bad, "hash", "left_semi").dropDuplicates(["key", "pos"])
+    cut = (hit.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.sum("n").alias("n"), F.first("chars").alias("chars"))
+           .filter(F.col("n") <= max_share * F.col("chars")).select(F.col("key").alias(name), F.col("at").alias(cuts)))
+    rows = docs.join(cut, key == F.col(name), "left")
     split = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-                                 lambda s: ~F.array_contains("__cut", s["i"])).getField("x"), "\n")
+
+    def between(s: F.Column) -> F.Column:
+        """The stretches of lines between cuts that follow one another: each line is copied once."""
+        gaps = F.transform(F.sequence(F.lit(1), F.size(s["cut"]) - 1),
+                           lambda i: F.slice(s["lines"], F.get(s["cut"], i - 1) + 2, F.get(s["cut"], i) - F.get(s["cut"], i - 1) - 1))
+        return F.array_join(F.flatten(gaps), "\n")
+
+    ends = F.concat(F.array(F.lit(-1)), F.col(cuts), F.array(F.size(split)))
+    # an array of one struct, so that the lines are split once and not for each stretch
+    kept = F.get(F.transform(F.array(F.struct(split.alias("lines"), ends.alias("cut"))), between), F.lit(0))
     return rows.select(
-        *[F.when(F.col("__cut").isNotNull(), kept).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(F.col(cuts).isNotNull(), kept).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("bigint").alias("n_lines"),
-        F.greatest(F.size("__cut"), F.lit(0)).cast("bigint").alias("n_removed"))
+        F.greatest(F.size(cuts), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

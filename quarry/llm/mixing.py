@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, staged, table, without
+from quarry.llm.common import WORD, free, staged, table, without
 
 MAX_REPEATS = 3
 BUCKET_BITS = 12
@@ -208,17 +208,17 @@ def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text: st
     The plan is joined by id and text hash.  Equal rows have a plan row each;
     their copies are summed and shared out again.
     """
-    per = plan.groupBy("doc_id", "key").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
-    per = per.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__copies", "__rows")
+    id_, key, copies, rows, n, x = free(docs, "mix_id", "mix_key", "mix_copies", "mix_rows", "mix_n", "mix_x")
+    per = plan.groupBy(F.col("doc_id").alias(id_), F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).filter(F.col(copies) > 0)
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    hit = docs.join(per, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")))
-    times = F.floor(F.col("__copies") / F.col("__rows"))
-    once = hit.filter("__rows = 1").withColumn("__n", F.col("__copies"))
+    hit = docs.join(per, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(key)))
+    once = hit.filter(F.col(rows) == 1).withColumn(n, F.col(copies))
     # of equal rows, the first (copies mod rows) get one more
-    w = Window.partitionBy("__id", "__key").orderBy(F.lit(1))
-    more = hit.filter("__rows > 1").withColumn("__n", times + F.when(F.row_number().over(w) <= F.col("__copies") % F.col("__rows"), 1).otherwise(0))
-    both = once.unionByName(more).filter("__n > 0")
-    return both.withColumn("__x", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n").cast("bigint")))).select(*cols)
+    w = Window.partitionBy(id_, key).orderBy(F.lit(1))
+    one_more = F.when(F.row_number().over(w) <= F.col(copies) % F.col(rows), 1).otherwise(0)
+    more = hit.filter(F.col(rows) > 1).withColumn(n, F.floor(F.col(copies) / F.col(rows)) + one_more)
+    both = once.unionByName(more).filter(F.col(n) > 0)
+    return both.withColumn(x, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n).cast("bigint")))).select(*cols)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, raw, shingles, slices, small_side, staged, table, word_hashes, word_spans
+from quarry.llm.common import free, mix, raw, shingles, slices, small_side, staged, table, word_hashes, word_spans
 from quarry.llm.sampling import Sampler
 
 SHINGLE = 5
@@ -43,7 +43,7 @@ TOP = 2.0  # weight of a term found once in its text and in few documents
 BLOCK = 64
 LEADERS = 3
 DOCS_PER_RANGE = 1_000
-FLUSH = 2_000_000
+FLUSH = 500_000
 
 
 def shingled(col: pa.Array):
@@ -274,6 +274,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     more = staged(verify_rest(rest, body, weights, threshold), "links")
     if more.limit(1).count():
         comp = components(links.unionByName(more))
+    weights.destroy()  # all that needs it is written
     slim = staged(rows.select("doc_id", "key"), "rows")
     named = slim.filter("key is not null").join(small_side(comp, 48), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     size = named.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key")).alias("first"), F.count("*").alias("class_size"))
@@ -285,13 +286,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 def keep_first(docs: DataFrame, found: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents that ``near_duplicates`` keeps, one row each (equal rows of a kept document too), columns unchanged."""
-    keep = found.filter("kept and key is not null").groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.count("*").alias("__n"))
+    id_, key, n, mine = free(docs, "kept_id", "kept_key", "kept_n", "text_key")
+    keep = found.filter("kept and key is not null").groupBy(F.col("doc_id").alias(id_), F.col("key").alias(key)).agg(F.count("*").alias(n))
     keep = small_side(staged(keep, "kept"), 64)
     cols = [F.col(f"`{c}`") for c in docs.columns]
     wordy = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    hit = docs.filter(wordy).withColumn("__k", F.unhex(F.md5(text))).join(keep, (F.col("__k") == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    once = hit.filter("__n = 1").select(*cols)
-    again = hit.filter("__n > 1").dropDuplicates(["__id", "__key"]).select(*cols)
+    hit = docs.filter(wordy).withColumn(mine, F.unhex(F.md5(text))).join(keep, (F.col(mine) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(id_)))
+    once = hit.filter(F.col(n) == 1).select(*cols)
+    again = hit.filter(F.col(n) > 1).dropDuplicates([id_, key]).select(*cols)
     return once.unionByName(again).unionByName(docs.filter(~wordy))
 
 

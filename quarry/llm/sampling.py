@@ -1,13 +1,17 @@
 """Consistent weighted sampling over hashed terms, shared by fingerprints and near-duplicate search.
 
-For sample k, a term of weight w draws r, c ~ Gamma(2, 1) and β ~ U(0, 1) from its
-hash; t = floor(ln w / r + β) and ln a = ln c − r (t − β + 1).  The term with the
-smallest a is the sample, together with its t.  Two weighted sets agree in a
+For sample k, a term of weight w has r, c ~ Gamma(2, 1) and β ~ U(0, 1), drawn from
+its hash alone; t = floor(ln w / r + β) and ln a = ln c − r (t − β + 1).  The term with
+the smallest a is the sample, together with its t.  Two weighted sets agree in a
 sample with the probability of their generalised Jaccard similarity.
 
-The draws stand in a table of 2^17 entries made from a seed; a multiply-shift
-hash per sample picks the entry of a term.  Equal entries of two terms are told
-apart by the terms' hashes.
+The draws are made so that most terms need one number only.  At weight 1, t is 0
+and a = c / z with z = exp(r (1 − β)); r (1 − β) is exponential, so z has the density
+1 / z² from 1 on, and a and z together have the density a·exp(−a z): a is exponential,
+z − 1 exponential with rate a, and, given p = ln z, r − p is exponential too.  So a comes
+from one 64-bit hash of (term, sample), of which terms of weight 1 only need the
+least; z and r come from a second one, for terms of other weights.  No draw is
+shared by two terms, so sets of any size are sampled alike.
 """
 
 from __future__ import annotations
@@ -16,45 +20,65 @@ import numpy as np
 
 from quarry.llm.common import mix
 
-BITS = 17
-CHUNK = 4096
+CHUNK = 1024
+#: Sets the second hash of a (term, sample) apart from the first, and the steps t of a term from one another.
+SECOND, STEP = np.uint64(0xD1B54A32D192ED03), np.uint64(0x9E3779B97F4A7C15)
+
+
+def _exponential(bits: np.ndarray) -> np.ndarray:
+    """Exponential draws, ascending with the 64-bit hashes."""
+    return -np.log1p(-((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53)
+
+
+def _half(bits: np.ndarray) -> np.ndarray:
+    """Exponential draws from 32 bits."""
+    return -np.log((bits.astype(np.float64) + 0.5) * 2.0 ** -32)
 
 
 class Sampler:
+    """Weights are taken relative to ``base_weight``, the weight that most terms have."""
+
     def __init__(self, samples: int, base_weight: float = 1.0, seed: int = 42):
         rng = np.random.Generator(np.random.PCG64(seed))
-        n = 1 << BITS
-        self.r, self.ln_c = rng.gamma(2.0, 1.0, n), np.log(rng.gamma(2.0, 1.0, n))
-        self.beta = rng.uniform(0.0, 1.0, n)
         self.odd = rng.integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.salt = rng.integers(0, 1 << 63, samples, dtype=np.uint64)
         self.base = base_weight
-        ln_w = np.log(base_weight)
-        self.t0 = np.floor(ln_w / self.r + self.beta)
-        self.a0 = (self.ln_c - self.r * (self.t0 - self.beta + 1)).astype(np.float32)  # most terms have the base weight
+
+    def _hashes(self, terms: np.ndarray) -> np.ndarray:
+        x = terms[None, :] ^ self.salt[:, None]
+        x *= self.odd[:, None]
+        return x
 
     def sample(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Codes (uint64) of all samples of one set; ``terms`` ascending and distinct, at least one."""
-        shift = np.uint64(64 - BITS)
-        best = np.full(len(self.odd), np.inf, np.float32)
-        code = np.zeros(len(self.odd), np.uint64)
+        """Codes (uint64) of all samples of one set; ``terms`` distinct, at least one."""
         rows = np.arange(len(self.odd))
         usual = weights == self.base
-        for part, plain in ((terms[usual], True), (terms[~usual], False)):
-            w = weights[~usual]
+        best, code = np.full(len(rows), np.inf), np.zeros(len(rows), np.uint64)
+        part = terms[usual]
+        if len(part):
+            least, which = np.full(len(rows), np.iinfo(np.uint64).max), np.zeros(len(rows), np.uint64)
             for at in range(0, len(part), CHUNK):
                 h = part[at:at + CHUNK]
-                place = ((self.odd[:, None] * h[None, :]) >> shift).view(np.int64)
-                if plain:
-                    a = self.a0.take(place)
-                else:
-                    r, beta = self.r.take(place), self.beta.take(place)
-                    t = np.floor(np.log(w[at:at + CHUNK])[None, :] / r + beta)
-                    a = (self.ln_c.take(place) - r * (t - beta + 1)).astype(np.float32)
-                first = a.argmin(axis=1)
-                low = a[rows, first]
-                t_first = self.t0.take(place[rows, first]) if plain else t[rows, first]
-                found = mix(h[first] ^ (t_first.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                better = (low < best) | ((low == best) & (found < code))
-                best = np.where(better, low, best)
-                code = np.where(better, found, code)
+                x = self._hashes(h)
+                first = x.argmin(axis=1)
+                low = x[rows, first]
+                better = low <= least
+                least, which = np.where(better, low, least), np.where(better, h[first], which)
+            best, code = np.log(_exponential(least)), mix(which)
+        part, ln_w = terms[~usual], np.log(weights[~usual] / self.base)
+        for at in range(0, len(part), CHUNK):
+            h = part[at:at + CHUNK]
+            x = self._hashes(h)
+            a = _exponential(x)
+            more = mix(x ^ SECOND)
+            p = np.log1p(_half(more >> np.uint64(32)) / a)
+            r = p + _half(more & np.uint64(0xFFFFFFFF))
+            beta = 1 - p / r
+            t = np.floor(ln_w[at:at + CHUNK][None, :] / r + beta)
+            ln_a = np.log(a) + p - r * (t - beta + 1)
+            first = ln_a.argmin(axis=1)
+            low = ln_a[rows, first]
+            found = mix(h[first] ^ (t[rows, first].astype(np.int64).astype(np.uint64) * STEP))
+            better = (low < best) | ((low == best) & (found < code))
+            best, code = np.where(better, low, best), np.where(better, found, code)
         return code

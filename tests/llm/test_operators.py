@@ -324,3 +324,50 @@ def test_lines(docs, empty, spark):
     assert out[100].text == "shared footer" and out[100].n_removed == 0  # nothing but boilerplate: a copy
     assert out[101].text is None and out[101].n_lines == 0 and out[102].text == "" and out[103].text == "few sites"
     assert lines.dedup_lines(docs).count() == docs.count() and lines.dedup_lines(empty).count() == 0
+
+
+@pytest.mark.parametrize("terms", [100, 20_000, 500_000])
+def test_samples_agree_as_often_as_the_sets_are_alike(terms):
+    from quarry.llm.common import mix
+    from quarry.llm.sampling import Sampler
+
+    samples = 1024 if terms <= 20_000 else 256
+    rng, sampler = np.random.default_rng(terms), Sampler(samples)
+    keys = mix(np.arange(1, terms + 1, dtype=np.uint64))
+    third = np.arange(terms) % 3
+    cases = [((third > 0) * 1.0, (third < 2) * 1.0), (np.ones(terms), np.full(terms, 4.0)),
+             tuple(np.where(rng.random(terms) < 0.8, 1.0, rng.zipf(1.5, terms).clip(1, 1000)) for _ in "ab")]
+    for a, b in cases:
+        exact = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        same = (sampler.sample(keys[a > 0], a[a > 0]) == sampler.sample(keys[b > 0], b[b > 0])).mean()
+        assert abs(same - exact) <= 3 * np.sqrt(exact * (1 - exact) / samples)
+
+
+def test_a_text_against_itself_four_times():
+    sampler = fingerprint.Sampler(512)
+    words = np.random.default_rng(1).integers(0, 1 << 62, 60_000)
+    text = " ".join(map(str, words))
+    once, four = fingerprint.codes(text, sampler), fingerprint.codes(" ".join([text] * 4), sampler)
+    assert abs(fingerprint.likeness(once, four) - 0.25) <= 3 * np.sqrt(0.25 * 0.75 / 512)
+
+
+def test_extra_columns_named_like_work_columns(spark):
+    names = ["line_key", "LINE_CUTS", "kept_id", "kept_key", "kept_n", "text_key", "mix_id", "mix_key", "mix_copies", "mix_rows", "mix_n", "mix_x", "key", "copies"]
+    rows = [(i, f"{prose(20, i % 7)}\nfooter", f"s{i % 12}", *names) for i in range(40)]
+    wide = spark.createDataFrame([*rows, rows[3]], "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    slim = wide.select("doc_id", "text", "source")
+    for step in (lambda d: lines.dedup_lines(d), lambda d: neardup.keep_first(d, neardup.near_duplicates(d)),
+                 lambda d: mixing.apply_mix(d, mixing.mix(d, F.array("source")))):
+        out = step(wide)
+        assert out.columns[:len(wide.columns)] == wide.columns
+        kept = out.select("doc_id", "text", "source").collect()
+        assert sorted(map(repr, kept)) == sorted(map(repr, step(slim).select("doc_id", "text", "source").collect()))
+        assert all(tuple(r) == tuple(names) for r in out.select(*names).collect())
+
+
+def test_many_cut_lines_are_removed_in_linear_time(spark):
+    common = [f"shared line number {i}" for i in range(32_000)]
+    own = [f"own words of this page {i} " * 40 for i in range(8)]
+    rows = [(s, "\n".join([*common, own[s % 8] * 500, f"last of {s}"]), f"site{s}") for s in range(12)]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), max_share=0.9).collect()
+    assert all(r.n_removed >= 32_000 and r.text.endswith(f"last of {r.doc_id}") and "shared line" not in r.text for r in out)
