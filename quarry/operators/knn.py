@@ -7,8 +7,13 @@ equi-join).  Two physical strategies, chosen by a size check:
 * broadcast kernel — the question batch (count × dimension checked against
   ``BROADCAST_BYTES``) is shipped to every task; each index partition is
   scored where it lies with matrix products and keeps a running top-k per
-  question across its Arrow batches, so only k candidates per question per
-  partition are shuffled;
+  question across its Arrow batches.  A vector crosses into Python once: its
+  filter groups are looked up there.  With more partitions than one wave of
+  tasks, the first wave's partitions are searched first; the k-th score of
+  each question among them bounds what the others may still send, and a block
+  of vectors whose centre and radius put it beyond a question's bound is not
+  scored for it (triangle inequality).  So candidates grow with the waves, not
+  with k × partitions;
 * grid — otherwise each group is cut into an R × C grid of cells — questions
   spread over R row blocks, index rows over C column blocks, each side
   replicated along the other axis — so no cell holds more than ``q_cell``
@@ -17,6 +22,9 @@ equi-join).  Two physical strategies, chosen by a size check:
 
 A final window (two levels when a question has candidates from many cells)
 keeps the global top-k by (score, id).
+
+``global_rank`` gives candidates their rank among all index rows by counting,
+map-side, the rows that precede them.
 """
 
 from __future__ import annotations
@@ -30,6 +38,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.ids import NA, ROUTE_BOTH, ROUTE_MODEL, ROUTE_NONE, ROUTE_PART, route
 from quarry.operators.common import join_small
+from quarry.session import spread
 
 SCORE_DIGITS = 9            # scores rounded so ties are exact on every engine
 MAX_BROADCAST_GROUPS = 200_000
@@ -87,53 +96,97 @@ def _select_topk_pairs(s: np.ndarray, ids: np.ndarray, k: int, digits: int):
     return score[top], who[top]
 
 
-def _broadcast_kernel(bc, gcols, qkey, k: int, digits: int, qblock: int = 512, xblock: int = 4096):
+def _group_key(cols):
+    """One string for the values of a group; null if one is null, as nulls equal nothing."""
+    parts = [F.lit("")]
+    for c in cols:
+        parts += [c.cast("string"), F.lit("\x1f")]
+    return F.concat(*parts)
+
+
+def _out_of_reach(Q: np.ndarray, X: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Questions whose distance to every row of X exceeds their limit, by X's centre and radius."""
+    centre = X.mean(axis=0)
+    radius = np.sqrt(((X - centre) ** 2).sum(axis=1).max())
+    gap = np.sqrt(((Q - centre) ** 2).sum(axis=1)) - radius
+    return (gap > 0) & (gap * gap > limit + 1e-6 * (1 + limit))  # room for rounding
+
+
+def _broadcast_kernel(groups, keys: int, qkey, k: int, digits: int, bounds=None, qblock: int = 512, xblock: int = 4096):
     """mapInPandas body: score this partition's index rows against the broadcast questions.
 
-    Work arrays hold ``qblock`` × ``xblock`` scores at most, however large the
-    batch; beyond them a task keeps the running top-k of each question.
+    ``groups``: group key → (question keys, vectors, squared norms); a row has ``keys`` group keys.
+    ``bounds``: group key → the score that no candidate of a question may exceed.  Work
+    arrays hold ``qblock`` × ``xblock`` scores at most, however large the batch;
+    beyond them a task keeps the running top-k of each question.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        groups = bc.value
+        asked, limits = groups.value, bounds.value if bounds is not None else {}
         best: dict = {}
         for pdf in batches:
             pdf = pdf[pdf["__xv"].notna()]
-            if len(pdf) == 0:
-                continue
-            for gk, sub in pdf.groupby(gcols, sort=False, dropna=False):
-                gk = gk if isinstance(gk, tuple) else (gk,)
-                ent = groups.get(gk)
-                if ent is None:
-                    continue
-                qcols, Q, qn = ent
-                X = np.stack(sub["__xv"].to_numpy()).astype(np.float64)
-                if X.shape[1] != Q.shape[1]:
-                    raise ValueError(f"dimension mismatch: questions {Q.shape[1]}, index {X.shape[1]}")
-                xid = sub["__id"].to_numpy()
-                for lo in range(0, len(X), xblock):
-                    Xb, ib = X[lo:lo + xblock], xid[lo:lo + xblock]
-                    for qlo in range(0, len(Q), qblock):
-                        cs = _scores(Q[qlo:qlo + qblock], qn[qlo:qlo + qblock], Xb, digits)
-                        ci = np.broadcast_to(ib, cs.shape)
-                        if (cur := best.get((gk, qlo))) is not None:
-                            cs, ci = np.hstack([cur[0], cs]), np.hstack([cur[1], ci])
-                        best[gk, qlo] = _select_topk_pairs(cs, ci, k, digits)
+            for name in [f"__k{i}" for i in range(keys)]:
+                for gk, sub in pdf.groupby(name, sort=False):        # null: no question asks for this group
+                    if gk not in asked:
+                        continue
+                    _, Q, qn = asked[gk]
+                    X = np.stack(sub["__xv"].to_numpy()).astype(np.float64)
+                    if X.shape[1] != Q.shape[1]:
+                        raise ValueError(f"dimension mismatch: questions {Q.shape[1]}, index {X.shape[1]}")
+                    xid = sub["__id"].to_numpy()
+                    limit = limits.get(gk, np.full(len(Q), np.inf))
+                    for lo in range(0, len(X), xblock):
+                        Xb, ib = X[lo:lo + xblock], xid[lo:lo + xblock]
+                        for qlo in range(0, len(Q), qblock):
+                            at = slice(qlo, qlo + qblock)
+                            cur = best.get((gk, qlo))
+                            worst = limit[at]
+                            if cur is not None and cur[0].shape[1] == k:
+                                worst = np.minimum(worst, cur[0][:, -1])
+                            far = _out_of_reach(Q[at], Xb, worst)
+                            if far.all() and cur is not None:
+                                continue
+                            cs = np.full((len(far), len(Xb)), np.inf)
+                            if not far.all():
+                                cs[~far] = _scores(Q[at][~far], qn[at][~far], Xb, digits)
+                            ci = np.broadcast_to(ib, cs.shape)
+                            if cur is not None:
+                                cs, ci = np.hstack([cur[0], cs]), np.hstack([cur[1], ci])
+                            best[gk, qlo] = _select_topk_pairs(cs, ci, k, digits)
         part = TaskContext.get().partitionId()
         for (gk, qlo), (bs, bi) in best.items():
-            qcols = groups[gk][0]
-            m, kk = bs.shape
-            out = {c: np.repeat(qcols[c][qlo:qlo + m], kk) for c in qkey}
-            out["__id"] = bi.reshape(-1)
-            out["score"] = bs.reshape(-1)
-            out["__cell"] = np.full(m * kk, part, dtype=np.int64)
+            limit = limits.get(gk, np.full(len(asked[gk][1]), np.inf))[qlo:qlo + len(bs)]
+            row, col = np.nonzero((bs <= limit[:, None]) & np.isfinite(bs))
+            if not len(row):
+                continue
+            out = {c: asked[gk][0][c][qlo + row] for c in qkey}
+            out["__id"] = bi[row, col]
+            out["score"] = bs[row, col]
+            out["__cell"] = np.full(len(row), part, dtype=np.int64)
             yield pd.DataFrame(out)
 
     return run
 
 
+def _candidates(x: DataFrame, groups, keys: int, qkey, k: int, digits: int, schema, wave: int, partitions: int) -> DataFrame:
+    """Candidates of all questions from all partitions; beyond one wave, bounded by what the first wave found."""
+    if partitions <= 2 * wave:
+        return x.mapInPandas(_broadcast_kernel(groups, keys, qkey, k, digits), schema)
+    spark = x.sparkSession
+    first = (x.filter(F.spark_partition_id() < wave).mapInPandas(_broadcast_kernel(groups, keys, qkey, k, digits), schema))
+    top = _final_topk(first, qkey, k, wave).checkpoint()
+    # one k-th score for each question of the batch, whose size was checked
+    kth = {tuple(r[c] for c in qkey): r["score"] for r in top.filter(F.col("rank") == k).select(*qkey, "score").collect()}
+    limit = {gk: np.array([kth.get(key, np.inf) for key in zip(*(cols[c].tolist() for c in qkey))])
+             for gk, (cols, _, _) in groups.value.items()}
+    bounds = spark.sparkContext.broadcast(limit)
+    rest = x.filter(F.spark_partition_id() >= wave).mapInPandas(_broadcast_kernel(groups, keys, qkey, k, digits, bounds), schema)
+    return top.drop("rank").withColumn("__cell", F.lit(0).cast("long")).unionByName(rest)
+
+
 def _final_topk(cand: DataFrame, qkey, k: int, fan: int) -> DataFrame:
     """Global top-k per question; candidates from many cells are merged in two levels."""
     if fan > REDUCE_FAN:
@@ -163,8 +216,9 @@ def nearest(
 
     ``qgroup``/``igroup`` are equal-length lists of Columns: a question is
     only compared with index rows whose group values are equal (the filter).
-    ``igroup`` may hold one array-of-struct Column instead, giving each index
-    row several groups (it is exploded before any shuffle).
+    ``igroup`` may be a list of such lists instead, giving each index row
+    several groups, of which a question equals one at most.  ``index`` is a table
+    read or a projection of one (its partitions are counted).
     ``strategy``: ``auto`` (size check), ``broadcast`` or ``grid``.
     Returns ``qkey…, ikey, score, rank``.
     """
@@ -173,14 +227,7 @@ def nearest(
     q = questions.select(*[F.col(c) for c in qkey], F.col(qvec).alias("__qv"), *(
         [g.alias(f"__g{i}") for i, g in enumerate(qgroup)] if qgroup else [F.lit(0).alias("__g0")]))
     gcols = [c for c in q.columns if c.startswith("__g")]
-    if igroup is None:
-        x = index.select(F.col(ikey).alias("__id"), F.col(ivec).alias("__xv"), F.lit(0).alias("__g0"))
-    elif len(igroup) == 1 and len(gcols) > 1:
-        x = index.select(F.col(ikey).alias("__id"), F.col(ivec).alias("__xv"), F.explode(igroup[0]).alias("__gs"))
-        x = x.select("__id", "__xv", *[F.col("__gs")[f"g{i}"].alias(g) for i, g in enumerate(gcols)])
-    else:
-        x = index.select(F.col(ikey).alias("__id"), F.col(ivec).alias("__xv"),
-                         *[g.alias(f"__g{i}") for i, g in enumerate(igroup)])
+    several = igroup if igroup and isinstance(igroup[0], (list, tuple)) else [igroup or [F.lit(0)]]
 
     qfields = [questions.schema[c] for c in qkey]
     id_field = index.schema[ikey]
@@ -196,22 +243,27 @@ def nearest(
         size = q.select(F.count(F.lit(1)).alias("n"), F.max(F.size("__qv")).alias("d")).first()
         n_q, dim = int(size["n"] or 0), int(size["d"] or 0)
         if strategy == "broadcast" or n_q * max(dim, 1) * 8 <= BROADCAST_BYTES:
-            pq = q.filter(F.col("__qv").isNotNull()).toPandas()
+            pq = q.filter(F.col("__qv").isNotNull()).withColumn("__key", _group_key([F.col(g) for g in gcols])).toPandas()
             groups = {}
-            for gk, sub in pq.groupby(gcols, sort=False, dropna=False):
-                gk = gk if isinstance(gk, tuple) else (gk,)
+            for gk, sub in pq.groupby("__key", sort=False):
                 Q = np.stack(sub["__qv"].to_numpy()).astype(np.float64)
                 groups[gk] = ({c: sub[c].to_numpy() for c in qkey}, Q, np.einsum("ij,ij->i", Q, Q))
-            bc = spark.sparkContext.broadcast(groups)
-            # only index rows of groups some question asks for cross into Python (JVM-side semi-join
-            # against the broadcast group keys; the partitioning of the scan is kept)
-            keys = spark.createDataFrame([tuple(g) for g in groups], q.select(*gcols).schema) if groups else None
-            if keys is not None and (igroup is not None):
-                x = x.join(F.broadcast(keys), gcols, "left_semi")
-            xs = x if x.rdd.getNumPartitions() >= parallel else x.repartition(parallel)
-            cand = xs.mapInPandas(_broadcast_kernel(bc, gcols, qkey, k, digits), out_schema)
-            return _final_topk(cand, qkey, k, xs.rdd.getNumPartitions()).withColumnRenamed("__id", ikey)
-
+            names = [f"__k{i}" for i in range(len(several))]
+            index = spread(index)
+            partitions = index.rdd.getNumPartitions()
+            x = index.select(F.col(ikey).alias("__id"), F.col(ivec).alias("__xv"), *[_group_key(g).alias(n) for g, n in zip(several, names)])
+            if igroup is not None:
+                # only rows of groups that some question asks for cross into Python, each once (JVM-side probes of
+                # the broadcast keys; the partitioning of the scan is kept)
+                asked = spark.createDataFrame([(g,) for g in groups], "__asked string")
+                for n in names:
+                    x = x.join(F.broadcast(asked.select(F.col("__asked").alias(n + "a"))), F.col(n) == F.col(n + "a"), "left")
+                x = x.select("__id", "__xv", *[F.col(n + "a").alias(n) for n in names]).filter(F.coalesce(*names).isNotNull())
+            cand = _candidates(x, spark.sparkContext.broadcast(groups), len(names), qkey, k, digits, out_schema, parallel, partitions)
+            return _final_topk(cand, qkey, k, parallel).withColumnRenamed("__id", ikey)
+
+    x = index.select(F.col(ikey).alias("__id"), F.col(ivec).alias("__xv"), F.explode(_group_structs(several)).alias("__gs"))
+    x = x.select("__id", "__xv", *[F.col("__gs")[f"g{i}"].alias(g) for i, g in enumerate(gcols)])
     qs = q.groupBy(*gcols).agg(F.count(F.lit(1)).alias("__nq"))
     xs = x.groupBy(*gcols).agg(F.count(F.lit(1)).alias("__nx"))
     stats = qs.join(xs, gcols, "inner")
@@ -261,11 +313,12 @@ def _route_groups(questions: DataFrame):
 def _index_route_groups():
     """Each index row belongs to four groups: one per route."""
     m, p, na = F.col("model_num"), F.col("ps_num"), F.lit(NA)
+    return [[F.lit(ROUTE_BOTH), m, p], [F.lit(ROUTE_MODEL), m, na], [F.lit(ROUTE_PART), na, p], [F.lit(ROUTE_NONE), na, na]]
 
-    def g(rt, a, b):
-        return F.struct(F.lit(rt).alias("g0"), a.alias("g1"), b.alias("g2"))
 
-    return F.array(g(ROUTE_BOTH, m, p), g(ROUTE_MODEL, m, na), g(ROUTE_PART, na, p), g(ROUTE_NONE, na, na))
+def _group_structs(groups):
+    """The groups of a row as an array of structs (g0, g1, …)."""
+    return F.array(*[F.struct(*[c.alias(f"g{i}") for i, c in enumerate(g)]) for g in groups])
 
 
 def knn_topk(index: DataFrame, questions: DataFrame, k: int = 25, **kw) -> DataFrame:
@@ -282,26 +335,88 @@ def with_route(questions: DataFrame) -> DataFrame:
 def knn_filtered(index: DataFrame, questions: DataFrame, k: int = 25, **kw) -> DataFrame:
     """Id filter applied before scoring: each route is an equi-join on its ids."""
     qr = with_route(questions)
-    return nearest(index, qr, k, qgroup=_route_groups(qr), igroup=[_index_route_groups()], **kw)
+    return nearest(index, qr, k, qgroup=_route_groups(qr), igroup=_index_route_groups(), **kw)
+
+
+def _rank_kernel(shared, digits: int, xblock: int = 4096):
+    """mapInPandas body: for each question, how many rows of this partition lie between its candidates.
+
+    A row is counted at the number of candidates that don't follow it, by (score, id);
+    so the rows before candidate j are those counted at 0 … j.
+    """
+
+    def run(batches):
+        Q, qn, scores, who = shared.value
+        counts = [np.zeros(len(s) + 1, np.int64) for s in scores]
+        for pdf in batches:
+            pdf = pdf[pdf["__xv"].notna()]
+            for lo in range(0, len(pdf), xblock):
+                X = np.stack(pdf["__xv"].iloc[lo:lo + xblock].to_numpy()).astype(np.float64)
+                xid = pdf["__id"].to_numpy()[lo:lo + xblock]
+                last = np.array([s[-1] for s in scores])
+                near = np.flatnonzero(~_out_of_reach(Q, X, last))
+                for qlo in range(0, len(near), 512):
+                    some = near[qlo:qlo + 512]
+                    for i, row in zip(some.tolist(), _scores(Q[some], qn[some], X, digits)):
+                        at = np.flatnonzero(row <= scores[i][-1])  # rows after the last candidate precede none
+                        left, right = (np.searchsorted(scores[i], row[at], side) for side in ("left", "right"))
+                        for j in np.flatnonzero(left < right).tolist():
+                            left[j] += np.searchsorted(who[i][left[j]:right[j]], xid[at[j]], "right")
+                        counts[i] += np.bincount(left, minlength=len(counts[i]))
+        found = [(i, j, n) for i, c in enumerate(counts) for j, n in enumerate(c.tolist()) if n and j < len(c) - 1]
+        if found:
+            yield pd.DataFrame(found, columns=["__q", "__j", "__n"])
+
+    return run
+
+
+def global_rank(index: DataFrame, questions: DataFrame, hits: DataFrame, *, qkey=("query_id",), ikey: str = "chunk_id",
+                ivec: str = "embedding", qvec: str = "qvec", digits: int = SCORE_DIGITS) -> DataFrame:
+    """``hits`` (qkey…, ikey, score, rank from 1 on) with ``near``: the rank among all index rows by (score, id).
+
+    Only counts are shuffled: a row for each candidate and partition at most.
+    Questions go to the tasks in batches of ``BROADCAST_BYTES``, one scan each.
+    """
+    spark, qkey = hits.sparkSession, list(qkey)
+    hits = hits.checkpoint()
+    per = hits.groupBy(*qkey).agg(F.sort_array(F.collect_list(F.struct("score", F.col(ikey).alias("__id")))).alias("__c"))
+    per = per.join(questions.select(*qkey, F.col(qvec).alias("__qv")), qkey).checkpoint()
+    n, dim, deep = per.select(F.count("*"), F.max(F.size("__qv")), F.max(F.size("__c"))).first()
+    batches = -(-(n * ((dim or 0) * 8 + (deep or 0) * 24)) // BROADCAST_BYTES)
+    index = spread(index).select(F.col(ikey).alias("__id"), F.col(ivec).alias("__xv"))
+    out = None
+    for b in range(batches):
+        mine = per.filter(F.pmod(F.xxhash64(*qkey), F.lit(batches)) == b).toPandas()
+        if not len(mine):
+            continue
+        Q = np.stack(mine["__qv"].to_numpy()).astype(np.float64)
+        scores = [np.array([c["score"] for c in cs]) for cs in mine["__c"]]
+        who = [np.array([c["__id"] for c in cs]) for cs in mine["__c"]]
+        shared = spark.sparkContext.broadcast((Q, np.einsum("ij,ij->i", Q, Q), scores, who))
+        counts = index.mapInPandas(_rank_kernel(shared, digits), "__q int, __j int, __n long")
+        names = spark.createDataFrame([(i, *key) for i, key in enumerate(mine[qkey].itertuples(index=False, name=None))],
+                                      T.StructType([T.StructField("__q", T.IntegerType()), *[hits.schema[c] for c in qkey]]))
+        part = counts.groupBy("__q", "__j").agg(F.sum("__n").alias("__n")).join(F.broadcast(names), "__q").drop("__q")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return hits.withColumn("near", F.lit(None).cast("long"))
+    j = hits.join(out.withColumn("rank", F.col("__j") + 1).drop("__j"), [*qkey, "rank"], "left")
+    w = Window.partitionBy(*qkey).orderBy("rank")                    # as many rows as a question has candidates
+    return j.withColumn("near", F.lit(1) + F.sum(F.coalesce("__n", F.lit(0))).over(w)).drop("__n")
 
 
 def knn_postfilter(index: DataFrame, questions: DataFrame, k: int = 25, fetch_k: int = 60000,
                    qkey=("query_id",), ikey: str = "chunk_id", **kw) -> DataFrame:
-    """Literal semantics: nearest ``fetch_k`` unfiltered, then the id filter, then top k."""
-    qr = with_route(questions)
-    near = nearest(index, qr, fetch_k, qkey=qkey, ikey=ikey, **kw).drop("rank")
-    meta = index.select(F.col(ikey), F.col("model_num").alias("__m"), F.col("ps_num").alias("__p"))
-    want = qr.select(*qkey, F.col("model_num").alias("__qm"), F.col("ps_num").alias("__qp"), "route")
-    j = near.join(want, list(qkey)).join(meta, ikey)
-    keep = (
-        ((F.col("route") == ROUTE_BOTH) & (F.col("__m") == F.col("__qm")) & (F.col("__p") == F.col("__qp")))
-        | ((F.col("route") == ROUTE_MODEL) & (F.col("__m") == F.col("__qm")))
-        | ((F.col("route") == ROUTE_PART) & (F.col("__p") == F.col("__qp")))
-        | (F.col("route") == ROUTE_NONE)
-    )
-    w = Window.partitionBy(*qkey).orderBy(F.col("score"), F.col(ikey))
-    return (j.filter(keep).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(*qkey, ikey, "score", "rank"))
+    """Literal semantics: nearest ``fetch_k`` unfiltered, then the id filter, then top k.
+
+    A hit is one of the k nearest of its filter group with at most ``fetch_k`` - 1
+    rows of the whole index before it; so the group's k nearest are searched and
+    their ranks in the whole index counted, and ``fetch_k`` costs nothing.
+    """
+    hits = knn_filtered(index, questions, k, qkey=qkey, ikey=ikey, **kw)
+    names = {n: kw[n] for n in ("ivec", "qvec", "digits") if n in kw}
+    near = global_rank(index, questions, hits, qkey=qkey, ikey=ikey, **names)
+    return near.filter(F.col("near") <= fetch_k).select(*qkey, ikey, "score", "rank")
 
 
 def unmatched_questions(index: DataFrame, questions: DataFrame) -> DataFrame:
@@ -311,7 +426,7 @@ def unmatched_questions(index: DataFrame, questions: DataFrame) -> DataFrame:
     qg = qr.select("*", *[g.alias(f"__g{i}") for i, g in enumerate(_route_groups(qr))])
     asked = qg.select(*gcols).distinct()
     # rows without a vector answer nothing
-    ig = (index.filter(F.col("embedding").isNotNull()).select(F.explode(_index_route_groups()).alias("__gs"))
+    ig = (index.filter(F.col("embedding").isNotNull()).select(F.explode(_group_structs(_index_route_groups())).alias("__gs"))
           .select(*[F.col("__gs")[f"g{i}"].alias(f"__g{i}") for i in range(3)]))
     # only the groups some question asks for are kept before the distinct
     present = join_small(ig, asked, gcols, "left_semi").distinct()
@@ -338,6 +453,6 @@ def search(index: DataFrame, questions: DataFrame, k: int = 25, fallback_k: int
     # the routed batch feeds several small actions (size check, broadcast, flags): materialise it once
     q2 = q2.checkpoint()
     hits = nearest(index, q2, max(k, fallback_k), qkey=qkey, qgroup=_route_groups(q2),
-                   igroup=[_index_route_groups()], **kw)
+                   igroup=_index_route_groups(), **kw)
     hits = join_small(hits, q2.select(*qkey, "fallback"), qkey)
     return hits.filter(F.col("rank") <= F.when(F.col("fallback"), F.lit(fallback_k)).otherwise(F.lit(k)))

@@ -59,6 +59,7 @@ ORACLE["knn_postfilter"] = SEARCH_CTES + """select conv_id, turn, chunk_id, scor
   cast(row_number() over (partition by conv_id, turn order by score, chunk_id) as integer) as rank
 from (select *, row_number() over (partition by conv_id, turn order by score, chunk_id) as near from pairs)
 where near <= 60000 and pass qualify rank <= 25"""
+ORACLE["knn_postfilter_quarter"] = ORACLE["knn_postfilter"].replace("near <= 60000", "near <= (select count(*) // 4 from embeddings)")
 ORACLE["knn_with_fallback"] = SEARCH_CTES + "select conv_id, turn, chunk_id, score, rank from fb where rank <= 20"
 ORACLE["search"] = SEARCH_CTES + """select conv_id, turn, chunk_id, score, rank, false as fallback from fr where rank <= 25
 union all select conv_id, turn, chunk_id, score, rank, true as fallback from fb where rank <= 20"""

@@ -100,3 +100,56 @@ def test_auto_strategy_switches_to_grid_beyond_the_broadcast_bound(spark, monkey
         for r in knn.nearest(idx, qs, 4, q_cell=7, i_cell=30).orderBy("query_id", "rank").collect():
             res.setdefault(r.query_id, []).append(r.chunk_id)
         assert res == want
+
+
+@pytest.mark.parametrize("bound", [1 << 26, 600])
+def test_postfilter_equals_the_literal_order(spark, monkeypatch, bound):
+    """Ties, several partitions, every fetch_k; with a small bound the questions go to the tasks in batches."""
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", bound)
+    rng = np.random.default_rng(11)
+    X, Q = rng.integers(0, 3, size=(200, 4)).astype(np.float32), rng.integers(0, 3, size=(9, 4)).astype(np.float32)
+    model = [f"M{i % 4}" for i in range(200)]
+    idx = spark.createDataFrame([(i, X[i].tolist(), model[i], "PS1") for i in range(200)],
+                                "chunk_id long, embedding array<float>, model_num string, ps_num string").repartition(7)
+    asked = [("M1", "N/A"), ("N/A", "N/A"), ("M3", "PS1")]
+    qs = spark.createDataFrame([(i, Q[i].tolist(), *asked[i % 3]) for i in range(9)], "query_id long, qvec array<float>, model_num string, ps_num string")
+    everything = brute(Q.astype(float), X.astype(float), list(range(9)), list(range(200)), 200)
+    for fetch_k in (1, 30, 77, 200):
+        got = {}
+        for r in knn.knn_postfilter(idx, qs, 6, fetch_k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.chunk_id))
+        for i in range(9):
+            want = [c for c in everything[i][:fetch_k] if asked[i % 3][0] in ("N/A", model[c])][:6]
+            assert got.get(i, []) == list(enumerate(want, 1))
+
+
+def test_bounds_of_the_first_wave_thin_out_candidates(spark):
+    """Beyond one wave of partitions, candidates follow waves instead of k x partitions, and the result stays."""
+    rng = np.random.default_rng(12)
+    X, Q = rng.normal(size=(6400, 8)).astype(np.float32), rng.normal(size=(5, 8)).astype(np.float32)
+    idx = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "chunk_id long, embedding array<float>").repartition(64)
+    qs = spark.createDataFrame([(i, Q[i].tolist()) for i in range(5)], "query_id long, qvec array<float>")
+    sent, take = [], knn._final_topk
+
+    def counted(cand, *args):
+        sent.append(cand.count())
+        return take(cand, *args)
+
+    knn._final_topk = counted
+    try:
+        rows = knn.nearest(idx, qs, 10).orderBy("query_id", "rank").collect()
+    finally:
+        knn._final_topk = take
+    got = {i: [r.chunk_id for r in rows if r.query_id == i] for i in range(5)}
+    assert got == brute(Q.astype(float), X.astype(float), list(range(5)), list(range(len(X))), 10)
+    wave = spark.sparkContext.defaultParallelism
+    assert sent[0] == 5 * 10 * wave and sent[-1] < 5 * 10 * 64 / 2
+
+
+def test_blocks_beyond_a_bound_are_known_by_centre_and_radius():
+    rng = np.random.default_rng(13)
+    Q, X = rng.normal(size=(50, 3)), rng.normal(size=(400, 3)) * 0.1 + 2
+    limit = rng.random(50) * 20
+    exact = knn._scores(Q, (Q ** 2).sum(1), X, 9).min(axis=1)
+    far = knn._out_of_reach(Q, X, limit)
+    assert far.any() and (exact[far] > limit[far]).all()
