@@ -37,7 +37,7 @@ ANCHOR = 64
 SIDE = LEAST - ANCHOR
 PIECE = 1 << 20
 HOT = 4096
-BLOCK_BYTES = 1 << 17
+BLOCK_BYTES = 1 << 16
 _P: list[np.ndarray] = []
 
 
@@ -181,8 +181,9 @@ def order(sym: np.ndarray, depth: int) -> np.ndarray:
     the ranks of three neighbouring stretches, which triples the sorted length.
     """
     n = len(sym)
-    used, dense = np.unique(sym, return_inverse=True)
-    bits = max(1, int(len(used)).bit_length())
+    used = np.bincount(sym) > 0
+    dense = (np.cumsum(used) - 1)[sym]
+    bits = max(1, int(used.sum()).bit_length())
     h = max(1, 62 // bits)
 
     def after(x, k):
@@ -219,28 +220,27 @@ def long_common(sym: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
     bwt = sym[sa - 1]
     lf = np.empty(n, np.int64)
     lf[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
+    change = np.cumsum(np.append(False, bwt[1:] != bwt[:-1]))
     open_ = np.ones(n + 1, bool)
     open_[0] = open_[n] = False
     low, high = np.array([0]), np.array([n - 1])
     for _ in range(least):
         if not len(low):
             break
-        one = low == high
-        single = low[one]
-        single = lf[single[bwt[single] != 0]]
-        lo, hi = [single], [single]
+        one = change[low] == change[high]  # one symbol stands before all of the interval: its ends say it all
+        whole = one & (bwt[low] != 0)
+        lo, hi = [lf[low[whole]]], [lf[high[whole]]]
         if not one.all():
             a, width = low[~one], (high - low + 1)[~one]
             stop = np.cumsum(width)
             pos = np.arange(stop[-1]) + np.repeat(a - stop + width, width)
-            c = bwt[pos]
-            key = np.repeat(np.arange(len(a)), width) * 512 + c
-            at = np.argsort(key)
-            key, to = key[at], lf[pos[at]]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            real = (key[first] & 511) != 0
-            lo.append(np.minimum.reduceat(to, first)[real])
-            hi.append(np.maximum.reduceat(to, first)[real])
+            c, of = bwt[pos].astype(np.uint16), np.repeat(np.arange(len(a)), width)
+            at = np.argsort(c, kind="stable")  # by symbol, interval and place: a radix sort
+            c, of, to = c[at], of[at], lf[pos[at]]
+            new = (c[1:] != c[:-1]) | (of[1:] != of[:-1])
+            first, last = np.append(True, new), np.append(new, True)
+            lo.append(to[first & (c != 0)])
+            hi.append(to[last & (c != 0)])
         low, high = np.concatenate(lo), np.concatenate(hi)
         free = open_[high + 1]
         low, high = low[free], high[free]
