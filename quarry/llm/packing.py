@@ -24,6 +24,7 @@ ignored.  Reruns over the same files give the same rows.  Ids must be under 65,5
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 import os
 import re
@@ -49,8 +50,12 @@ MIN_ROOM = 16
 BAY_TOKENS = 6_000_000
 
 
+@functools.lru_cache(1)
 def encoder(path: str) -> ChunkIds:
-    """Ids by the tokenizers library; its split pattern drops white space, so no token reaches over a space or line end."""
+    """Ids by the tokenizers library; its split pattern drops white space, so no token reaches over a space or line end.
+
+    A Python worker keeps it, with its bounded store, from task to task.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
