@@ -34,8 +34,14 @@ def compose_document(records: DataFrame) -> DataFrame:
 
 def chunk_rows(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, sep: str = WORD_SEP) -> DataFrame:
     ch = chunk_documents(docs, "page_content", size, overlap, sep, out="text")
-    cid = F.shiftleft(F.col("doc_id"), CHUNK_BITS) + F.col("chunk_idx")
-    return ch.withColumn("chunk_id", cid)
+    return ch.withColumn("chunk_id", chunk_id())
+
+
+def chunk_id(doc: str = "doc_id", idx: str = "chunk_idx") -> F.Column:
+    """``doc · 2^CHUNK_BITS + idx``; fails for ids and ordinals that don't fit, as they would share numbers."""
+    fits = F.col(doc).between(0, (1 << (63 - CHUNK_BITS)) - 1) & (F.col(idx) < 1 << CHUNK_BITS)
+    wrong = F.raise_error(F.concat(F.lit("no room in a chunk id for document "), F.col(doc).cast("string"), F.lit(", chunk "), F.col(idx).cast("string")))
+    return F.when(F.col(doc).isNull() | fits, F.shiftleft(F.col(doc), CHUNK_BITS) + F.col(idx)).otherwise(wrong.cast("bigint"))
 
 
 def embed_chunks(chunks: DataFrame, embedder="hash") -> DataFrame:
@@ -43,9 +49,9 @@ def embed_chunks(chunks: DataFrame, embedder="hash") -> DataFrame:
     return out.select(*INDEX_COLUMNS)
 
 
-def _write_meta(spark: SparkSession, path: str, embedder) -> None:
+def _write_meta(spark: SparkSession, path: str, embedder, buckets: int | None = None) -> None:
     name, dim = embedder_info(embedder)
-    spark.createDataFrame([(name, dim)], "model string, dim int").coalesce(1).write.mode("overwrite").parquet(
+    spark.createDataFrame([(name, dim, buckets)], "model string, dim int, buckets int").coalesce(1).write.mode("overwrite").parquet(
         path.rstrip("/") + "/_meta")
 
 
@@ -78,21 +84,27 @@ def load_index(spark: SparkSession, path: str, embedder="hash") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def chunk_ordinals(chunks: DataFrame, doc: str = "doc_id", idx: str = "chunk_idx", width: int = 1 << 16) -> DataFrame:
-    """Global 0-based ordinal of each chunk in (doc, chunk_idx) order, without a single-partition sort.
+def document_offsets(chunks: DataFrame, doc: str = "doc_id", parts: int | None = None) -> DataFrame:
+    """doc, off, n: the global ordinal of each document's first chunk, in document order, and its number of chunks.
 
-    Per-document chunk counts are summed per block of ``width`` consecutive
-    document ids; only the block totals (one row per block) are prefix-summed
-    together, then each block's documents and each document's chunks.
+    A distributed exclusive scan: the documents' counts are dealt out by ranges of
+    the id and written; the ranges' totals, one row for each, are prefix-summed,
+    then the counts within each range.  No task sees more than a range, however
+    the ids are spaced.
     """
-    counts = chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("__n")).withColumn(
-        "__b", F.floor(F.col(doc) / width))
-    blocks = counts.groupBy("__b").agg(F.sum("__n").alias("__bn"))
-    block_off = blocks.select("__b", (F.sum("__bn").over(Window.orderBy("__b")) - F.col("__bn")).alias("__boff"))
-    w = Window.partitionBy("__b").orderBy(doc)
-    doc_off = counts.select(doc, "__b", (F.sum("__n").over(w) - F.col("__n")).alias("__doff"))
-    doc_off = doc_off.join(block_off, "__b").select(doc, (F.col("__boff") + F.col("__doff")).alias("__off"))
-    return chunks.join(doc_off, doc).withColumn("ordinal", F.col("__off") + F.col(idx)).drop("__off")
+    counts = chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("n"))
+    ranged = (counts.repartitionByRange(parts, doc) if parts else counts.repartitionByRange(doc)).withColumn("part", F.spark_partition_id())
+    ranged = ranged.checkpoint()                                    # a range keeps its number
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("total"))
+    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy(doc)) - F.col("n")
+    return ranged.withColumn("inside", inside).join(before, "part").select(doc, (F.col("before") + F.col("inside")).alias("off"), "n")
+
+
+def chunk_ordinals(chunks: DataFrame, doc: str = "doc_id", idx: str = "chunk_idx", parts: int | None = None) -> DataFrame:
+    """Global 0-based ordinal of each chunk in (doc, chunk_idx) order, without a single-partition sort."""
+    offsets = document_offsets(chunks, doc, parts).select(doc, "off")
+    return chunks.join(offsets, doc).withColumn("ordinal", F.col("off") + F.col(idx)).drop("off")
 
 
 def append_index(chunks: DataFrame, path: str, embedder="hash", resume: int = 0, cap: int | None = None,
@@ -105,19 +117,19 @@ def append_index(chunks: DataFrame, path: str, embedder="hash", resume: int = 0,
     fresh = not index_exists(spark, path)  # then this append creates it
     if not fresh:
         _check_meta(spark, path, embedder)
-    # chunk once: the ordinals, the appended slice and the total all read the staged rows
-    staged = chunks.checkpoint()
-    ords = chunk_ordinals(staged)
-    sel = F.col("ordinal") >= resume
-    end = None
-    if cap is not None:
-        end = resume + math.ceil(cap / batch) * batch
-        sel = sel & (F.col("ordinal") < end)
-    part = embed_chunks(ords.filter(sel), embedder)
+    # only the documents' chunk counts are staged; texts are cut a second time for the appended slice alone
+    offsets = document_offsets(chunks).checkpoint()
+    end = None if cap is None else resume + math.ceil(cap / batch) * batch
+    here = offsets.filter(F.col("off") + F.col("n") > resume)
+    sel = F.col("off") + F.col("chunk_idx") >= resume
+    if end is not None:
+        here = here.filter(F.col("off") < end)
+        sel = sel & (F.col("off") + F.col("chunk_idx") < end)
+    part = embed_chunks(chunks.join(here.select("doc_id", "off"), "doc_id").filter(sel).drop("off"), embedder)
     part.write.mode("append").parquet(path)
     if fresh:
         _write_meta(spark, path, embedder)
-    total = staged.count()
+    total = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return total if end is None else min(end, total)
 
 

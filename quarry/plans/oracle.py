@@ -239,8 +239,8 @@ ORACLE["append_index"] = ORACLE["build_index"]
 ORACLE["load_index"] = PAGE_DOCS + ",\n".join(index_ctes("x_")[:-5]) + \
     "\nselect (doc_id << 20) + chunk_idx as chunk_id, url, chunk_idx, 64 as dim from x_ix"
 ORACLE["upsert_index"] = PAGE_DOCS + ",\n".join(index_ctes("n_") + index_ctes("o_", 500, 100)) + """
-select * from n_view union all
-select * from o_view o where not exists (select 1 from n_view n where n.url = o.url and n.chunk_idx = o.chunk_idx)"""
+select * from n_view where depth >= 3 union all
+select * from o_view o where not exists (select 1 from n_view n where n.url = o.url and n.depth >= 3)"""
 
 ORACLE["append_page_csv"] = LINKS + "," + RECORDS_CTE + "\nselect text, url, depth, title, model_num, ps_num from records"
 ORACLE["scan_page_csv"] = ORACLE["append_page_csv"]

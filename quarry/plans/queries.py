@@ -248,6 +248,7 @@ def crawl_frontier(spark, sf_dir):
 
 from quarry.operators import chunk as CH  # noqa: E402
 from quarry.operators import embed as EM  # noqa: E402
+from quarry.operators import keyed as KX  # noqa: E402
 from quarry.operators import index as IX  # noqa: E402
 from quarry.session import work_path  # noqa: E402
 from quarry.sources import files as FS  # noqa: E402
@@ -344,14 +345,12 @@ def append_index(spark, sf_dir):
 
 @register
 def upsert_index(spark, sf_dir):
-    """Index of 500/100 chunks upserted with the 1000/200 one, keyed by (url, chunk_idx)."""
+    """All pages' index of 500/100 chunks, kept by key; those three links or more from the start come again as 1000/200 chunks."""
     t = Tables(spark, sf_dir)
-    docs = page_documents(t)
-    old = IX.build_index(docs, work_path(spark, "index-old"), size=500, overlap=100)
-    new = IX.build_index(docs, work_path(spark, "index-new"))
-    path = work_path(spark, "index-merged")
-    IX.upsert_index(old, new).write.parquet(path)
-    return _index_view(spark.read.parquet(path))
+    docs, path = page_documents(t), work_path(spark, "index-keyed")
+    KX.write_keyed(IX.embed_chunks(IX.chunk_rows(docs, 500, 100)), path)
+    KX.merge(IX.embed_chunks(IX.chunk_rows(docs.filter("depth >= 3"))), path)
+    return _index_view(KX.load_keyed(spark, path))
 
 
 # --- file sources and sinks ----------------------------------------------------------------
@@ -531,13 +530,15 @@ from quarry.streaming import ingest as SI  # noqa: E402
 
 @register
 def stream_ingest(spark, sf_dir):
-    """Page records arrive as files; the stream appends their chunks to the index (3 micro-batches)."""
+    """Page records arrive as files, all of them twice; the stream merges their chunks into the keyed index (6 micro-batches)."""
     rec = crawled_records(Tables(spark, sf_dir))
     source, index_path = work_path(spark, "ingest-source"), work_path(spark, "index")
-    rec.select(*[f.name for f in SI.PAGE_RECORD.fields]).repartition(3).write.parquet(source)
+    rec = rec.select(*[f.name for f in SI.PAGE_RECORD.fields])
+    rec.repartition(3).write.parquet(source)
+    spark.read.schema(SI.PAGE_RECORD).parquet(source).repartition(3).write.mode("append").parquet(source)
     q = SI.stream_ingest(spark, source, index_path, work_path(spark, "ingest-checkpoint"), files_per_trigger=1)
     q.awaitTermination()
-    return _index_view(IX.load_index(spark, index_path))
+    return _index_view(KX.load_keyed(spark, index_path))
 
 
 def context_events(s: "Session") -> DataFrame:
