@@ -78,6 +78,28 @@ def cleaned_html(t: Tables, profile: str = "default") -> DataFrame:
                     H.extract_title(F.col("html")).alias("title"))
 
 
+SHOP_PARTS = ('<header>Shop header</header><select name="s"><option>one choice</option></select><input type="text" name="q">'
+              '<img src="a.png"/><button>Buy now</button><noscript>no script here</noscript><p>after the form</p> '
+              'Your coupon for has been applied and will be reflected when you check out! '
+              '<a href="/ShoppingCart.aspx">cart</a> <a href="https://elsewhere.example/x.htm">off the site</a> ')
+
+
+def shop_pages_fx(t: Tables) -> DataFrame:
+    """Every page as a shop would serve it: form elements, a coupon phrase, a cart link and an off-site
+    link at its end; part urls on a third, no title on a fifth."""
+    n = F.col("page_id").cast("string")
+    html = F.concat(F.col("html"), F.lit(SHOP_PARTS), F.lit('<a href="/page-'), n, F.lit('.htm">next</a>'))
+    return t.pages.select(
+        "page_id",
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_extract("url", "^[a-z]+://[^/]*", 0), F.lit("/PS1175"), n, F.lit("-Seal.htm"))).otherwise(F.col("url")).alias("url"),
+        F.when(F.col("page_id") % 5 == 4, F.regexp_replace(html, "(?is)<title>.*?</title>", "")).otherwise(html).alias("html"))
+
+
+def paragraphs_fx(t: Tables) -> DataFrame:
+    """Every document with a blank line after each sentence."""
+    return t.documents.select("doc_id", F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n")).alias("text"))
+
+
 def edges_fx(t: Tables) -> DataFrame:
     """Link graph of the fixture: the pages' own links point off-site, so link
     ordinal ``ord`` of page ``p`` leads to page ``(p*3 + ord*17 + 1) % count(pages)``."""

@@ -71,7 +71,9 @@ from quarry.functions import html as H  # noqa: E402
 from quarry.functions.urls import ORIGIN, SCHEME  # noqa: E402
 from quarry.operators.links import EXCLUDED_HREF  # noqa: E402
 
-TAGS, SEED_TAGS = H.PROFILES["default"]
+# The oracle's own lists, not those of the code under test.
+TAGS = ["noscript", "script", "head", "header", "footer", "button", "input", "select", "img", "style"]
+SEED_TAGS = [t for t in TAGS if t != "header"]
 CLEAN = S.strip_inputs(S.strip_elements("html", TAGS))
 
 LINK_CTES = [
@@ -114,19 +116,37 @@ SITE = (f"sl as (select * from rl where starts_with(abs_url, regexp_extract(url,
 LINKS_R = "with recursive " + ",\n".join(LINK_CTES + [RESOLVED, SITE]) + "\n"
 
 PAGE_TEXT = S.page_text("html", TAGS)
+SHOP = """shop as (select page_id,
+  case when page_id % 3 = 0 then regexp_extract(url, '^[a-z]+://[^/]*') || '/PS1175' || page_id || '-Seal.htm' else url end as url,
+  case when page_id % 5 = 4 then regexp_replace(h, '(?is)<title>.*?</title>', '', 'g') else h end as html
+from (select page_id, url, html || '<header>Shop header</header><select name="s"><option>one choice</option></select>'
+  || '<input type="text" name="q"><img src="a.png"/><button>Buy now</button><noscript>no script here</noscript><p>after the form</p> '
+  || 'Your coupon for has been applied and will be reflected when you check out! '
+  || '<a href="/ShoppingCart.aspx">cart</a> <a href="https://elsewhere.example/x.htm">off the site</a> '
+  || '<a href="/page-' || page_id || '.htm">next</a>' as h from pages))"""
+
+
+def of_shop(sql: str) -> str:
+    """The statement over the shop pages in place of the pages."""
+    sql = sql.replace("from pages", "from shop")
+    if sql.startswith("with recursive "):
+        return "with recursive " + SHOP + ",\n" + sql[len("with recursive "):]
+    return "with " + SHOP + "\n" + sql
+
+
 ORACLE["strip_elements"] = f"select page_id, {S.strip_elements('html', TAGS)} as html from pages"
-ORACLE["strip_elements_seed"] = LINKS + f"""select page_id, depth,
+ORACLE["strip_elements_seed"] = LINKS + "," + SHOP + f""" select page_id, depth,
   case when depth = 0 then {S.strip_elements('html', SEED_TAGS)} else {S.strip_elements('html', TAGS)} end as html
-from pages left join frontier using (page_id)"""
-ORACLE["strip_inputs"] = f"select page_id, {S.strip_inputs('html')} as html from pages"
+from shop left join frontier using (page_id)"""
+ORACLE["strip_inputs"] = of_shop(f"select page_id, {S.strip_inputs('html')} as html from pages")
 ORACLE["html_to_text"] = f"select page_id, {S.html_to_text(CLEAN)} as text from pages"
 ORACLE["collapse_whitespace"] = f"select page_id, {S.collapse(S.html_to_text(CLEAN))} as text from pages"
-ORACLE["drop_boilerplate"] = f"select page_id, {PAGE_TEXT} as text from pages"
+ORACLE["drop_boilerplate"] = of_shop(f"select page_id, {PAGE_TEXT} as text from pages")
 ORACLE["extract_title"] = f"select page_id, {S.extract_title('html')} as title from pages"
-ORACLE["drop_untitled"] = f"select * from (select page_id, url, {S.extract_title('html')} as title from pages) where title is not null"
+ORACLE["drop_untitled"] = of_shop(f"select * from (select page_id, url, {S.extract_title('html')} as title from pages) where title is not null")
 ORACLE["title_model_num"] = f"""select page_id, title, {S.title_model('title')} as model_num
 from (select page_id, {S.extract_title('html')} as title from pages) where title is not null"""
-ORACLE["url_part_num"] = f"select page_id, url, {S.part_num('url')} as ps_num from pages"
+ORACLE["url_part_num"] = of_shop(f"select page_id, url, {S.part_num('url')} as ps_num from pages")
 
 RECORDS_CTE = f"""rec as (select * from (select page_id, {S.page_text('html', TAGS, SEED_TAGS, 'depth')} as text, url, depth,
     {S.extract_title('html')} as title from pages left join frontier using (page_id)) where title is not null),
@@ -135,7 +155,7 @@ ORACLE["page_records"] = LINKS + "," + RECORDS_CTE + "\nselect * from records"
 
 ORACLE["extract_links"] = LINKS + "select page_id, ord, href from lk"
 ORACLE["resolve_links"] = LINKS_R + "select page_id, ord, href, abs_url from rl"
-ORACLE["filter_links"] = LINKS_R + "select page_id, ord, abs_url from sl"
+ORACLE["filter_links"] = of_shop(LINKS_R + "select page_id, ord, abs_url from sl")
 ORACLE["dedupe_urls"] = LINKS_R + f"""select distinct {canonical_sql('abs_url')} as url from sl
 where {canonical_sql('abs_url')} not in (select {canonical_sql('url')} from pages)"""
 ORACLE["crawl_frontier"] = LINKS + "select page_id, depth from frontier"
@@ -208,8 +228,11 @@ def fingerprint_ctes(p: str, vals: str, keys: list[str]) -> list[str]:
                from {vals} group by all)"""]
 
 
+PARAGRAPHS = "para as (select doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) as text from documents)"
+
+
 def _docs_chunks(sep=" ", size=1000, overlap=200):
-    return chunk_ctes("c_", "documents", "doc_id", "text", size, overlap, sep)
+    return [PARAGRAPHS] + chunk_ctes("c_", "documents" if sep == " " else "para", "doc_id", "text", size, overlap, sep)
 
 
 ORACLE["chunk_words"] = with_rec(*_docs_chunks()) + "select doc_id, chunk_idx, text from c_out"
@@ -348,7 +371,7 @@ ORACLE["build_prompt"] = PACK + "select * from k_prompts"
 ORACLE["no_hit_answer"] = PIPE.rstrip().rstrip(",") + """
 select q.conv_id, q.turn, h.conv_id is not null as has_hits,
        case when h.conv_id is null then 'I could not find a direct answer.' end as answer
-from pq q left join (select distinct conv_id, turn from hits) h using (conv_id, turn)"""
+from pq q left join (select distinct conv_id, turn from hits where not fallback) h using (conv_id, turn)"""
 ORACLE["style_variant"] = (PIPE + ",\n".join(packing_ctes(CX.INTRO_TEXT, "t_") + packing_ctes(CX.INTRO_VOICE, "v_"))
                            + "\n" + f"""select conv_id, turn, 'text' as channel, {S.lit(CX.SYSTEM_TEXT)} as system, prompt as "user" from t_prompts
 union all select conv_id, turn, 'voice', {S.lit(CX.SYSTEM_VOICE)}, prompt from v_prompts""")

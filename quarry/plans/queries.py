@@ -141,14 +141,14 @@ def strip_elements(spark, sf_dir):
 @register
 def strip_elements_seed(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    p = _pages(t).join(fx.frontier_fx(t), "page_id", "left")  # frontier is small: broadcast keeps the spread
+    p = spread(fx.shop_pages_fx(t)).join(fx.frontier_fx(t), "page_id", "left")  # frontier is small: broadcast keeps the spread
     html = H.strip_elements_seed(F.col("html"), F.col("depth"), DEFAULT_TAGS, DEFAULT_SEED_TAGS)
     return p.select("page_id", "depth", html.alias("html"))
 
 
 @register
 def strip_inputs(spark, sf_dir):
-    p = _pages(Tables(spark, sf_dir))
+    p = spread(fx.shop_pages_fx(Tables(spark, sf_dir)))
     return p.select("page_id", H.strip_inputs(F.col("html")).alias("html"))
 
 
@@ -166,7 +166,7 @@ def collapse_whitespace(spark, sf_dir):
 
 @register
 def drop_boilerplate(spark, sf_dir):
-    p = _pages(Tables(spark, sf_dir))
+    p = spread(fx.shop_pages_fx(Tables(spark, sf_dir)))
     return p.select("page_id", H.page_text(F.col("html"), DEFAULT_TAGS).alias("text"))
 
 
@@ -178,7 +178,7 @@ def extract_title(spark, sf_dir):
 
 @register
 def drop_untitled(spark, sf_dir):
-    p = _pages(Tables(spark, sf_dir))
+    p = spread(fx.shop_pages_fx(Tables(spark, sf_dir)))
     return EX.drop_untitled(p.select("page_id", "url", H.extract_title(F.col("html")).alias("title")))
 
 
@@ -191,7 +191,7 @@ def title_model_num(spark, sf_dir):
 
 @register
 def url_part_num(spark, sf_dir):
-    p = Tables(spark, sf_dir).pages
+    p = fx.shop_pages_fx(Tables(spark, sf_dir))
     return p.select("page_id", "url", H.url_part_num(F.col("url")).alias("ps_num"))
 
 
@@ -223,14 +223,20 @@ def resolve_links(spark, sf_dir):
     return LK.resolve_links(_links(Tables(spark, sf_dir))).select("page_id", "ord", "href", "abs_url")
 
 
-def _site_links(t: Tables) -> DataFrame:
-    r = LK.resolve_links(_links(t))
+def _shop_links(t: Tables) -> DataFrame:
+    p = spread(fx.shop_pages_fx(t)).select("page_id", "url", _cleaned(F.col("html")).alias("html"), H.extract_title(F.col("html")).alias("title"))
+    return LK.extract_links(p.filter(F.col("title").isNotNull()))
+
+
+def _site_links(t: Tables, links: DataFrame | None = None) -> DataFrame:
+    r = LK.resolve_links(_links(t) if links is None else links)
     return LK.filter_links(r, prefix=F.concat(U.origin(F.col("url")), F.lit("/")))
 
 
 @register
 def filter_links(spark, sf_dir):
-    return _site_links(Tables(spark, sf_dir)).select("page_id", "ord", "abs_url")
+    t = Tables(spark, sf_dir)
+    return _site_links(t, _shop_links(t)).select("page_id", "ord", "abs_url")
 
 
 @register
@@ -255,7 +261,7 @@ from quarry.sources import files as FS  # noqa: E402
 
 
 def _chunks_of_documents(t: Tables, size, overlap, sep) -> DataFrame:
-    d = spread(t.documents.select("doc_id", "text"))
+    d = spread(t.documents.select("doc_id", "text") if sep == CH.WORD_SEP else fx.paragraphs_fx(t))
     return CH.chunk_documents(d, "text", size, overlap, sep).select("doc_id", "chunk_idx", "text")
 
 
@@ -485,8 +491,9 @@ def build_prompt(spark, sf_dir):
 
 @register
 def no_hit_answer(spark, sf_dir):
+    """Without the fallback, so that questions whose filter matches nothing have no hit."""
     s = Session(spark, sf_dir)
-    return CX.no_hit_answer(s.questions, s.hits)
+    return CX.no_hit_answer(s.questions, s.hits.filter("not fallback"))
 
 
 @register
