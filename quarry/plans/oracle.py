@@ -267,6 +267,8 @@ select * from o_view o where not exists (select 1 from n_view n where n.url = o.
 
 ORACLE["append_page_csv"] = LINKS + "," + RECORDS_CTE + "\nselect text, url, depth, title, model_num, ps_num from records"
 ORACLE["scan_page_csv"] = ORACLE["append_page_csv"]
+ORACLE["append_pages"] = ORACLE["append_page_csv"]
+ORACLE["scan_pages"] = ORACLE["append_page_csv"] + " where depth <= 3"
 ORACLE["scan_text_url_csv"] = LINKS + "," + RECORDS_CTE + "\nselect text, url, true as from_file from records"
 ORACLE["map_crawl_items"] = LINKS + "," + RECORDS_CTE + "\nselect text as page_content, url as source from records"
 

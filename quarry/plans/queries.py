@@ -371,6 +371,24 @@ def append_page_csv(spark, sf_dir):
     return FS.scan_page_csv(spark, path)
 
 
+@register
+def append_pages(spark, sf_dir):
+    """Records appended to the Parquet page store in two runs (seed page, then the rest) and read back."""
+    rec = crawled_records(Tables(spark, sf_dir))
+    path = work_path(spark, "pages")
+    FS.append_pages(rec.filter(F.col("depth") == 0), path)
+    FS.append_pages(rec.filter(F.coalesce(F.col("depth") != 0, F.lit(True))), path)
+    return FS.scan_pages(spark, path)
+
+
+@register
+def scan_pages(spark, sf_dir):
+    """The page store's records up to three links from the start: deeper folders are not read."""
+    path = work_path(spark, "pages")
+    FS.append_pages(crawled_records(Tables(spark, sf_dir)), path)
+    return FS.scan_pages(spark, path, max_depth=3)
+
+
 @register
 def scan_page_csv(spark, sf_dir):
     rec = crawled_records(Tables(spark, sf_dir))

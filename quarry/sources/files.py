@@ -18,6 +18,7 @@ PAGE_CSV = T.StructType([
 TEXT_URL_CSV = T.StructType([T.StructField("text", T.StringType()), T.StructField("url", T.StringType())])
 CRAWL_ITEM = T.StructType([T.StructField("text", T.StringType()), T.StructField("url", T.StringType())])
 
+CSV_FILE_BYTES = 64 << 20
 _CSV_OPTS = {"header": "false", "sep": ",", "quote": '"', "escape": '"', "multiLine": "true",
              "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
              "maxCharsPerColumn": "-1", "mode": "FAILFAST"}
@@ -48,9 +49,32 @@ def scan_text_url_csv(spark: SparkSession, path: str) -> DataFrame:
     return _empty_is_text(df, ["text"]).withColumn("source", F.col("_metadata.file_path"))
 
 
-def append_page_csv(records: DataFrame, path: str) -> None:
-    """Append page records as header-less CSV in the fixed column order."""
-    w = records.select(*[c.name for c in PAGE_CSV.fields]).write.mode("append")
+def rows_per_file(df: DataFrame, file_bytes: int) -> int:
+    """Rows whose text columns hold about ``file_bytes`` together, by the rows' mean size (one aggregation)."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 1 for c in df.columns), F.lit(0))
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return max(1, file_bytes * n // max(1, total))
+
+
+def append_pages(records: DataFrame, path: str) -> None:
+    """Append page records to the page store: Parquet, in a folder for each depth (the default sink)."""
+    records.select(*[c.name for c in PAGE_CSV.fields]).write.mode("append").partitionBy("depth").parquet(path)
+
+
+def scan_pages(spark: SparkSession, path: str, max_depth: int | None = None) -> DataFrame:
+    """Page records of the page store; with ``max_depth`` only the folders up to it are read."""
+    df = spark.read.schema(PAGE_CSV).parquet(path).select(*[c.name for c in PAGE_CSV.fields])
+    return df if max_depth is None else df.filter(F.col("depth") <= max_depth)
+
+
+def append_page_csv(records: DataFrame, path: str, file_bytes: int = CSV_FILE_BYTES) -> None:
+    """Append page records as header-less CSV in the fixed column order.
+
+    A file of CSV whose fields hold line ends can't be split and is one task to its
+    readers, so files are cut at about ``file_bytes``.
+    """
+    rows = records.select(*[c.name for c in PAGE_CSV.fields])
+    w = rows.write.mode("append").option("maxRecordsPerFile", rows_per_file(rows, file_bytes))
     opts = dict(_CSV_OPTS)
     opts.pop("mode")
     opts.pop("multiLine")
@@ -62,8 +86,9 @@ def append_page_csv(records: DataFrame, path: str) -> None:
     w.csv(path)
 
 
-def write_text_url_csv(df: DataFrame, path: str) -> None:
-    df.select("text", "url").write.mode("append").option("header", "false").option("escape", '"') \
+def write_text_url_csv(df: DataFrame, path: str, file_bytes: int = CSV_FILE_BYTES) -> None:
+    rows = df.select("text", "url")
+    rows.write.mode("append").option("maxRecordsPerFile", rows_per_file(rows, file_bytes)).option("header", "false").option("escape", '"') \
         .option("emptyValue", '""').csv(path)
 
 
