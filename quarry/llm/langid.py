@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
-from quarry.llm.common import map_text, slices, small_side, table
+from quarry.llm.common import map_text, slices, small_side, staged, table
 
 BITS = 16
 PLACES = 1 << BITS
@@ -208,11 +208,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     df, total = frequencies(docs, "text")
     if not total:
         return Model([], np.zeros((0, PLACES)), np.zeros(0))
-    order = Window.partitionBy("lang").orderBy("h", "id")
+    # a row per distinct text; of each language those whose hash lies lowest, by a share that leaves some 3 * per_lang
     slim = docs.filter(F.col("text").rlike(r"\p{L}")).select("id", "lang", F.xxhash64("text").alias("h"))
-    picked = slim.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("id", "lang", "h").distinct()
-    rows = docs.withColumn("h", F.xxhash64("text")).join(small_side(picked, 64), ["id", "lang", "h"], "left_semi")
-    rows = vectors(rows.select("id", "lang", "h", "text"), "text").toPandas().sort_values(["h", "id"], kind="stable")
+    slim = slim.groupBy("lang", "h").agg(F.min("id").alias("id")).withColumn("at", F.shiftrightunsigned("h", 11) / float(1 << 53))
+    slim = staged(slim, "lang-texts")
+    share = slim.groupBy("lang").agg((3.0 * per_lang / F.count("*")).alias("share"))  # a row for each language, as the model has
+    order = Window.partitionBy("lang").orderBy("at", "h")
+    picked = (slim.join(F.broadcast(share), "lang").filter("at <= share")
+              .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("id", "lang", "h"))
+    rows = docs.withColumn("h", F.xxhash64("text")).join(small_side(picked, 64), ["id", "lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    rows = vectors(rows.select("id", "lang", "h", "text"), "text").toPandas().sort_values(["h", "lang"], kind="stable")
     langs = sorted(set(rows.lang))
     idf = np.log((1 + total) / (1 + df)) + 1
     number = {v: i for i, v in enumerate(langs)}

@@ -371,3 +371,14 @@ def test_many_cut_lines_are_removed_in_linear_time(spark):
     rows = [(s, "\n".join([*common, own[s % 8] * 500, f"last of {s}"]), f"site{s}") for s in range(12)]
     out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), max_share=0.9).collect()
     assert all(r.n_removed >= 32_000 and r.text.endswith(f"last of {r.doc_id}") and "shared line" not in r.text for r in out)
+
+
+def test_one_copied_text_does_not_take_the_learning_places(spark, monkeypatch):
+    """Thousands of copies of a text count once in the sample; repeated rows are not sent twice."""
+    seen = []
+    learn = langid.learn
+    monkeypatch.setattr(langid, "learn", lambda rows, n: seen.append(len(rows)) or learn(rows, n))
+    rows = [(i, "the same copied words " * 5, "en") for i in range(3000)] + [(7000 + i, f"english number {prose(8, i)}", "en") for i in range(40)]
+    rows += [(9000 + i % 30, f"deutsche zahl {prose(8, 500 + i % 30)}", "de") for i in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_lang=50)
+    assert model.langs == ["de", "en"] and seen == [71 - 71 // 5]
