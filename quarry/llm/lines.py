@@ -1,14 +1,15 @@
 """10. Line dedup by distinct-site spread, in DataFrame functions alone.
 
 Each line (trimmed, with at least one word) is hashed; a HyperLogLog sketch of
-the sites it stands on is kept per hash and merged by aggregation.  Lines whose
-estimate lies within the sketch's error of the threshold get an exact distinct
-count; a line on ``MIN_SITES`` sites or more is boilerplate and removed from every
-document - except from documents of which boilerplate makes up more than
-``MAX_SHARE`` of the characters: those are copies of one another rather than pages
-with boilerplate, and near-duplicate removal deals with them.
-
-Defined results: a null text has no lines and stays null, an empty one stays empty;
+the sites it stands on is kept per hash and merged by aggregation.  Lines that may
+reach the threshold get a second sketch, of the different texts they stand in, so
+that the lines of one text copied to many sites do not count as boilerplate; where
+an estimate lies within the sketch's error of the threshold, exact distinct counts
+decide.  A line on ``MIN_SITES`` sites or more and in as many different texts is
+boilerplate and removed from every document, whatever else the document holds.
+
+Defined results: a null text has no lines and stays null, an empty one stays empty,
+one of boilerplate alone becomes empty (its blank lines stay);
 a null site counts as one site; blank lines are never removed; equal rows repeat
 their result; an empty table gives an empty table; extra columns are kept, those
 named like an output replaced; a line of any length is one hash.
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import free, staged, table, without
 
 MIN_SITES = 10
-MAX_SHARE = 0.5
 LG_K = 8
 #: Three standard errors of a sketch of 2^LG_K registers, and at least 1 site.
 BAND = 3 * 1.04 / 2 ** (LG_K / 2)
@@ -36,39 +36,41 @@ def _hash(line: str) -> F.Column:
 
 
 def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
-    """A row per line with a word: hash, site."""
-    line = docs.select(F.explode(F.split(F.col(text), "\n", -1)).alias("line"), F.col(site).alias("site"))
-    return (line.select(F.regexp_replace("line", TRIMMED, "").alias("line"), "site").filter("line <> ''")
-            .select(_hash("line").alias("hash"), F.coalesce("site", F.lit("\0")).alias("site")))
+    """A row per line with a word: text's key, position, hash, site."""
+    line = docs.select(_hash(text).alias("key"), F.coalesce(site, F.lit("\0")).alias("site"),
+                       F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    return (line.select("key", "site", "pos", F.regexp_replace("line", TRIMMED, "").alias("line")).filter("line <> ''")
+            .select("key", "site", "pos", _hash("line").alias("hash")))
 
 
-def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """Hashes of the lines that stand on ``min_sites`` sites or more."""
-    lines = _lines(docs, text, site)
-    spread = (lines.groupBy("hash").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
-              .select("hash", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") > 1))
-    low, high = min_sites - max(1, BAND * min_sites), min_sites + max(1, BAND * min_sites)
-    spread = staged(spread.filter(F.col("sites") >= low), "line-spread")
-    near = spread.filter(F.col("sites") <= high).select("hash")
-    exact = lines.join(near, "hash", "left_semi").distinct().groupBy("hash").count().filter(F.col("count") >= min_sites)
-    return spread.filter(F.col("sites") > high).select("hash").unionByName(exact.select("hash"))
+def _spread(lines: DataFrame, **of: str) -> DataFrame:
+    """Estimated number of different values of each column, by line hash."""
+    sketches = lines.groupBy("hash").agg(*[F.hll_sketch_agg(c, LG_K).alias(n) for n, c in of.items()])
+    return sketches.select("hash", *[F.hll_sketch_estimate(n).alias(n) for n in of])
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES,
-                max_share: float = MAX_SHARE) -> DataFrame:
+def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """Where boilerplate stands: key of the text and positions of its lines on ``min_sites`` sites and in as many texts or more."""
+    low, high = min_sites - max(1, BAND * min_sites), min_sites + max(1, BAND * min_sites)
+    lines = _lines(docs, text, site)
+    wide = staged(_spread(lines.select("hash", "site"), sites="site").filter(F.col("sites") >= low).select("hash"), "wide-lines")
+    # occurrences of lines that may be boilerplate; copies of a text on one site are one
+    found = staged(lines.join(wide, "hash", "left_semi").distinct(), "wide-line-places")
+    least = F.least("sites", "texts")
+    spread = staged(_spread(found, sites="site", texts="key.a").select("hash", least.alias("n")).filter(F.col("n") >= low), "line-spread")
+    near = spread.filter(F.col("n") <= high).select("hash")
+    exact = (found.join(near, "hash", "left_semi").groupBy("hash").agg(F.count_distinct("site").alias("sites"), F.count_distinct("key").alias("texts"))
+             .filter(least >= min_sites))
+    bad = spread.filter(F.col("n") > high).select("hash").unionByName(exact.select("hash"))
+    return found.join(bad, "hash", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """Documents with their boilerplate lines removed from the text; adds n_lines and n_removed."""
-    bad = staged(boilerplate(docs, text, site, min_sites), "boilerplate")
     docs = without(docs, ["n_lines", "n_removed"])
     name, cuts = free(docs, "line_key", "line_cuts")
-    key = _hash(text)
-    # lines of each distinct text that are boilerplate, by position; only these are joined back
-    line = (docs.select(key.alias("key"), F.length(text).alias("chars"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
-            .select("key", "chars", "pos", F.regexp_replace("line", TRIMMED, "").alias("line")).filter("line <> ''")
-            .select("key", "chars", "pos", F.length("line").alias("n"), _hash("line").alias("hash")))
-    hit = line.join(bad, "hash", "left_semi").dropDuplicates(["key", "pos"])
-    cut = (hit.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.sum("n").alias("n"), F.first("chars").alias("chars"))
-           .filter(F.col("n") <= max_share * F.col("chars")).select(F.col("key").alias(name), F.col("at").alias(cuts)))
-    rows = docs.join(cut, key == F.col(name), "left")
+    cut = staged(boilerplate(docs, text, site, min_sites).select(F.col("key").alias(name), F.col("at").alias(cuts)), "line-cuts")
+    rows = docs.join(cut, _hash(text) == F.col(name), "left")
     split = F.split(F.col(text), "\n", -1)
 
     def between(s: F.Column) -> F.Column:
@@ -98,14 +100,12 @@ with lines as (
 ), trimmed as (
   select *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as t from lines
 ), bad as (
-  select t from trimmed where t <> '' group by t having count(distinct coalesce(source, chr(1))) >= 10
+  select t from trimmed where t <> '' group by t having count(distinct coalesce(source, chr(1))) >= 10 and count(distinct text) >= 10
 ), hits as (
-  select doc_id, text, pos, length(t) as n from trimmed where t in (select t from bad)
-), share as (
-  select doc_id, text from hits group by doc_id, text having sum(n) <= 0.5 * length(text)
+  select distinct doc_id, text, pos from trimmed where t in (select t from bad)
 ), kept as (
   select l.doc_id, l.text, string_agg(l.line, chr(10) order by l.pos) as body, count(*) as n
-  from trimmed l left join (select h.* from hits h join share s using (doc_id, text)) h on h.doc_id = l.doc_id and h.text = l.text and h.pos = l.pos
+  from trimmed l left join hits h on h.doc_id = l.doc_id and h.text = l.text and h.pos = l.pos
   where h.pos is null group by l.doc_id, l.text
 )
 select d.doc_id, len(string_split(d.text, chr(10)))::bigint as n_lines,

@@ -321,11 +321,33 @@ def test_lines(docs, empty, spark):
     rows += [(100, "shared footer", "site1"), (101, None, "x"), (102, "", None), (103, "few sites", "site1"), (104, "few sites", "site2")]
     out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert all(out[i].n_removed == 1 and out[i].n_lines == 5 and out[i].text == f"{prose(20, i)}\n{prose(20, i + 50)}\n\n" for i in range(24))
-    assert out[100].text == "shared footer" and out[100].n_removed == 0  # nothing but boilerplate: a copy
+    assert out[100].text == "" and out[100].n_removed == 1  # nothing but boilerplate
     assert out[101].text is None and out[101].n_lines == 0 and out[102].text == "" and out[103].text == "few sites"
     assert lines.dedup_lines(docs).count() == docs.count() and lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_against_brute_force(spark):
+    """Copies, tied counts around the threshold, pages of boilerplate alone, repeated lines and rows."""
+    copied = "\n".join(prose(12, 300 + i) for i in range(5))
+    rows = [(i, copied, f"s{i}") for i in range(40)]                                       # one text on 40 sites
+    for n in (8, 9, 10, 11, 13, 30):                                                       # n sites, n texts
+        rows += [(100 * n + i, f"own {n} {i}\n\tline on {n}\x0b\n\nline on {n}\n{copied if i % 2 else 'x'}", f"s{i}") for i in range(n)]
+    rows += [(4000 + i, f"few texts\n{i % 9}", f"s{i}") for i in range(36)]                # 36 sites, 9 texts
+    rows += [(5000 + i, f"one site\n{i}", "s1") for i in range(30)]                        # one site, 30 texts
+    rows += [(6000 + i, "\n".join(["line on 30", "line on 13"] * (i + 1)), None) for i in range(3)] + [(1001, rows[-1][1], "s1")] * 2
+    spread = {}
+    for _, text, site in rows:
+        for line in text.split("\n"):
+            if t := line.strip(" \t\n\x0b\f\r"):
+                a, b = spread.setdefault(t, (set(), set()))
+                a.add(site), b.add(text)
+    bad = {t for t, (a, b) in spread.items() if len(a) >= 10 and len(b) >= 10}
+    assert {"line on 10", "line on 30"} <= bad and not bad & {"line on 9", "few texts", "one site", "own 30 1"}
+    want = sorted((i, "\n".join(x for x in t.split("\n") if x.strip(" \t\n\x0b\f\r") not in bad)) for i, t, _ in rows)
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 @pytest.mark.parametrize("terms", [100, 20_000, 500_000])
 def test_samples_agree_as_often_as_the_sets_are_alike(terms):
     from quarry.llm.common import mix
@@ -369,7 +391,7 @@ def test_many_cut_lines_are_removed_in_linear_time(spark):
     common = [f"shared line number {i}" for i in range(32_000)]
     own = [f"own words of this page {i} " * 40 for i in range(8)]
     rows = [(s, "\n".join([*common, own[s % 8] * 500, f"last of {s}"]), f"site{s}") for s in range(12)]
-    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), max_share=0.9).collect()
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
     assert all(r.n_removed >= 32_000 and r.text.endswith(f"last of {r.doc_id}") and "shared line" not in r.text for r in out)
 
 
