@@ -29,6 +29,8 @@ NO_ANSWER = "I could not find a direct answer."
 SYSTEM_TEXT = "Base every statement on the pages supplied with the question."
 SYSTEM_VOICE = ("Base every statement on the pages supplied with the question. The reply will be read aloud: "
                 "short plain sentences, nothing that only works in print.")
+#: Turns on each side of a cell where first hits meet later questions.
+TURN_BLOCK = 512
 TOKEN_BUDGET, PRIOR_HITS_BUDGET, PRIOR_ANSWERS_BUDGET, PRIOR_HITS_PER_TURN = 4096, 1024, 1024, 2
 
 # Default introductions: what the packed prompt holds and how to reply.  Callers may pass their own.
@@ -138,20 +140,50 @@ def select_prior_hits(questions: DataFrame, rows: DataFrame, budget: int = PRIOR
     """Earlier hits kept for each question: ``conv_id, turn, src_turn, rank, chunk_id, tokens, piece``.
 
     Tokens before row (h, r) for question t, newest first, are
-    ``A(t−) − A(h) + R(h, r)`` with ``A`` the running per-turn total of the
-    conversation and ``R`` the within-turn total of lower ranks, so the rule
-    is a row filter after the join, with no per-question window.
+    ``A(t−) − P`` with ``A`` the running per-turn total of the conversation and
+    ``P = A(h) − R(h, r)`` the row's place (``R``: the turn's tokens of lower
+    ranks), so the rule is a row filter with no per-question window.  Rows
+    within the budget lie in the band ``[A(t−) − budget, A(t−)]`` of places and
+    are joined by band, as earlier answers are.  First hits, which every later
+    question keeps, are joined by pairs of turn blocks: a conversation of any
+    length spreads over cells of at most ``TURN_BLOCK`` × ``TURN_BLOCK`` turns.
     """
     tot = _turn_totals(questions, rows, "tokens", "__A")          # __A: through this turn, __t: this turn
     wr = Window.partitionBy(*QKEY).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    h = (rows.withColumn("__R", F.coalesce(F.sum("tokens").over(wr), F.lit(0)))
-         .join(tot.select(*QKEY, "__A"), QKEY))
+    h = (rows.join(tot.select(*QKEY, "__A"), QKEY)
+         .withColumn("__P", F.col("__A") - F.coalesce(F.sum("tokens").over(wr), F.lit(0))).drop("__A"))
     q = tot.select("conv_id", F.col("turn").alias("__qt"), (F.col("__A") - F.col("__t")).alias("__prev"))
-    j = h.join(q, "conv_id").filter(F.col("turn") < F.col("__qt"))
-    before = F.col("__prev") - F.col("__A") + F.col("__R")
-    keep = (before + F.col("tokens") <= budget) if strict else ((F.col("rank") == 1) | (before <= budget))
-    return j.filter(keep).select("conv_id", F.col("__qt").alias("turn"), F.col("turn").alias("src_turn"),
-                                 "rank", "chunk_id", "tokens", "piece")
+
+    # by band: all rows in the strict form, those after a turn's first otherwise
+    size = max(int(budget), 1)
+    band = (h if strict else h.filter(F.col("rank") > 1)).withColumn("__b", F.floor(F.col("__P") / size))
+    qb = q.withColumn("__b", F.explode(F.sequence(F.floor((F.col("__prev") - budget) / size), F.floor(F.col("__prev") / size))))
+    before = F.col("__prev") - F.col("__P")
+    near = (before + F.col("tokens") <= budget) if strict else (before <= budget)
+    kept = _cell_join(band, qb, ["conv_id", "__b"]).filter(near)
+    if not strict:
+        kept = kept.unionByName(_cell_join(*_turn_cells(h.filter(F.col("rank") == 1), q), ["conv_id", "__hb", "__qb"]))
+    return kept.select("conv_id", F.col("__qt").alias("turn"), F.col("turn").alias("src_turn"),
+                       "rank", "chunk_id", "tokens", "piece")
+
+
+def _cell_join(h: DataFrame, q: DataFrame, on) -> DataFrame:
+    """Rows of earlier turns with the questions after them, by cell."""
+    cols = ["turn", "rank", "chunk_id", "tokens", "piece", "__P"]
+    return (h.select(*on, *cols).join(q.select(*on, "__qt", "__prev"), on).filter(F.col("turn") < F.col("__qt"))
+            .select("conv_id", *cols, "__qt", "__prev"))
+
+
+def _turn_cells(h: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides once for each cell (block of earlier turns, block of later or equal turns) they meet in.
+
+    Only blocks that hold rows make cells, so sparse turn numbers cost nothing.
+    """
+    hb, qb = F.floor(F.col("turn") / TURN_BLOCK), F.floor(F.col("__qt") / TURN_BLOCK)
+    h, q = h.withColumn("__hb", hb), q.withColumn("__qb", qb)
+    cells = (h.select("conv_id", "__hb").distinct().join(q.select("conv_id", "__qb").distinct(), "conv_id")
+             .filter(F.col("__hb") <= F.col("__qb")))
+    return h.join(cells, ["conv_id", "__hb"]), q.join(cells, ["conv_id", "__qb"])
 
 
 def pack_prior_hits(questions: DataFrame, history: DataFrame, index: DataFrame,

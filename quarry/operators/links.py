@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.functions import html as H
 from quarry.functions import urls as U
-from quarry.session import checkpoint_dir
+from quarry.operators.common import join_small
+from quarry.session import work_path
 
 # The crawl profiles of the reference (seeds, depth limit, excluded
 # link, site prefix).  Profile "single" also drops the bare site URL.
@@ -20,6 +24,9 @@ CRAWL_PROFILES = {
                "drop": [SITE]},
 }
 
+#: Edges of one source in a partition's block; hubs up to this number (16 bytes each) are broadcast.
+HUB_EDGES, MAX_HUBS = 1_000_000, 500_000
+
 # whole attributes are passed over, so neither a ">" nor an "href=" inside a quoted value counts
 HREF = (r"""(?i)<a(?=[\s/])(?>[^>=]*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"']*+))*?"""
         r"""[^>=]*?(?<=[\s/"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""")
@@ -79,33 +86,70 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = 8,
     """Breadth-first reachability from the seeds: ``(key, depth)`` with depth = hop distance ≤ max_depth.
 
     At most ``max_depth`` rounds; each round joins only the new frontier with
-    the edges, drops visited nodes and writes the result to the shared
-    checkpoint folder so lineage stays one round long.  Edges are
-    hash-partitioned by source once, so rounds shuffle the frontier only.
+    the edges, drops visited nodes and writes the new level as a table in the shared
+    checkpoint folder, so lineage stays one round long.  Edges are bucketed by
+    source and levels by node, both in as many buckets as there are shuffle
+    partitions, so a round shuffles its frontier and what that reaches, and
+    neither edges nor visited nodes again.  A source of more than ``HUB_EDGES``
+    edges is cut into blocks, which the frontier meets one by one.
+    Edges without a source or target, and null seeds, are left out.
     """
     spark = edges.sparkSession
-    checkpoint_dir(spark)
-    n = spark.sparkContext.defaultParallelism
-    e = edges.select(F.col(src).alias("__s"), F.col(dst).alias(key)).distinct().repartition(n, "__s").checkpoint()
-    level = seeds.select(F.col(key)).distinct().withColumn("depth", F.lit(0)).checkpoint()
-    visited = level
-    for d in range(1, max_depth + 1):
-        # new nodes = reached now and never visited: one keyed aggregation does distinct + anti-join
-        reached = level.select(F.col(key).alias("__s")).join(e, "__s").select(key, F.lit(0).alias("__seen"))
-        seen = visited.select(key, F.lit(1).alias("__seen"))
-        # the level size is observed during the checkpoint job itself (no extra emptiness job)
-        obs = Observation(f"frontier-{d}")
-        nxt = (reached.unionByName(seen).groupBy(key).agg(F.max("__seen").alias("__seen"))
-               .filter(F.col("__seen") == 0).select(key, F.lit(d).alias("depth"))
-               .observe(obs, F.count(F.lit(1)).alias("n")).checkpoint())
-        if not obs.get["n"]:
-            break
-        # visited is a union of checkpointed levels: no recomputation, lineage one level deep
-        visited = visited.unionByName(nxt)
-        level = nxt
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = edges.select(F.col(src).alias("__s"), F.col(dst).alias(key)).dropna().distinct()
+    links = spark.read.schema(links.schema).parquet(_written(links, "frontier-links"))
+    degree = links.groupBy("__s").count().filter(F.col("count") > HUB_EDGES)
+    hubs = degree.select("__s", F.ceil(F.col("count") / HUB_EDGES).cast("int").alias("__n"))
+    hubs = spark.read.schema(hubs.schema).parquet(_written(hubs, "frontier-hubs"))
+    block = F.when(F.col("__n").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.col("__n"))).cast("int")
+    first = seeds.select(F.col(key)).dropna().distinct().withColumn("depth", F.lit(0))
+    tables, levels = [], []
+
+    def bucketed(df, *by):
+        """Writes a bucketed table, one file a bucket; gives the table and its files."""
+        path, name = work_path(spark, "frontier"), f"frontier_{uuid.uuid4().hex}"
+        tables.append(name)
+        (df.repartition(n, *by).write.format("parquet").option("path", path).bucketBy(n, *by).sortBy(*by).saveAsTable(name))
+        return spark.table(name), spark.read.schema(df.schema).parquet(path)
+
+    try:
+        e, _ = bucketed(_with_hubs(links, hubs).select("__s", block.alias("__b"), key), "__s", "__b")
+        levels.append(bucketed(first, key))
+        for d in range(1, max_depth + 1):
+            out = _with_hubs(levels[-1][0].select(F.col(key).alias("__s")), hubs)
+            out = out.select("__s", F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1)).alias("__b"))
+            nxt = reached(out, e, [seen for seen, _ in levels], key, n).withColumn("depth", F.lit(d))
+            # the level size is observed while it is written (no extra emptiness job)
+            obs = Observation(f"frontier-{d}")
+            levels.append(bucketed(nxt.observe(obs, F.count(F.lit(1)).alias("n")), key))
+            if not obs.get["n"]:
+                break
+    finally:  # the names only: the files belong to no table
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    visited = reduce(DataFrame.unionByName, [files for _, files in levels])
     return visited.select(key, F.col("depth").cast("int").alias("depth"))
 
 
+def reached(frontier: DataFrame, edges: DataFrame, seen: list[DataFrame], key: str, n: int) -> DataFrame:
+    """Distinct targets of the frontier's edges that no earlier level holds; edges and levels stay where they lie."""
+    out = frontier.repartition(n, "__s", "__b").join(edges, ["__s", "__b"]).select(key).distinct()
+    for level in seen:
+        out = out.join(level.select(key), key, "left_anti")
+    return out
+
+
+def _written(df: DataFrame, name: str) -> str:
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+def _with_hubs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Adds the number of blocks ``__n`` of a hub, null for other sources."""
+    return join_small(rows, hubs, "__s", "left", max_rows=MAX_HUBS)
+
+
 def link_edges(pages: DataFrame, seed_urls, profile: str = "default", prefix: str | None = None,
                excluded=(EXCLUDED_HREF,), drop_urls=None) -> DataFrame:
     """Page-to-page edges of a stored crawl: ``(src, dst)`` page ids.

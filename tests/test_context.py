@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import context as CX
@@ -87,6 +88,29 @@ def test_prior_hits_random(spark):
         assert _prior(spark, [[h for h in hs if h[0] <= 2] for hs in turn_hits], budget) == want
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_prior_hits_of_a_long_conversation_in_cells(spark, monkeypatch, strict):
+    """Every question of a conversation of many blocks, with gaps, turns without hits and budgets that cut."""
+    monkeypatch.setattr(CX, "TURN_BLOCK", 4)
+    rng = random.Random(11)
+    turns = sorted(rng.sample(range(200), 45))
+    hits = {t: [(r + 1, rng.randint(1, 9)) for r in range(rng.choice([0, 1, 2, 2]))] for t in turns}
+    want = set()
+    for t in turns:
+        used = 0
+        for h in reversed([x for x in turns if x < t]):
+            for rank, n in hits[h]:
+                if (used + n <= 30) if strict else (rank == 1 or used <= 30):
+                    want.add((t, h, rank))
+                used += n
+    q = spark.createDataFrame([(c, t) for c in (1, 2) for t in turns], "conv_id long, turn long")
+    rows = spark.createDataFrame([(1, t, r, 10 * t + r, n, f"p{t}") for t in turns for r, n in hits[t]],
+                                 "conv_id long, turn long, rank int, chunk_id long, tokens int, piece string")
+    got = CX.select_prior_hits(q, rows, 30, strict).collect()
+    assert len(got) == len(want) and {(r.turn, r.src_turn, r.rank) for r in got} == want
+    assert all(r.conv_id == 1 and r.piece == f"p{r.src_turn}" and r.chunk_id == 10 * r.src_turn + r.rank for r in got)
+
+
 def test_prior_answers_random(spark):
     rng = random.Random(9)
     for _ in range(12):

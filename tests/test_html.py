@@ -126,6 +126,39 @@ def test_crawl_frontier_hop_distance(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3}
 
 
+def test_crawl_frontier_with_a_hub_in_blocks(spark, monkeypatch):
+    """A source with a third of the edges lies in several blocks; depths equal a plain walk."""
+    monkeypatch.setattr(LK, "HUB_EDGES", 40)
+    edges = [(0, 3 * i) for i in range(1, 200)] + [(i, (7 * i + 3) % 997) for i in range(400)] + [(5, 5), (5, None), (None, 6), (0, 3)]
+    want, level = {0: 0, 1: 0}, {0, 1}
+    for d in range(1, 5):
+        level = {t for s, t in edges if s in level and t is not None} - set(want)
+        want.update(dict.fromkeys(level, d))
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = LK.crawl_frontier(df, spark.createDataFrame([(0,), (1,), (1,), (None,)], "page_id long"), max_depth=4).collect()
+    assert {r.page_id: r.depth for r in got} == want and len(got) == len(want)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("frontier_")]
+    assert LK.crawl_frontier(df.limit(0), spark.createDataFrame([(9,)], "page_id long")).collect() == [(9, 0)]
+
+
+def test_a_round_of_the_frontier_moves_neither_edges_nor_levels(spark, monkeypatch):
+    plans, inner = [], LK.reached
+
+    def spy(*args):
+        out = inner(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(LK, "reached", spy)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        edges = spark.range(3000).selectExpr("id % 300 as src", "(id * 7) % 997 as dst")
+        LK.crawl_frontier(edges, spark.createDataFrame([(1,)], "page_id long"), max_depth=3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 3 and all(p.count("Exchange hashpartitioning") == 2 for p in plans), plans[-1]
+
+
 def test_site_crawl_profiles(spark):
     site = "https://shop.example"
     html = lambda title, links: f"<html><head><title>{title}</title></head><body>" + "".join(
