@@ -401,3 +401,4 @@ from tm group by conv_id, stage"""
 ORACLE["stream_ingest"] = ORACLE["build_index"]
 ORACLE["stream_context"] = PACK + """select conv_id, turn, 'hit' as section, src_turn, rank, chunk_id, tokens from k_prior
 union all select conv_id, turn, 'answer', src_turn, null, null, tokens from k_answers"""
+ORACLE["stream_context_timed"] = ORACLE["stream_context"]

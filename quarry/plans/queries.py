@@ -10,6 +10,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import ids
 from quarry.operators import knn
@@ -551,6 +552,7 @@ def last_run_stats(spark, sf_dir):
 
 from quarry.streaming import context as SC  # noqa: E402
 from quarry.streaming import ingest as SI  # noqa: E402
+from quarry.streaming import timed as TM  # noqa: E402
 
 
 @register
@@ -587,3 +589,25 @@ def stream_context(spark, sf_dir):
          .outputMode("append").start())
     q.awaitTermination()
     return spark.read.schema(SC.OUT).parquet(sink)
+
+
+@register
+def stream_context_timed(spark, sf_dir):
+    """The same rows when turns arrive up to two turns out of order, in four runs that resume from the checkpoint."""
+    s = Session(spark, sf_dir)
+    staged, source, sink, checkpoint = (work_path(spark, f"timed-{x}") for x in ("staged", "source", "out", "checkpoint"))
+    # stand-in times and arrival: a turn a minute from 2024 on, each up to two minutes after its place
+    arrival = F.floor((F.col("turn") + F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))) / 3)
+    (context_events(s).withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("turn") * 60)).withColumn("run", F.least(arrival, F.lit(2)))
+     .select(*TM.TIMED.names, "run").write.partitionBy("run").parquet(staged))
+    events = spark.read.schema(T.StructType([*TM.TIMED.fields, T.StructField("run", T.IntegerType())])).parquet(staged)
+    # a last row without a conversation carries the time past the end of all
+    close = events.agg(F.lit(None).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(None).cast(TM.TIMED["hits"].dataType).alias("hits"),
+                       F.lit(None).cast("int").alias("answer_tokens"), (F.max("ts") + F.expr("interval 2 days")).alias("ts"))
+    for part in [*(events.filter(F.col("run") == r).drop("run") for r in range(3)), close]:
+        part.write.mode("append").parquet(source)
+        stream = TM.stream_context_timed(spark.readStream.schema(TM.TIMED).parquet(source), delay="2 minutes")
+        with TM.state_store(spark):
+            (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).outputMode("append").start().awaitTermination())
+    return spark.read.schema(TM.OUT).parquet(sink)
