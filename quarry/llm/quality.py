@@ -15,8 +15,9 @@ a row per group afterwards.  Estimates are joined back by group; a hot group is
 the split side of that join.
 
 Defined results: a null text counts as empty; an empty text fails the base rules; a
-null language or source is a value of its own; equal rows repeat their result;
-with fewer than ``MIN_GROUP`` documents in all the method rejects nothing; an
+null language or source is a value of its own; equal rows repeat their result; the
+estimate over all documents holds a prior scatter with the weight of ``PRIOR_ROWS``
+documents, so a few documents reject only what is far from them by that prior; an
 empty table gives an empty table; extra input columns are kept, those named like
 an output replaced.
 """
@@ -42,6 +43,10 @@ BINS = 64
 #: by themselves.  The ranges are many times as wide (shares of duplicate lines to 1, of repeated words to sqrt(0.3) after the base
 #: rules), so each statistic alone can pass the cut.
 FLOORS = (0.5, 0.1, 0.05, 0.14, 0.11, 0.05)
+#: Spread of each statistic before any document of the table is seen (lengths of ordinary texts range over orders of magnitude),
+#: and the documents this counts as.
+PRIOR = (1.5, 0.2, 0.1, 0.28, 0.22, 0.1)
+PRIOR_ROWS = 100
 D = len(FLOORS)
 
 
@@ -155,11 +160,13 @@ def estimates(rows: DataFrame) -> DataFrame:
                                       *[F.sum(dev[i]).alias(f"a{i}") for i in range(D)],
                                       *[F.sum(dev[i] * dev[j]).alias(f"b{i}{j}") for i in range(D) for j in range(i + 1)])
         # rounded, so that the order of the sums doesn't show
+        prior_rows = F.when(F.col("g") == "all", F.lit(PRIOR_ROWS)).otherwise(F.lit(0))
+        scatter = {f"c{i}{j}": F.round(F.col(f"b{i}{j}") / F.col("n") - F.col(f"a{i}") * F.col(f"a{j}") / F.col("n") ** 2, 9) * consistency(COVER, D)
+                   for i in range(D) for j in range(i + 1)}
         moved = sums.select("g", *[F.round(F.col(f"o{i}") + F.col(f"a{i}") / F.col("n"), 9).alias(f"m{i}") for i in range(D)],
-                            *[F.round(F.col(f"b{i}{j}") / F.col("n") - F.col(f"a{i}") * F.col(f"a{j}") / F.col("n") ** 2, 9).alias(f"c{i}{j}")
-                              for i in range(D) for j in range(i + 1)])
-        scale = consistency(COVER, D)
-        params = staged(_cholesky(moved, scale).select("g", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)]), f"mcd-{step}")
+                            *[((c * F.col("n") + prior_rows * (PRIOR[int(k[1])] ** 2 if k[1] == k[2] else 0.0)) / (F.col("n") + prior_rows)).alias(k)
+                              for k, c in scatter.items()])
+        params = staged(_cholesky(moved, 1.0).select("g", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)]), f"mcd-{step}")
     return params
 
 
@@ -177,8 +184,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     rows = staged(rows.withColumns({f"x{k}": v for k, v in enumerate(vector())}), "quality")
     count = staged(rows.filter("not base_failed").groupBy("__fine", "__coarse").agg(F.count("*").alias("n")), "quality-count")
     langs = count.groupBy("__coarse").agg(F.sum("n").alias("n_coarse"), F.min("n").alias("least"))
-    total, rare = langs.agg(F.sum("n_coarse"), F.min("n_coarse") < MIN_GROUP).first()
-    total = total or 0
+    rare = langs.agg(F.min("n_coarse") < MIN_GROUP).first()[0]
     own, wide = F.col("n") >= MIN_GROUP, F.col("n_coarse") >= MIN_GROUP
     # g judges the documents of a fine group; each enters the estimates of all levels in ``levels``
     levels = F.array(F.when(own, F.col("__fine")), F.when(wide & (F.col("least") < MIN_GROUP), F.col("__coarse")), F.when(F.lit(bool(rare)), F.lit("all")))
@@ -186,11 +192,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         "__fine", F.when(own, F.col("__fine")).when(wide, F.col("__coarse")).otherwise("all").alias("g"), F.array_compact(levels).alias("levels"))
     group = staged(group, "quality-group")
     rows = rows.join(small_side(group, 200), "__fine", "left")
-    if total >= MIN_GROUP:
-        params = estimates(rows.filter("not base_failed").select(F.explode("levels").alias("g"), *[f"x{k}" for k in range(D)]))
-        rows = _distance(rows.join(small_side(params, 400), "g", "left"))
-    else:
-        rows = rows.withColumn("d2", F.lit(None).cast("double"))
+    params = estimates(rows.filter("not base_failed").select(F.explode("levels").alias("g"), *[f"x{k}" for k in range(D)]))
+    rows = _distance(rows.join(small_side(params, 400), "g", "left"))
     outlier = F.coalesce(F.col("d2") > chi2_quantile(level, D), F.lit(False))
     return rows.select(*[F.col(f"__in{i}").alias(c) for i, c in enumerate(carry)], *made[:-2],
                        F.col("d2").alias("distance2"), (~F.col("base_failed") & ~outlier).alias("kept"))

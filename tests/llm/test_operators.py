@@ -1,7 +1,9 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -174,6 +176,89 @@ def test_quality_rejects_repeated_lines_and_words_in_a_clean_group(spark):
     assert sorted(r.doc_id for r in out if not r.kept) == [1000, 1001, 1002, 2000, 2001, 2002]
 
 
+def brute_verdicts(rows):
+    """The method in NumPy: bins, medians, concentration steps and the cut, group by group."""
+    stats = {i: brute_stats(t) for i, t, *_ in rows}
+    base = {i for i, (w, _, _, _, rep) in stats.items() if w < 20 or 100 * rep > 30 * w}
+
+    def vec(i, t):
+        w, c, sym, dup, rep = stats[i]
+        held = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n"))
+        upper = sum(unicodedata.category(ch) == "Lu" for ch in t)
+        return [math.log(w), math.log(max(c / w, 1)), *map(math.sqrt, (sym / max(c, 1), dup / max(held, 1), rep / w, upper / max(c, 1)))]
+
+    good = {i: (np.array(vec(i, t)), lang, (lang, source)) for i, t, lang, source in rows if i not in base}
+    by_lang, by_fine = Counter(g[1] for g in good.values()), Counter(g[2] for g in good.values())
+    level = {i: fine if by_fine[fine] >= 100 else lang if by_lang[lang] >= 100 else "all" for i, (_, lang, fine) in good.items()}
+
+    def middle(bins, share):
+        return np.sort(bins, axis=0)[math.ceil(share * len(bins)) - 1]
+
+    floor2, out = np.array(quality.FLOORS) ** 2, {}
+    for g in set(level.values()):
+        x = np.array([v for v, lang, fine in good.values() if g in (lang, fine, "all")])
+
+        def d2(rows_, m, c):
+            y = np.zeros_like(rows_)
+            low = np.zeros_like(c)
+            for i in range(len(c)):
+                for j in range(i + 1):
+                    rest = max(c[i, i], floor2[i]) if i == j else c[i, j]
+                    rest -= low[i, :j] @ low[j, :j]
+                    low[i, j] = math.sqrt(max(rest, 1e-9)) if i == j else rest / low[j, j]
+                y[:, i] = (rows_[:, i] - m[i] - y[:, :i] @ low[i, :i]) / low[i, i]
+            return (y ** 2).sum(axis=1)
+
+        m = (middle(np.floor(x * 64), 0.5) + 0.5) / 64
+        c = np.diag(((middle(np.floor(np.abs(x - m) * 64), 0.5) + 0.5) / 64 * 1.4826) ** 2)
+        for _ in range(quality.STEPS):
+            near = np.floor(np.log1p(d2(x, m, c)) * 64)
+            inner = x[near <= middle(near, quality.COVER)]
+            m, n = inner.mean(axis=0), len(inner)
+            c = np.cov(inner.T, bias=True) * quality.consistency(quality.COVER, len(m))
+            if g == "all":
+                c = (c * n + np.diag(np.square(quality.PRIOR)) * quality.PRIOR_ROWS) / (n + quality.PRIOR_ROWS)
+        for i, (v, *_) in good.items():
+            if level[i] == g:
+                out[i] = d2(v[None], m, c)[0]
+    return base, out
+
+
+def mixed_group(n, lang, source, first, step=1):
+    """Prose of many lengths; every seventh with symbols, every ninth with repeated lines, every eleventh with capitals."""
+    out = []
+    for k in range(n):
+        i = first + k * step
+        t = prose(int(np.random.default_rng(i).integers(25, 600)), i)
+        t = " ".join(w + "%" * (k % 4) for w in t.split()) if k % 7 == 0 else t
+        t = "\n".join([t, *["read more here now"] * (k % 5 + 1)]) if k % 9 == 0 else t
+        out.append((i, t.upper() if k % 11 == 0 else t, lang, source))
+    return out
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_quality_verdict_against_numpy(spark, few):
+    rows = mixed_group(40, "en", "s0", 0) if few else [
+        *mixed_group(150, "en", "s0", 0), *mixed_group(60, "en", "s1", 1000), *mixed_group(50, "de", "s0", 2000), *mixed_group(9, None, None, 3000)]
+    base, want = brute_verdicts(rows)
+    out = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), carry=["doc_id"]).collect()
+    cut = quality.chi2_quantile(quality.LEVEL, quality.D)
+    for r in out:
+        assert r.base_failed == (r.doc_id in base)
+        if not r.base_failed:
+            assert r.distance2 == pytest.approx(want[r.doc_id], rel=1e-4)
+            assert r.kept == (want[r.doc_id] <= cut)
+    assert 0 < sum(not r.kept for r in out) < len(out) / 2
+
+
+def test_quality_of_a_few_documents_rejects_the_far_ones(spark):
+    rows = [(i, prose(150 + i, i), "en", "s") for i in range(30)] + [(100, " ".join(w + "%%%" for w in prose(100, 7).split()), "en", "s")]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), carry=["doc_id"]).collect()
+    assert [r.doc_id for r in out if not r.kept] == [100]
+    alone = quality.judge(spark.createDataFrame(rows[-1:], "doc_id bigint, text string, lang string, source string"), carry=["doc_id"]).collect()
+    assert [r.kept for r in alone] == [True]
+
+
 def test_chi_square():
     assert quality.chi2_cdf(quality.chi2_quantile(0.975, 5), 5) == pytest.approx(0.975)
     assert quality.chi2_quantile(0.95, 2) == pytest.approx(5.99146, abs=1e-4)
