@@ -153,3 +153,43 @@ def test_blocks_beyond_a_bound_are_known_by_centre_and_radius():
     exact = knn._scores(Q, (Q ** 2).sum(1), X, 9).min(axis=1)
     far = knn._out_of_reach(Q, X, limit)
     assert far.any() and (exact[far] > limit[far]).all()
+
+
+def test_a_large_batch_is_ranked_without_the_driver(spark, monkeypatch):
+    """Beyond the broadcast bound no question comes to the driver, neither for the search nor for the ranks; equal keys stay apart."""
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 16)
+    monkeypatch.setattr(knn, "Q_CELL", 4)
+    monkeypatch.setattr(knn, "I_CELL", 30)
+    rng = np.random.default_rng(17)
+    X, Q = rng.integers(0, 3, size=(90, 4)).astype(np.float32), rng.integers(0, 3, size=(11, 4)).astype(np.float32)
+    idx = spark.createDataFrame([(i, X[i].tolist(), f"M{i % 3}", "PS1") for i in range(90)],
+                                "chunk_id long, embedding array<float>, model_num string, ps_num string").repartition(5)
+    qs = spark.createDataFrame([(i, Q[i].tolist(), "M1", "N/A") for i in range(11)], "query_id long, qvec array<float>, model_num string, ps_num string")
+    kind = type(qs)
+
+    def no(self, *args, **kw):
+        raise AssertionError("a batch of questions came to the driver")
+
+    for name in ("toPandas", "toArrow"):
+        monkeypatch.setattr(kind, name, no)
+    hits = knn.knn_postfilter(idx, qs, 6, 40)
+    twice = knn.knn_postfilter(idx, qs.unionByName(qs.filter("query_id = 0")), 6, 90)
+    monkeypatch.undo()
+    everything = brute(Q.astype(float), X.astype(float), list(range(11)), list(range(90)), 90)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == {i: w for i in range(11) if (w := [c for c in everything[i][:40] if c % 3 == 1][:6])}
+    assert {r.query_id for r in twice.collect()} == set(range(11))
+
+
+def test_a_cell_of_many_questions_equals_brute_force():
+    """Questions of a cell are scored a block at a time."""
+    import pandas as pd
+
+    rng = np.random.default_rng(18)
+    X, Q = rng.normal(size=(70, 3)), rng.normal(size=(23, 3))
+    qdf = pd.DataFrame({"q": np.arange(23), "__qv": list(Q)})
+    xdf = pd.DataFrame({"__id": np.arange(70), "__xv": list(X)})
+    got = knn._cell_kernel(["q"], 5, 9, block=16, qblock=4)(qdf, xdf)
+    assert {int(q): g["__id"].tolist() for q, g in got.groupby("q")} == brute(Q, X, list(range(23)), list(range(70)), 5)
