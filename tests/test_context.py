@@ -139,6 +139,20 @@ def test_no_hit_answer(spark):
     assert got == [(0, None), (1, CX.NO_ANSWER)]
 
 
+def test_hits_of_the_fallback_are_hits(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quarry.plans import queries
+    from quarry.plans.oracle import ORACLE
+
+    q = spark.createDataFrame([(1, 0), (1, 1)], "conv_id long, turn long")
+    h = spark.createDataFrame([(1, 0, True)], "conv_id long, turn long, fallback boolean")
+    monkeypatch.setattr(queries, "Session", lambda *args: SimpleNamespace(questions=q, hits=h))
+    got = sorted((r.turn, r.has_hits, r.answer) for r in queries.REGISTRY["no_hit_answer"](spark, "").collect())
+    assert got == [(0, True, None), (1, False, CX.NO_ANSWER)]
+    assert "not fallback" not in ORACLE["no_hit_answer"]
+
+
 def test_bpe_tokenizer_plugin(spark):
     import os
 
