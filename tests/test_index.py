@@ -130,3 +130,23 @@ def test_a_stream_that_repeats_pages_equals_the_batch_merge(spark, tmp_table):
     replayed = spark.createDataFrame([page(1, "a replay that must not count")], SI.PAGE_RECORD)
     assert not SI.merge_batch(replayed, 0, path, checkpoint)          # batch 0 stands in the ledger
     assert view(KX.load_keyed(spark, path)) == view(KX.load_keyed(spark, whole))
+
+
+def test_append_job_cuts_texts_once(spark, monkeypatch):
+    """Both appends read written chunks: no Python runs below what they are given."""
+    from quarry.operators import index as IX
+    from quarry.plans import queries
+
+    docs = spark.createDataFrame([(i, f"text: page {i} " + "word " * 300, f"u{i}", 1, "t", "N/A", "N/A") for i in range(4)],
+                                 "doc_id long, page_content string, url string, depth int, title string, model_num string, ps_num string")
+    given, append = [], IX.append_index
+
+    def seen(chunks, *args, **kw):
+        given.append(chunks._jdf.queryExecution().optimizedPlan().toString())
+        return append(chunks, *args, **kw)
+
+    monkeypatch.setattr(queries, "page_documents", lambda t: docs)
+    monkeypatch.setattr(IX, "append_index", seen)
+    got = queries.REGISTRY["append_index"](spark, "").count()
+    assert got == IX.chunk_rows(docs).count() and len(given) == 2
+    assert not any("Python" in plan for plan in given)
