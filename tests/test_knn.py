@@ -193,3 +193,37 @@ def test_a_cell_of_many_questions_equals_brute_force():
     xdf = pd.DataFrame({"__id": np.arange(70), "__xv": list(X)})
     got = knn._cell_kernel(["q"], 5, 9, block=16, qblock=4)(qdf, xdf)
     assert {int(q): g["__id"].tolist() for q, g in got.groupby("q")} == brute(Q, X, list(range(23)), list(range(70)), 5)
+
+
+def test_a_cell_holds_no_array_of_all_its_scores():
+    """Memory and order: scores are held a narrow block at a time, and ties, null ids and missing numbers sort as in a full sort."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(21)
+
+    def cell(Q, X, ids):
+        qdf, xdf = pd.DataFrame({"q": np.arange(len(Q)), "__qv": list(Q)}), pd.DataFrame({"__id": ids, "__xv": list(X)})
+        tracemalloc.start()
+        got = knn._cell_kernel(["q"], 5, 9)(qdf, xdf)
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        return got, peak
+
+    Q, X = rng.integers(0, 3, (600, 4)).astype(float), rng.integers(0, 3, (12000, 4)).astype(float)
+    got, peak = cell(Q, X, rng.permutation(12000))
+    assert peak < 64                                         # 512 x 12,000 scores alone are 47 MB, and several such arrays were held
+    order = {i: sorted(zip(got.score[got.q == i], got["__id"][got.q == i])) for i in range(0, 600, 37)}
+    ids = rng.permutation(12000).astype(float)
+    for missing in (False, True):
+        if missing:
+            ids[rng.integers(0, 12000, 3000)] = np.nan
+            X[::5] *= 1e20                                   # beyond single precision
+        got, _ = cell(Q, X, ids)
+        for i in range(0, 600, 37):
+            s = np.round(((X - Q[i]) ** 2).sum(1), 9)
+            want = np.lexsort((ids, s))[:5]
+            mine = got[got.q == i].sort_values(["score", "__id"])
+            assert mine.score.tolist() == s[want].tolist() and mine["__id"].fillna(-1).tolist() == np.nan_to_num(ids[want], nan=-1).tolist()
+    assert len(order) == 17 and all(len(o) == 5 for o in order.values())
