@@ -33,7 +33,7 @@ def merge_batch(records: DataFrame, batch: int, index_path: str, stream: str, em
     if ledger.getFileSystem(spark._jsc.hadoopConfiguration()).exists(ledger):
         if spark.read.schema(LEDGER).parquet(path).filter((F.col("stream") == stream) & (F.col("batch") == batch)).limit(1).count():
             return False
-    chunks = IX.embed_chunks(IX.chunk_rows(IX.compose_document(KX.latest_pages(records))), embedder)
+    chunks = IX.index_rows(IX.compose_document(KX.latest_pages(records)), embedder)
     touched = KX.merge(chunks, index_path, embedder, buckets)
     spark.createDataFrame([(stream, batch, len(touched))], LEDGER).coalesce(1).write.mode("append").parquet(path)
     return True
