@@ -227,3 +227,25 @@ def test_a_cell_holds_no_array_of_all_its_scores():
             mine = got[got.q == i].sort_values(["score", "__id"])
             assert mine.score.tolist() == s[want].tolist() and mine["__id"].fillna(-1).tolist() == np.nan_to_num(ids[want], nan=-1).tolist()
     assert len(order) == 17 and all(len(o) == 5 for o in order.values())
+
+
+def test_a_cells_rows_are_made_ready_once_for_all_questions(monkeypatch):
+    """Blocks of questions share the rows' single-precision form; the best so far pass from block to block of rows."""
+    import pandas as pd
+
+    seen, ready = [], knn._ready
+    monkeypatch.setattr(knn, "_ready", lambda X: seen.append(len(X)) or ready(X))
+    rng = np.random.default_rng(23)
+    X, Q = rng.normal(size=(3000, 6)).astype(np.float32), rng.normal(size=(40, 6)).astype(np.float32)
+    got = knn._cell_kernel(["q"], 5, 9, block=1100, qblock=8)(
+        pd.DataFrame({"q": np.arange(40), "__qv": list(Q)}), pd.DataFrame({"__id": np.arange(3000), "__xv": list(X)}))
+    assert {int(q): g["__id"].tolist() for q, g in got.groupby("q")} == brute(Q.astype(float), X.astype(float), list(range(40)), list(range(3000)), 5)
+    assert seen == [1100, 1100, 800]
+
+
+def test_few_places_of_a_mask():
+    rng = np.random.default_rng(24)
+    for shape in ((3, 8), (5, 7), (16, 512), (1, 1)):
+        for share in (0, 0.05, 1):
+            mask = rng.random(shape) < share
+            assert knn._true(mask).tolist() == np.flatnonzero(mask).tolist()
