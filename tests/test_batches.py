@@ -1,5 +1,6 @@
 """Memory of Python workers follows neither the rows of a partition nor the words of the input."""
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,3 +33,15 @@ def test_remembered_words_are_bounded(monkeypatch):
     monkeypatch.setattr(embed, "CACHED_WORDS", 5)
     few = embed.HashEmbedder()
     assert (few.encode([words, "a b a"]) == want).all() and len(few._cache) == 5
+
+
+def test_words_are_pythons(spark):
+    """Cheap ranges decide before the list of white space does, with Python's words and runs."""
+    from quarry.functions import text as TX
+
+    odd = [chr(c) for lo, hi in TX.WHITESPACE_RANGES for c in range(lo - 1, hi + 2) if c] + ["!", "~", "\u00a1", "\u167f", "\u3001", "\U0010ffff", "\U0001f600"]
+    texts = [f"{x}a{x}{x} b\n{x}c{x}" for x in odd] + ["", " ", "\n \n", "".join(odd)]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string").select("i", TX.split_ws(F.col("t")).alias("w"), TX.collapse_whitespace(F.col("t")).alias("c")).collect()
+    assert {r.i: r.w for r in rows} == dict(enumerate([*(t.split() for t in texts), None]))
+    assert {r.i: r.c for r in rows if r.i < len(texts)} == {i: re.sub(r"[\s\x1c-\x1f]+", " ", t) for i, t in enumerate(texts)}
+    assert all("[[^!-~" in f(F.col("t"))._jc.toString() for f in (TX.split_ws, TX.collapse_whitespace))

@@ -184,3 +184,19 @@ def test_strict_budgets_cut_before_the_crossing_row(spark):
     got = sorted((r.src_turn, r.rank) for r in CX.select_prior_hits(qs, rows, 10, strict=True)
                  .filter(F.col("turn") == 3).collect())
     assert got == [(2, 1), (2, 2)]
+
+
+def test_channels_packed_together_equal_each_alone(spark):
+    """Articles are read and ordered once for all channels; each cuts them by its own introduction."""
+    q = spark.createDataFrame([(1, t, f"question {t}") for t in range(3)], "conv_id long, turn long, query string")
+    a = spark.createDataFrame([(1, t, r, 10 * t + r, 400, f" article {t} {r}") for t in range(2) for r in range(1, 9)],
+                              "conv_id long, turn long, rank int, chunk_id long, tokens int, piece string")
+    prior = spark.createDataFrame([(1, 1, 0, 1, 1, 3, " earlier page")], "conv_id long, turn long, src_turn long, rank int, chunk_id long, tokens int, piece string")
+    answers = spark.createDataFrame([(1, 1, 0, 3, " earlier answer")], "conv_id long, turn long, src_turn long, tokens int, piece string")
+    intros = {"text": "short", "voice": "long " * 700}
+    docs = CX.pack_documents(q, a, intros)
+    got = CX.style_variant(CX.build_prompt(q, docs, prior, answers, intros))
+    want = [tuple(r) for name, intro in intros.items() for r in CX.style_variant(
+        CX.build_prompt(q, CX.pack_documents(q, a, intro), prior, answers, intro), name).collect()]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 4
+    assert len({len(r[4].split("article")) for r in want}) == 2
