@@ -249,3 +249,43 @@ def test_few_places_of_a_mask():
         for share in (0, 0.05, 1):
             mask = rng.random(shape) < share
             assert knn._true(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
+def test_a_groups_first_column_bounds_its_other_cells(spark, monkeypatch):
+    """The first column is searched alone, the others send what doesn't exceed its bounds, and the result stays; keys may repeat or be null."""
+    rng = np.random.default_rng(25)
+    X, Q = rng.normal(size=(1600, 6)).astype(np.float32), rng.normal(size=(30, 6)).astype(np.float32)
+    idx = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "chunk_id long, embedding array<float>")
+    qs = spark.createDataFrame([(i, Q[i].tolist()) for i in range(30)], "query_id long, qvec array<float>")
+    sent, take = [], knn._final_topk
+    monkeypatch.setattr(knn, "_final_topk", lambda cand, *args: sent.append(cand.count()) or take(cand, *args))
+    rows = knn.nearest(idx, qs, 5, q_cell=10, i_cell=200, strategy="grid").orderBy("query_id", "rank").collect()
+    got = {i: [r.chunk_id for r in rows if r.query_id == i] for i in range(30)}
+    assert got == brute(Q.astype(float), X.astype(float), list(range(30)), list(range(1600)), 5)
+    assert sent[0] == 30 * 5 and sent[-1] < 30 * 5 * 8
+    keys = [None if i % 5 == 0 else i // 2 for i in range(30)]
+    again = spark.createDataFrame([(keys[i], Q[i].tolist()) for i in range(30)], "query_id int, qvec array<float>")
+    each = [sorted((r.query_id is None, r.query_id or 0, r["rank"], r.chunk_id, r.score) for r in knn.nearest(idx, again, 5, i_cell=i, strategy=s).collect())
+            for s, i in (("grid", 200), ("broadcast", 200))]
+    assert each[0] == each[1]
+
+
+def test_a_cell_sends_nothing_beyond_a_questions_limit():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(26)
+    X, Q = rng.integers(0, 4, (900, 5)).astype(np.float32), rng.integers(0, 4, (40, 5)).astype(np.float32)
+    limit = [None if i % 7 == 0 else float(i % 4) for i in range(40)]
+    vectors = pa.list_(pa.float32())
+    ids = rng.permutation(900)
+    x = pa.table({"__id": pa.array(ids, pa.int64()), "__xv": pa.array([None if i % 50 == 0 else v.tolist() for i, v in enumerate(X)], vectors)})
+    for bounds in (limit, [x or 3.0 for x in limit]):
+        q = pa.table({"q": pa.array(range(40), pa.int32()), "__qv": pa.array(Q.tolist(), vectors), "__limit": pa.array(bounds, pa.float64())})
+        got = knn._cell_arrow(["q"], 5, 9)(q, x).to_pylist()
+        for i in range(40):
+            pairs = sorted((float(((X[j] - Q[i]) ** 2).sum()), int(ids[j])) for j in range(900) if j % 50)[:5]
+            want = [p for p in pairs if bounds[i] is None or p[0] <= bounds[i]]
+            assert sorted((r["score"], r["__id"]) for r in got if r["q"] == i) == want
+    q = q.slice(0, 0)
+    empty = knn._cell_arrow(["q"], 5, 9)(q, x)
+    assert len(empty) == 0 and empty.schema.types == [pa.int32(), pa.int64(), pa.float64()]
