@@ -289,3 +289,14 @@ def test_a_cell_sends_nothing_beyond_a_questions_limit():
     q = q.slice(0, 0)
     empty = knn._cell_arrow(["q"], 5, 9)(q, x)
     assert len(empty) == 0 and empty.schema.types == [pa.int32(), pa.int64(), pa.float64()]
+
+
+def test_a_cells_vectors_are_read_where_arrow_holds_them():
+    import pyarrow as pa
+
+    column = pa.chunked_array([pa.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], pa.list_(pa.float32()))])
+    rows = knn._matrix(column)
+    assert rows.tolist() == column.to_pylist() and rows.ctypes.data == column.chunk(0).values.buffers()[1].address
+    assert knn._matrix(pa.chunked_array([column.chunk(0).slice(1), column.chunk(0)])).tolist() == column.to_pylist()[1:] + column.to_pylist()
+    with pytest.raises(ValueError, match="dimensions"):
+        knn._matrix(pa.chunked_array([pa.array([[1.0, 2.0], [3.0]], pa.list_(pa.float32()))]))
